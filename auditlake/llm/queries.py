@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id
+from . import bpe, exact_dedup, language_id, ngram_join
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_language_id": language_id.op10_language_id,
 }
 
