@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from .words import U, Words, mix, pieces
 
 #: Cells of the frequency sketch (a power of two) and of one piece of it.
 CELLS, PIECE = 1 << 22, 1 << 16
+#: Rows of two longs up to which a side is broadcast; above, both sides are shuffled.
+BROADCAST = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -127,7 +130,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = spark.sparkContext.broadcast(scale)
 
     def multiply_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of kind -1 are documents with their class; the others are blocks of prefix entries."""
+        """Rows with an own key are documents with their class; the others are blocks of prefix entries."""
         order = told.value
         seen: set[int] = set()
         for whole in batches:
@@ -146,7 +149,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         num.append(np.full(len(p), len(s), np.int32))
                         left.append(len(s) - np.arange(len(p), dtype=np.int32))
                 m = len(key)
-                kind, who, block = [np.full(m, -1, np.int32)], [b.column(0)], [pa.nulls(m, pa.binary())]
+                kind, who, block = [(mix(np.array(key, np.int64).view(U)) % U(slots)).astype(np.int32)], [b.column(0)], [pa.nulls(m, pa.binary())]
                 if cols:
                     c, k, z, r = map(np.concatenate, (cols, cls, num, left))
                     slot = (mix(c) % U(slots)).astype(np.int32)
@@ -161,12 +164,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["slot", "id", "class", "size", "block"],
                 )
 
-    both = durable(rows.mapInArrow(multiply_in, "slot int, id long, class long, size long, block binary"))
-    members = both.where("slot = -1").select("id", "class", "size")
-
-    def meet(blocks: pa.Table) -> pa.Table:
-        """Entries of one block's columns that have several rows."""
-        got = [unpack(x.as_py(), U, np.int64, np.int32, np.int32) for x in blocks.column("block")]
+    def meet(t: pa.Table) -> pa.Table:
+        """Entries of one block's columns that have several rows, and the documents that came along."""
+        own = t.filter(pc.is_valid(t.column("class"))).select(["id", "class", "size"])
+        blocks = t.column("block").drop_null()
+        if not len(blocks):
+            return pa.table({"col": pa.nulls(len(own), pa.int64()), "id": own["id"], "class": own["class"], "size": own["size"], "left": pa.nulls(len(own), pa.int64())})
+        got = [unpack(x.as_py(), U, np.int64, np.int32, np.int32) for x in blocks]
         c, k, z, r = (np.concatenate(x) for x in zip(*got))
         o = np.lexsort((k, z, c))
         c, k, z, r = c[o], k[o], z[o], r[o]
@@ -174,9 +178,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         c, k, z, r = c[new], k[new], z[new], r[new]
         same = c[1:] == c[:-1]
         keep = np.r_[False, same] | np.r_[same, False]
-        return pa.table({"col": c[keep].view(np.int64), "class": k[keep], "size": z[keep], "left": r[keep]})
-
-    entries = durable(both.where("slot >= 0").select("slot", "block").groupBy("slot").applyInArrow(meet, "col long, class long, size int, left int"))
+        n_own, n_new = len(own), int(keep.sum())
+        join = lambda x, y: pa.chunked_array([*x.chunks, pa.array(y, pa.int64())], pa.int64())
+        none = pa.chunked_array([pa.nulls(n_own, pa.int64())])
+        return pa.table({"col": join(none, c[keep].view(np.int64)), "id": join(own["id"], [None] * n_new), "class": join(own["class"], k[keep]), "size": join(own["size"], z[keep]), "left": join(none, r[keep])})
+
+    both = rows.mapInArrow(multiply_in, "slot int, id long, class long, size long, block binary")
+    both = durable(both.groupBy("slot").applyInArrow(meet, "col long, id long, class long, size long, left long"))
+    members = both.where("col IS NULL").select("id", "class", "size")
+    entries = both.where("col IS NOT NULL").select("col", "class", "size", "left")
     reach = f"least(x.left, y.left) >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
     first = entries.groupBy("col").agg(F.min(F.struct("size", "class", "left")).alias("f")).select("col", F.col("f.size").alias("size"), F.col("f.class").alias("class"), F.col("f.left").alias("left"))
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
@@ -204,8 +214,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, n: int, perce
     """Pairs of classes whose whole rows overlap enough."""
     pairs = durable(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(texts, "class").select("class", "id")
-    text = rows.join(wanted, "id").groupBy("class").agg(F.first("text").alias("text"))
-    text = durable(text)
+    wanted = durable(wanted)
+    few = wanted.count() <= BROADCAST
+    # the whole texts need not be shuffled for few classes
+    text = rows.join(F.broadcast(wanted) if few else wanted, "id").groupBy("class").agg(F.first("text").alias("text"))
     joined = pairs.join(text.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(text.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
