@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, ngram_join
+from . import ann, bpe, exact_dedup, language_id, ngram_join
 
 QUERIES = {
+    "op3_nearest": ann.op3_nearest,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_join": ngram_join.op8_ngram_join,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_nearest": ann.op3_nearest,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
