@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, language_id, ngram_join
+from . import ann, bpe, exact_dedup, language_id, line_dedup, ngram_join
 
 QUERIES = {
     "op3_nearest": ann.op3_nearest,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_join": ngram_join.op8_ngram_join,
@@ -13,6 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op3_nearest": ann.op3_nearest,
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
