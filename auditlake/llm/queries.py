@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, language_id, line_dedup, ngram_join
+from . import ann, bpe, exact_dedup, language_id, line_dedup, ngram_join, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_nearest": ann.op3_nearest,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,

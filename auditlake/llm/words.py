@@ -83,6 +83,10 @@ class Words:
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U))
         self.first = np.searchsorted(self.start, cuts)
 
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base of word sequences, and of its inverse."""
+        return _WORDS.get(n)
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each position (0 where they don't fit into the text), and whether they fit."""
         m = len(self.hash)
