@@ -20,6 +20,7 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -247,13 +248,16 @@ def _mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, kept:
     return rows.mapInArrow(run, f"{head}, {shape}")
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and ids (array of int) of every whole text; null is an empty text, which has no ids."""
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the columns in ``keep``, n_tokens and ids (array of int) of every whole text; null is an empty text, which has no ids."""
 
     def made(coder: Coder, texts: pa.Array) -> list[pa.Array]:
-        return [pa.array([[int(i) for part in coder.encode(x.as_py() or "") for w in part for i in w.split(",")] for x in texts], pa.list_(pa.int32()))]
+        got = [np.array([i for part in coder.encode(x.as_py() or "") for w in part for i in w.split(",")], np.int32) for x in texts]
+        size = [len(g) for g in got]
+        flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.int32))
+        return [pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), flat)]
 
-    return _mapped(docs, vocabulary, id_col, text_col, [id_col], made, "ids array<int>")
+    return _mapped(docs, vocabulary, id_col, text_col, [id_col, *keep], made, "n_tokens long, ids array<int>")
 
 
 def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

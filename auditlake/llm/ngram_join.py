@@ -8,8 +8,9 @@ counts overlaps; for a Jaccard bound t, sizes bound which entries can matter:
   sizes must be within t of each other, and with columns in one global order two
   rows must meet in the first ``n - ceil(t n) + 1`` columns of each; only these
   entries are multiplied;
-* a meeting at places i and j can still reach ``1 + min`` of what follows in each
-  row; pairs for which that is below ``need`` are discarded there and then.
+* a meeting can still reach the smaller number of columns from there on, in either
+  row, that another row has at all; pairs for which that is below ``need`` are
+  discarded there and then.
 
 Columns are ordered by a frequency sketch of fixed size that counts every n-gram
 of every document, frequent ones last, so that common passages are multiplied
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, components, durable, pack, ship, unpack, width
@@ -186,7 +187,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = rows.mapInArrow(multiply_in, "slot int, id long, class long, size long, block binary")
     both = durable(both.groupBy("slot").applyInArrow(meet, "col long, id long, class long, size long, left long"))
     members = both.where("col IS NULL").select("id", "class", "size")
-    entries = both.where("col IS NOT NULL").select("col", "class", "size", "left")
+    # columns that a row has alone add nothing: what can still meet from an entry on is its row's
+    # entries from there, and the columns behind the prefix
+    behind = f"size - (size - CAST(ceil({percent} * size / 100D - 1e-9D) AS BIGINT) + 1)"
+    after = F.row_number().over(Window.partitionBy("class").orderBy("left"))
+    entries = durable(both.where("col IS NOT NULL").select("col", "class", "size", (F.expr(behind) + after).alias("left")))
     reach = f"least(x.left, y.left) >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
     first = entries.groupBy("col").agg(F.min(F.struct("size", "class", "left")).alias("f")).select("col", F.col("f.size").alias("size"), F.col("f.class").alias("class"), F.col("f.left").alias("left"))
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]

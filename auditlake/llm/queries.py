@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, html_text, language_id, license_scan, line_dedup, ngram_join, substring_dedup
+from . import ann, bpe, exact_dedup, html_text, language_id, license_scan, line_dedup, mixing, ngram_join, substring_dedup
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_nearest": ann.op3_nearest,
     "op4_line_dedup": line_dedup.op4_line_dedup,
