@@ -8,9 +8,9 @@ counts overlaps; for a Jaccard bound t, sizes bound which entries can matter:
   sizes must be within t of each other, and with columns in one global order two
   rows must meet in the first ``n - ceil(t n) + 1`` columns of each; only these
   entries are multiplied;
-* a meeting can still reach the smaller number of columns from there on, in either
-  row, that another row has at all; pairs for which that is below ``need`` are
-  discarded there and then.
+* a meeting can still reach what follows in either row; of the row whose prefix
+  ends first, only columns that another prefix has too.  Pairs for which that is
+  below ``need`` are discarded there and then.
 
 Columns are ordered by a frequency sketch of fixed size that counts every n-gram
 of every document, frequent ones last, so that common passages are multiplied
@@ -137,7 +137,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                key, size, cols, cls, left, num = [], [], [], [], [], []
+                key, size, cols, cls, left, num, last = [], [], [], [], [], [], []
                 for s in shingle_sets(b.column(1), n):
                     k, _ = set_key(s)
                     key.append(k)
@@ -149,15 +149,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         cls.append(np.full(len(p), k, np.int64))
                         num.append(np.full(len(p), len(s), np.int32))
                         left.append(len(s) - np.arange(len(p), dtype=np.int32))
+                        last.append(np.full(len(p), (int(order[int(p[-1] >> U(64 - 22))]) << 55) | int(p[-1] >> U(9)), np.int64))
                 m = len(key)
                 kind, who, block = [(mix(np.array(key, np.int64).view(U)) % U(slots)).astype(np.int32)], [b.column(0)], [pa.nulls(m, pa.binary())]
                 if cols:
-                    c, k, z, r = map(np.concatenate, (cols, cls, num, left))
+                    c, k, z, r, e = map(np.concatenate, (cols, cls, num, left, last))
                     slot = (mix(c) % U(slots)).astype(np.int32)
                     o = np.argsort(slot, kind="stable")
                     cut = np.flatnonzero(np.r_[True, np.diff(slot[o]) > 0, True])
                     kind.append(slot[o][cut[:-1]])
-                    block.append(pa.array([pack(c[i], k[i], z[i], r[i]) for i in np.split(o, cut[1:-1])], pa.binary()))
+                    block.append(pa.array([pack(c[i], k[i], z[i], r[i], e[i]) for i in np.split(o, cut[1:-1])], pa.binary()))
                     who.append(pa.nulls(len(cut) - 1, pa.int64()))
                 extra = sum(map(len, kind)) - m
                 yield pa.RecordBatch.from_arrays(
@@ -170,30 +171,30 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = t.filter(pc.is_valid(t.column("class"))).select(["id", "class", "size"])
         blocks = t.column("block").drop_null()
         if not len(blocks):
-            return pa.table({"col": pa.nulls(len(own), pa.int64()), "id": own["id"], "class": own["class"], "size": own["size"], "left": pa.nulls(len(own), pa.int64())})
-        got = [unpack(x.as_py(), U, np.int64, np.int32, np.int32) for x in blocks]
-        c, k, z, r = (np.concatenate(x) for x in zip(*got))
+            return pa.table({"col": pa.nulls(len(own), pa.int64()), "id": own["id"], "class": own["class"], "size": own["size"], "left": pa.nulls(len(own), pa.int64()), "last": pa.nulls(len(own), pa.int64())})
+        got = [unpack(x.as_py(), U, np.int64, np.int32, np.int32, np.int64) for x in blocks]
+        c, k, z, r, e = (np.concatenate(x) for x in zip(*got))
         o = np.lexsort((k, z, c))
-        c, k, z, r = c[o], k[o], z[o], r[o]
+        c, k, z, r, e = c[o], k[o], z[o], r[o], e[o]
         new = np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])]  # a class comes once from each task
-        c, k, z, r = c[new], k[new], z[new], r[new]
+        c, k, z, r, e = c[new], k[new], z[new], r[new], e[new]
         same = c[1:] == c[:-1]
         keep = np.r_[False, same] | np.r_[same, False]
         n_own, n_new = len(own), int(keep.sum())
         join = lambda x, y: pa.chunked_array([*x.chunks, pa.array(y, pa.int64())], pa.int64())
         none = pa.chunked_array([pa.nulls(n_own, pa.int64())])
-        return pa.table({"col": join(none, c[keep].view(np.int64)), "id": join(own["id"], [None] * n_new), "class": join(own["class"], k[keep]), "size": join(own["size"], z[keep]), "left": join(none, r[keep])})
+        return pa.table({"col": join(none, c[keep].view(np.int64)), "id": join(own["id"], [None] * n_new), "class": join(own["class"], k[keep]), "size": join(own["size"], z[keep]), "left": join(none, r[keep]), "last": join(none, e[keep])})
 
     both = rows.mapInArrow(multiply_in, "slot int, id long, class long, size long, block binary")
-    both = durable(both.groupBy("slot").applyInArrow(meet, "col long, id long, class long, size long, left long"))
+    both = durable(both.groupBy("slot").applyInArrow(meet, "col long, id long, class long, size long, left long, last long"))
     members = both.where("col IS NULL").select("id", "class", "size")
-    # columns that a row has alone add nothing: what can still meet from an entry on is its row's
-    # entries from there, and the columns behind the prefix
+    # what a meeting can still reach: all that follows (left), or, in the row whose prefix ends first,
+    # what follows that other prefixes have too, and all behind the prefix (tight)
     behind = f"size - (size - CAST(ceil({percent} * size / 100D - 1e-9D) AS BIGINT) + 1)"
     after = F.row_number().over(Window.partitionBy("class").orderBy("left"))
-    entries = durable(both.where("col IS NOT NULL").select("col", "class", "size", (F.expr(behind) + after).alias("left")))
-    reach = f"least(x.left, y.left) >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
-    first = entries.groupBy("col").agg(F.min(F.struct("size", "class", "left")).alias("f")).select("col", F.col("f.size").alias("size"), F.col("f.class").alias("class"), F.col("f.left").alias("left"))
+    entries = durable(both.where("col IS NOT NULL").select("col", "class", "size", "left", "last", (F.expr(behind) + after).alias("tight")))
+    reach = "least(if(x.last <= y.last, x.tight, x.left), if(y.last <= x.last, y.tight, y.left))" + f" >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
+    first = entries.groupBy("col").agg(F.min(F.struct("size", "class", "left", "last", "tight")).alias("f")).select("col", "f.*")
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
     pairs = entries.alias("x").join(first.alias("y"), "col").where(f"x.class != y.class AND {reach}").select(*pair).distinct()
 
