@@ -9,7 +9,7 @@ one of least hash is the window's anchor, the same wherever the window stands.
    depth that matters and end there, without any text having moved.
 2. Prefixes of the remaining suffixes are counted.  A prefix of one word that
    too many suffixes begin with is split by the second word, then by the third,
-   then by the rest: variable-length prefixes, one memory-sized group each.
+   then by the rest; prefixes of such variable length fill memory-sized groups.
 3. Each bucket of documents sends a group its suffixes with the words that their
    windows span, once for all copies that it has, with the smallest and largest
    document.  So a passage that a third of all documents hold comes once from a
@@ -67,14 +67,14 @@ class Suffixes:
             self.key = np.zeros(0, U)
 
 
-def group_of(code: np.ndarray, heavy: list[np.ndarray]) -> np.ndarray:
-    """The group of each code: its shortest prefix that is not heavy."""
+def group_of(code: np.ndarray, heavy: list[np.ndarray], groups: int) -> np.ndarray:
+    """The group of each code: that of its shortest prefix that is not heavy; prefixes share ``groups`` groups."""
     out = np.full(len(code), -1, np.int64)
     for i, bits in enumerate(LEVELS):
         p = code >> U(64 - bits)
         settled = np.ones(len(code), bool) if i == len(LEVELS) - 1 else ~np.isin(p, heavy[i])
         new = settled & (out < 0)
-        out[new] = (p[new].astype(np.int64) << 2) | i
+        out[new] = (mix((p[new] << U(2)) | U(i)) % U(groups)).astype(np.int64)
     return out
 
 
@@ -169,9 +169,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     counts = found.select("codes").mapInArrow(prefixes, "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
     heavy: list[list[int]] = [[] for _ in LEVELS]
-    for x in counts.where(F.col("n") > GROUP).collect():  # at most len(LEVELS) * suffixes / GROUP rows
-        heavy[x["level"]].append(x["prefix"])
+    total = 0
+    for x in counts.where((F.col("n") > GROUP) | (F.col("level") == 0)).collect():  # at most 256 + len(LEVELS) * suffixes / GROUP rows
+        total += x["n"] * (x["level"] == 0)
+        if x["n"] > GROUP:
+            heavy[x["level"]].append(x["prefix"])
     told = spark.sparkContext.broadcast([np.array(x, U) for x in heavy])
+    groups = max(1, -(-2 * total // GROUP))
 
     def send(own: pa.Table, codes: pa.Table) -> pa.Table:
         out: dict[str, list] = {"group": [], "bucket": [], "block": []}
@@ -192,7 +196,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
             last = np.r_[first[1:], len(key)] - 1
             if len(first):
-                group = group_of(code[first], told.value)
+                group = group_of(code[first], told.value, groups)
                 o = np.argsort(group, kind="stable")
                 cut = np.flatnonzero(np.r_[True, np.diff(group[o]) > 0, True])
                 for i in np.split(o, cut[1:-1]):
