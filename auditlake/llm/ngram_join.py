@@ -16,9 +16,9 @@ Columns are ordered by a frequency sketch of fixed size that counts every n-gram
 of every document, frequent ones last, so that common passages are multiplied
 only where a row has little else.  Blocks are hash ranges of columns.
 
-Links are wanted up to connectivity.  A first product links each column's rows
-with its first row only; components of verified links follow.  A second one
-takes the columns whose rows are still in several components, and multiplies
+Links are wanted up to connectivity.  The first products link each column's rows
+with its most central row only; components of verified links follow.  The last
+one takes the columns whose rows are still in several components, and multiplies
 rows of different components: every link is then inside a component, and a group
 of a million near copies costs a million pairs, not their square.  Overlaps of
 surviving pairs are accumulated over the whole rows, block by block of columns.
@@ -41,6 +41,8 @@ from .words import U, Words, mix, pieces
 CELLS, PIECE = 1 << 22, 1 << 16
 #: Rows of two longs up to which a side is broadcast; above, both sides are shuffled.
 BROADCAST = 1_000_000
+#: Rounds of links to the centre of each column before all that is left is counted.
+ROUNDS = 3
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -193,29 +195,78 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     behind = f"size - (size - CAST(ceil({percent} * size / 100D - 1e-9D) AS BIGINT) + 1)"
     after = F.row_number().over(Window.partitionBy("class").orderBy("left"))
     entries = durable(both.where("col IS NOT NULL").select("col", "class", "size", "left", "last", (F.expr(behind) + after).alias("tight")))
-    reach = "least(if(x.last <= y.last, x.tight, x.left), if(y.last <= x.last, y.tight, y.left))" + f" >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
-    first = entries.groupBy("col").agg(F.min(F.struct("size", "class", "left", "last", "tight")).alias("f")).select("col", "f.*")
-    pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    pairs = entries.alias("x").join(first.alias("y"), "col").where(f"x.class != y.class AND {reach}").select(*pair).distinct()
+    # a row is central if its columns are common to many rows: the original of a group of near copies is
+    many = entries.groupBy("col").agg(F.count("*").alias("n"))
+    central = entries.join(many, "col").groupBy("class").agg(F.avg("n").alias("central"))
+    entries = durable(entries.join(central, "class"))
 
     # one text of each class, whose row of the matrix is read again where a pair has to be counted
     texts = members.where("size > 0").groupBy("class").agg(F.min("id").alias("id"))
-    links = durable(_verified(pairs, rows, texts, n, percent))
-    found = components(links)
-    told_by = entries.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    told_by = durable(told_by)
-    most = told_by.groupBy("col", "component").agg(F.count("*").alias("n")).groupBy("col").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = told_by.join(most, "col")
-    x, y = open_.where("component != main").alias("x"), open_.alias("y")
-    rest = x.join(y, F.col("x.col") == F.col("y.col")).where(f"x.component != y.component AND (y.component = y.main OR x.class < y.class) AND {reach}").select(*pair).distinct()
-    links = links.unionByName(_verified(rest.join(pairs, ["a", "b"], "left_anti"), rows, texts, n, percent))
-    found = components(links)
+    tried = links = None
+    told_by = entries.withColumn("component", F.col("class"))
+    for _ in range(ROUNDS):
+        pairs = _stars(told_by, percent)
+        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        new = durable(_verified(pairs, rows, texts, n, percent))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = new if links is None else links.unionByName(new)
+        if new.isEmpty():
+            break
+        found = components(links)
+        told_by = durable(entries.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
+    rest = _across(told_by, percent, slots).join(tried, ["a", "b"], "left_anti")
+    found = components(links.unionByName(_verified(rest, rows, texts, n, percent)))
     named = members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.where("size > 0").groupBy("component").agg(F.min("id").alias("low"))
     out = named.join(least, (named["component"] == least["component"]) & (named["size"] > 0), "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
 
 
+def _stars(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each column that link its components' most central rows with that of the largest component."""
+    row = F.struct("central", "class", "size", "left", "last", "tight")
+    best = entries.groupBy("col", "component").agg(F.max(row).alias("x"), F.count("*").alias("n"))
+    main = best.groupBy("col").agg(F.max(F.struct("n", "x")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("col", F.col("m.x").alias("y"))
+    reach = "least(if(x.last <= y.last, x.tight, x.left), if(y.last <= x.last, y.tight, y.left))" + f" >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
+    return best.join(main, "col").where(f"x.class != y.class AND {reach}").select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
+def _across(entries: DataFrame, percent: int, slots: int) -> DataFrame:
+    """All pairs of rows of different components that can still reach the bound, once each.
+
+    Rows of a column's largest component don't meet each other.  What a row meets
+    in a block of columns is one packed row, and those are united by row.
+    """
+    parts = entries.groupBy("col", "component").agg(F.count("*").alias("n")).groupBy("col").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
+    parts = parts.where("parts > 1").select("col", F.col("m.component").alias("main"))
+    blocks = max(1, slots // 8)
+    open_ = entries.join(parts, "col").select(F.pmod(F.xxhash64("col"), F.lit(blocks)).cast("int").alias("slot"), "col", "class", "size", "left", "last", "tight", "component", "main")
+
+    def meet(t: pa.Table) -> pa.Table:
+        col, cls, size, left, last, tight, comp, main = (t.column(c).to_numpy() for c in ("col", "class", "size", "left", "last", "tight", "component", "main"))
+        order = np.argsort(col, kind="stable")
+        met: list[np.ndarray] = []
+        for own in np.split(order, np.flatnonzero(np.diff(col[order])) + 1):
+            few = own[comp[own] != main[own]]
+            step = max(1, (1 << 20) // len(own))
+            for k in range(0, len(few), step):
+                x, y = few[k : k + step, None], own[None, :]
+                fits = (comp[x] != comp[y]) & ((comp[y] == main[y]) | (cls[x] < cls[y]))
+                can = np.minimum(np.where(last[x] <= last[y], tight[x], left[x]), np.where(last[y] <= last[x], tight[y], left[y]))
+                i, j = np.nonzero(fits & (can >= need(size[x], size[y], percent)))
+                met.append(np.stack([cls[few[k + i]], cls[own[j]]], 1))
+        pairs = np.unique(np.concatenate(met), axis=0) if met else np.zeros((0, 2), np.int64)
+        cut = np.flatnonzero(np.r_[True, np.diff(pairs[:, 0]) != 0, True]) if len(pairs) else np.zeros(1, int)
+        return pa.table({"x": pa.array(pairs[cut[:-1], 0], pa.int64()), "ys": pa.array([pack(v) for v in np.split(pairs[:, 1], cut[1:-1])] if len(pairs) else [], pa.binary())})
+
+    def unite(key: tuple, t: pa.Table) -> pa.Table:
+        ys = np.unique(np.concatenate([unpack(v.as_py(), np.int64)[0] for v in t.column("ys")]))
+        x = key[0].as_py()
+        return pa.table({"a": pa.array(np.minimum(x, ys)), "b": pa.array(np.maximum(x, ys))})
+
+    return open_.groupBy("slot").applyInArrow(meet, "x long, ys binary").groupBy("x").applyInArrow(unite, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs of classes whose whole rows overlap enough."""
     pairs = durable(pairs)
