@@ -38,10 +38,14 @@ def mask_secrets(x: Column) -> Column:
 
 def _mask_matches(x: Column, pattern: str) -> Column:
     """Each match of a pattern through mask_value: split around the matches and put the masked ones between."""
-    found = F.regexp_extract_all(x, F.lit(f"({pattern})"), 1)
-    between = F.split(x, pattern, -1)
-    joined = F.array_join(F.zip_with(between, F.transform(found, mask_value), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(x.rlike(pattern), joined).otherwise(x)
+
+    def masked(v: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(v, F.lit(f"({pattern})"), 1), mask_value)
+        joined = F.array_join(F.zip_with(F.split(v, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(v.rlike(pattern), joined).otherwise(v)
+
+    # the value is bound once, or nested masks would repeat what is below them
+    return F.get(F.transform(F.array(x), masked), F.lit(0))
 
 
 def looks_like_secret(x: Column) -> Column:

@@ -30,38 +30,36 @@ def _lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _re2(p: str) -> str:
-    return _lit(p)
-
-
 # --- masks in SQL: the same steps, each match through its own expression
 def _mask_sql(x: str) -> str:
-    """The masks without the URL password, which the SQL engine's dialect words differently."""
+    """All masks of an expression."""
     key = t.KEY_VALUE
     x = f"regexp_replace({x}, {_lit(t.URL_PASSWORD)}, '\\1***\\3', 'g')"
     x = f"regexp_replace({x}, {_lit(key)}, '\\1\\2\\3***\\4', 'g')"
     for p in (t.JWT, t.AWS_ID, t.PROVIDER_TOKEN, t.LONG_HEX):
-        x = (
-            f"(SELECT array_to_string(list_transform(list_zip(string_split_regex(v, {_lit(p)}), regexp_extract_all(v, {_lit(p)})), lambda z: concat(z[1], CASE WHEN z[2] IS NULL THEN '' ELSE concat(left(z[2], 2), '***', right(z[2], 2)) END)), '') FROM (SELECT {x} AS v))"
-        )
+        found = f"regexp_extract_all(v, {_lit(p)})"
+        ends = "concat(z[1], CASE WHEN z[2] IS NULL THEN '' ELSE concat(left(z[2], 2), '***', right(z[2], 2)) END)"
+        x = f"list_transform([{x}], lambda v: CASE WHEN regexp_matches(v, {_lit(p)}) THEN array_to_string(list_transform(list_zip(string_split_regex(v, {_lit(p)}), {found}), lambda z: {ends}), '') ELSE v END)[1]"
     return x
 
 
 def _rules_sql(rules: list[r.Rule], width: int, masks: int, cap: str = "cap") -> str:
-    values = ", ".join(f"({i}, {_lit(x.id)}, {_lit(x.check)}, {_lit(x.module)}, {_lit(x.severity)}, {_lit(x.confidence)}, {_lit(x.title)}, {_lit(x.pattern)}, {_lit(x.include or '.')}, {_lit(x.exclude or chr(0) + 'none')}, {x.cap})" for i, x in enumerate(rules))
+    values = ", ".join(f"({i}, {_lit(x.id)}, {_lit(x.check)}, {_lit(x.module)}, {_lit(x.severity)}, {_lit(x.confidence)}, {_lit(x.title)}, {x.cap})" for i, x in enumerate(rules))
+    gate = lambda x: (f" AND regexp_matches(path, {_lit(x.include)})" if x.include else "") + (f" AND NOT regexp_matches(path, {_lit(x.exclude)})" if x.exclude else "")
+    hits = " UNION ALL ".join(f"SELECT {i} AS n, repo_id, path, line_no, line FROM line WHERE regexp_matches(line, {_lit(x.pattern)}){gate(x)}" for i, x in enumerate(rules))
     excerpt = f"substring(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, {width})"
     for _ in range(masks):
         excerpt = _mask_sql(excerpt)
     return f"""
-rule(n, rule_id, "check", module, severity, confidence, title, pattern, include, exclude, cap) AS (VALUES {values}),
-hit AS (SELECT * FROM line, rule WHERE regexp_matches(path, include) AND NOT regexp_matches(path, exclude) AND regexp_matches(line, pattern)),
+rule(n, rule_id, "check", module, severity, confidence, title, cap) AS (VALUES {values}),
+hits AS ({hits}),
+hit AS (SELECT * FROM hits JOIN rule USING (n)),
 few AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, rule_id ORDER BY line_no) AS place FROM hit),
 cut AS (SELECT *, {excerpt} AS excerpt FROM few WHERE place <= {cap}),
 named AS (SELECT *, substring(sha1(concat_ws('|', module, "check", title, concat(path, '|', trim(regexp_replace(excerpt, '\\s+', ' ', 'g'))))), 1, 16) AS fingerprint FROM cut),
 first AS (SELECT *, row_number() OVER (PARTITION BY repo_id, fingerprint ORDER BY path, line_no) AS nth FROM named)"""
 
 
-_SCANNED = f"scanned AS (SELECT * FROM line WHERE regexp_matches(path, {_lit(r.CODE_FILE)}) AND NOT regexp_matches(path, {_lit(r.NOT_SCANNED)}))"
 #: Rules whose validators SQL words differently are left to tests.
 _PLAIN = [x for x in r.SAST if x.validate is None]
 _CODE = f"WITH {CODE_SQL}"
@@ -232,7 +230,7 @@ def scoreboard(spark: S, sf: str) -> D:
     return _board(spark, sf)
 
 
-@query("overall_score", f"{_BOARD} SELECT repo_id, floor(avg(score) * 10 + 0.5) / 10 AS overall_score FROM board GROUP BY repo_id")
+@query("overall_score", f"{_BOARD} SELECT repo_id, floor(sum(round(score * 10)::BIGINT) / count(score) + 0.5) / 10 AS overall_score FROM board GROUP BY repo_id")
 def overall_score(spark: S, sf: str) -> D:
     return rollup.overall_score(_board(spark, sf))
 
