@@ -9,7 +9,8 @@ from auditlake.functions import text as t
 from auditlake.operators import enrich, observed, rollup, scan
 from auditlake.operators import rules as r
 from auditlake.sources import corpus
-from auditlake.sources.corpus import CODE_SQL, FINDING_IDS, quoted
+from auditlake.sources.corpus import CODE_SQL, quoted
+from auditlake.streaming import streams
 
 S, D = SparkSession, DataFrame
 QUERIES: dict = {}
@@ -309,3 +310,15 @@ def rate_limit_absent(spark: S, sf: str) -> D:
 def authorized_target(spark: S, sf: str) -> D:
     seen = spark.read.parquet(f"{sf}/pages.parquet").select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host")).distinct()
     return observed.authorized_target(seen, spark.createDataFrame([("example.com",), ("example.org",)], "host string"))
+
+
+# --- streams, run until all that is there has been read
+@query("stream_history", "WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS w, event_type, max(ts) OVER () AS last FROM events) SELECT w AS window_start, event_type, count(*) AS n FROM e WHERE w + INTERVAL 1 DAY <= last - INTERVAL 1 DAY GROUP BY ALL")
+def stream_history(spark: S, sf: str) -> D:
+    return streams.drained(streams.stream_history(streams.arriving(spark, f"{sf}/events.parquet")))
+
+
+@query("stream_scan", f"{_CODE}, {_rules_sql(r.CLOUD, 160, 0)} SELECT repo_id, path, line_no, rule_id, severity FROM hit")
+def stream_scan(spark: S, sf: str) -> D:
+    parts = streams.arriving(spark, f"{sf}/part.parquet")
+    return streams.drained(streams.stream_scan(scan.lines(corpus.code_of(parts)), r.CLOUD))

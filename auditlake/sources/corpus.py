@@ -29,8 +29,12 @@ def quoted(words: list[str]) -> str:
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of the given parts."""
+    return code_of(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand"))
+
+
+def code_of(part: DataFrame) -> DataFrame:
     """repo_id, path, content: a file a part, its repository the brand, its lines picked by arithmetic on the key."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
     words, ends = F.array(*map(F.lit, SNIPPETS)), F.array(*map(F.lit, EXTENSIONS))
     k = F.col("p_partkey")
     pick = lambda i: F.get(words, ((k * 7 + i * (k % 11 + 13)) % len(SNIPPETS)).cast("int"))
