@@ -34,9 +34,9 @@ def kev_epss_enrich(findings: DataFrame, kev: DataFrame, epss: DataFrame, key: l
     kev, or if epss is 0.5 or more.  Both feeds are joined by CVE, which Spark
     broadcasts only if they are small; only key and CVE are shuffled.
     """
-    known = kev.select(F.upper("cve").alias("cve")).distinct().withColumn("listed", F.lit(True))
-    likely = epss.groupBy(F.upper("cve").alias("cve")).agg(F.max("score").alias("score"))
-    by = findings.select(*key, F.explode("cves").alias("cve")).join(known, "cve", "left").join(likely, "cve", "left")
+    known = kev.select(F.upper("cve").alias("__cve")).distinct().withColumn("listed", F.lit(True))
+    likely = epss.groupBy(F.upper("cve").alias("__cve")).agg(F.max("score").alias("score"))
+    by = findings.select(*key, F.explode("cves").alias("__cve")).join(known, "__cve", "left").join(likely, "__cve", "left")
     found = by.groupBy(*key).agg(F.coalesce(F.bool_or("listed"), F.lit(False)).alias("kev"), F.max("score").alias("epss"))
     out = findings.join(found, key, "left").withColumn("kev", F.coalesce("kev", F.lit(False)))
     return out.withColumn("exploitability", F.when(F.col("kev") | (F.coalesce("epss", F.lit(0.0)) >= 0.5), "high").otherwise(F.col("exploitability")))
