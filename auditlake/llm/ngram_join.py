@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, components, durable, pack, ship, unpack, width
+from .common import columns, components, durable, pack, ship, stored, unpack, width
 from .words import U, Words, mix, pieces
 
 #: Cells of the frequency sketch (a power of two) and of one piece of it.
@@ -42,7 +42,9 @@ CELLS, PIECE = 1 << 22, 1 << 16
 #: Rows of two longs up to which a side is broadcast; above, both sides are shuffled.
 BROADCAST = 1_000_000
 #: Rounds of links to the centre of each column before all that is left is counted.
-ROUNDS = 3
+ROUNDS = 2
+#: Documents a block of rows, and rows that ask a block in one task.
+ROWS, ASKERS = 500, 2000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -173,7 +175,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = t.filter(pc.is_valid(t.column("class"))).select(["id", "class", "size"])
         blocks = t.column("block").drop_null()
         if not len(blocks):
-            return pa.table({"col": pa.nulls(len(own), pa.int64()), "id": own["id"], "class": own["class"], "size": own["size"], "left": pa.nulls(len(own), pa.int64()), "last": pa.nulls(len(own), pa.int64())})
+            return pa.table({"col": pa.nulls(len(own), pa.int64()), "id": own["id"], "class": own["class"], "size": own["size"], "left": pa.nulls(len(own), pa.int64()), "last": pa.nulls(len(own), pa.int64()), "many": pa.nulls(len(own), pa.int64())})
         got = [unpack(x.as_py(), U, np.int64, np.int32, np.int32, np.int64) for x in blocks]
         c, k, z, r, e = (np.concatenate(x) for x in zip(*got))
         o = np.lexsort((k, z, c))
@@ -182,57 +184,70 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         c, k, z, r, e = c[new], k[new], z[new], r[new], e[new]
         same = c[1:] == c[:-1]
         keep = np.r_[False, same] | np.r_[same, False]
+        begin = np.flatnonzero(np.r_[True, ~same])
+        many = np.repeat(np.diff(np.r_[begin, len(c)]), np.diff(np.r_[begin, len(c)]))
         n_own, n_new = len(own), int(keep.sum())
         join = lambda x, y: pa.chunked_array([*x.chunks, pa.array(y, pa.int64())], pa.int64())
         none = pa.chunked_array([pa.nulls(n_own, pa.int64())])
-        return pa.table({"col": join(none, c[keep].view(np.int64)), "id": join(own["id"], [None] * n_new), "class": join(own["class"], k[keep]), "size": join(own["size"], z[keep]), "left": join(none, r[keep]), "last": join(none, e[keep])})
+        return pa.table({"col": join(none, c[keep].view(np.int64)), "id": join(own["id"], [None] * n_new), "class": join(own["class"], k[keep]), "size": join(own["size"], z[keep]), "left": join(none, r[keep]), "last": join(none, e[keep]), "many": join(none, many[keep])})
 
     both = rows.mapInArrow(multiply_in, "slot int, id long, class long, size long, block binary")
-    both = durable(both.groupBy("slot").applyInArrow(meet, "col long, id long, class long, size long, left long, last long"))
+    both = stored(both.groupBy("slot").applyInArrow(meet, "col long, id long, class long, size long, left long, last long, many long"))
     members = both.where("col IS NULL").select("id", "class", "size")
     # what a meeting can still reach: all that follows (left), or, in the row whose prefix ends first,
     # what follows that other prefixes have too, and all behind the prefix (tight)
     behind = f"size - (size - CAST(ceil({percent} * size / 100D - 1e-9D) AS BIGINT) + 1)"
     after = F.row_number().over(Window.partitionBy("class").orderBy("left"))
-    entries = durable(both.where("col IS NOT NULL").select("col", "class", "size", "left", "last", (F.expr(behind) + after).alias("tight")))
     # a row is central if its columns are common to many rows: the original of a group of near copies is
-    many = entries.groupBy("col").agg(F.count("*").alias("n"))
-    central = entries.join(many, "col").groupBy("class").agg(F.avg("n").alias("central"))
-    entries = durable(entries.join(central, "class"))
+    central = F.avg("many").over(Window.partitionBy("class"))
+    entries = stored(both.where("col IS NOT NULL").select("col", "class", "size", "left", "last", (F.expr(behind) + after).alias("tight"), central.alias("central")))
 
     # one text of each class, whose row of the matrix is read again where a pair has to be counted
     texts = members.where("size > 0").groupBy("class").agg(F.min("id").alias("id"))
+    row_blocks = max(1, -(-members.count() // ROWS))
+    check = lambda asked, wanted: stored(_verified(asked, wanted, rows, texts, n, percent, row_blocks))
     tried = links = None
     told_by = entries.withColumn("component", F.col("class"))
     for _ in range(ROUNDS):
         pairs = _stars(told_by, percent)
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        new = durable(_verified(pairs, rows, texts, n, percent))
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
+        new = check(pairs.select("x", F.array("y").alias("ys"), F.array("y").alias("cs"), _block("y", row_blocks).alias("block")), pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct())
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         if new.isEmpty():
             break
-        found = components(links)
-        told_by = durable(entries.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
-    rest = _across(told_by, percent, slots).join(tried, ["a", "b"], "left_anti")
-    found = components(links.unionByName(_verified(rest, rows, texts, n, percent)))
+        told_by = _told(entries, components(links))
+    asked, wanted = _across(told_by, percent, slots, row_blocks)
+    found = components(links.unionByName(check(asked, wanted)))
     named = members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.where("size > 0").groupBy("component").agg(F.min("id").alias("low"))
     out = named.join(least, (named["component"] == least["component"]) & (named["size"] > 0), "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
 
 
+def _block(y: str, row_blocks: int) -> Column:
+    """The block of rows that a class belongs to when texts are compared."""
+    return F.pmod(F.col(y), F.lit(row_blocks)).cast("int")  # classes are hashes
+
+
+def _told(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """entries with the component of their class."""
+    found = stored(found.withColumnRenamed("node", "class"))
+    side = F.broadcast(found) if found.count() <= BROADCAST else found
+    return entries.join(side, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
 def _stars(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each column that link its components' most central rows with that of the largest component."""
+    """Pairs (x, y) of each column that link its components' most central rows with that of the largest component."""
     row = F.struct("central", "class", "size", "left", "last", "tight")
     best = entries.groupBy("col", "component").agg(F.max(row).alias("x"), F.count("*").alias("n"))
     main = best.groupBy("col").agg(F.max(F.struct("n", "x")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("col", F.col("m.x").alias("y"))
     reach = "least(if(x.last <= y.last, x.tight, x.left), if(y.last <= x.last, y.tight, y.left))" + f" >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
-    return best.join(main, "col").where(f"x.class != y.class AND {reach}").select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    return best.join(main, "col").where(f"x.class != y.class AND {reach}").select(F.col("x.class").alias("x"), F.col("y.class").alias("y")).distinct()
 
 
-def _across(entries: DataFrame, percent: int, slots: int) -> DataFrame:
-    """All pairs of rows of different components that can still reach the bound, once each.
+def _across(entries: DataFrame, percent: int, slots: int, row_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that can still reach the bound with rows of other components: (x, ys, cs (their components), block), and the classes in question.
 
     Rows of a column's largest component don't meet each other.  What a row meets
     in a block of columns is one packed row, and those are united by row.
@@ -240,7 +255,7 @@ def _across(entries: DataFrame, percent: int, slots: int) -> DataFrame:
     parts = entries.groupBy("col", "component").agg(F.count("*").alias("n")).groupBy("col").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
     parts = parts.where("parts > 1").select("col", F.col("m.component").alias("main"))
     blocks = max(1, slots // 8)
-    open_ = entries.join(parts, "col").select(F.pmod(F.xxhash64("col"), F.lit(blocks)).cast("int").alias("slot"), "col", "class", "size", "left", "last", "tight", "component", "main")
+    open_ = stored(entries.join(parts, "col").select(F.pmod(F.xxhash64("col"), F.lit(blocks)).cast("int").alias("slot"), "col", "class", "size", "left", "last", "tight", "component", "main"))
 
     def meet(t: pa.Table) -> pa.Table:
         col, cls, size, left, last, tight, comp, main = (t.column(c).to_numpy() for c in ("col", "class", "size", "left", "last", "tight", "component", "main"))
@@ -254,45 +269,65 @@ def _across(entries: DataFrame, percent: int, slots: int) -> DataFrame:
                 fits = (comp[x] != comp[y]) & ((comp[y] == main[y]) | (cls[x] < cls[y]))
                 can = np.minimum(np.where(last[x] <= last[y], tight[x], left[x]), np.where(last[y] <= last[x], tight[y], left[y]))
                 i, j = np.nonzero(fits & (can >= need(size[x], size[y], percent)))
-                met.append(np.stack([cls[few[k + i]], cls[own[j]]], 1))
-        pairs = np.unique(np.concatenate(met), axis=0) if met else np.zeros((0, 2), np.int64)
+                met.append(np.stack([cls[few[k + i]], cls[own[j]], comp[own[j]]], 1))
+        pairs = np.unique(np.concatenate(met), axis=0) if met else np.zeros((0, 3), np.int64)
         cut = np.flatnonzero(np.r_[True, np.diff(pairs[:, 0]) != 0, True]) if len(pairs) else np.zeros(1, int)
-        return pa.table({"x": pa.array(pairs[cut[:-1], 0], pa.int64()), "ys": pa.array([pack(v) for v in np.split(pairs[:, 1], cut[1:-1])] if len(pairs) else [], pa.binary())})
+        return pa.table({"x": pa.array(pairs[cut[:-1], 0], pa.int64()), "ys": pa.array([pack(v[:, 0], v[:, 1]) for v in np.split(pairs[:, 1:], cut[1:-1])] if len(pairs) else [], pa.binary())})
 
     def unite(key: tuple, t: pa.Table) -> pa.Table:
-        ys = np.unique(np.concatenate([unpack(v.as_py(), np.int64)[0] for v in t.column("ys")]))
-        x = key[0].as_py()
-        return pa.table({"a": pa.array(np.minimum(x, ys)), "b": pa.array(np.maximum(x, ys))})
-
-    return open_.groupBy("slot").applyInArrow(meet, "x long, ys binary").groupBy("x").applyInArrow(unite, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of classes whose whole rows overlap enough."""
-    pairs = durable(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(texts, "class").select("class", "id")
-    wanted = durable(wanted)
-    few = wanted.count() <= BROADCAST
+        got = [unpack(v.as_py(), np.int64, np.int64) for v in t.column("ys")]
+        ys, at = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
+        cs = np.concatenate([g[1] for g in got])[at]
+        part = (ys % row_blocks).astype(np.int32)
+        out: dict[str, list] = {"x": [], "ys": [], "cs": [], "block": []}
+        for k in np.unique(part):
+            own = part == k
+            for n, v in zip(out, (key[0].as_py(), ys[own], cs[own], int(k))):
+                out[n].append(v)
+        return pa.table({"x": pa.array(out["x"], pa.int64()), "ys": pa.array(out["ys"], pa.list_(pa.int64())), "cs": pa.array(out["cs"], pa.list_(pa.int64())), "block": pa.array(out["block"], pa.int32())})
+
+    asked = open_.groupBy("slot").applyInArrow(meet, "x long, ys binary").groupBy("x").applyInArrow(unite, "x long, ys array<long>, cs array<long>, block int")
+    return asked, open_.select("class").distinct()
+
+
+def _verified(asked: DataFrame, wanted: DataFrame, rows: DataFrame, texts: DataFrame, n: int, percent: int, row_blocks: int) -> DataFrame:
+    """Links (a, b) that asked (x, ys, cs, block) rows have, one for each of the components cs at most.
+
+    A row's text goes once to each block that it asks, and a block's texts to as
+    many parts as its askers fill, so that neither side grows in a task.
+    """
+    asked = stored(asked)
+    few = wanted.join(texts, "class")
+    few = stored(few.select("class", "id"))
     # the whole texts need not be shuffled for few classes
-    text = rows.join(F.broadcast(wanted) if few else wanted, "id").groupBy("class").agg(F.first("text").alias("text"))
-    joined = pairs.join(text.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(text.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                keep = []
-                for i, (s, t) in enumerate(zip(shingle_sets(b.column(2), n), shingle_sets(b.column(3), n))):
+    side = F.broadcast(few) if few.count() <= BROADCAST else few
+    text = stored(rows.join(side, "id").groupBy("class").agg(F.first("text").alias("text")))
+    parts = asked.groupBy("block").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("parts"))
+    left = asked.join(text.select(F.col("class").alias("x"), F.col("text").alias("x_text")), "x").join(F.broadcast(parts), "block").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")  # a row a block
+    right = text.withColumn("block", _block("class", row_blocks)).join(F.broadcast(parts), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("class").alias("y"), F.col("text").alias("y_text"))
+
+    def count(own: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(own) and len(others):
+            known = dict(zip(others.column("y").to_pylist(), shingle_sets(others.column("y_text"), n)))
+            for x, ys, cs, s in zip(own.column("x").to_pylist(), own.column("ys").to_pylist(), own.column("cs").to_pylist(), shingle_sets(own.column("x_text"), n)):
+                done: set[int] = set()
+                for y, c in zip(ys, cs):
+                    t = known.get(y)
+                    if t is None or c in done:
+                        continue
                     overlap = 0
                     for k in range(0, len(s), 1 << 16):  # by blocks of columns
-                        own = s[k : k + (1 << 16)]
-                        part = t[np.searchsorted(t, own[0]) : np.searchsorted(t, own[-1], "right")]
-                        overlap += len(np.intersect1d(own, part, assume_unique=True))
+                        part = s[k : k + (1 << 16)]
+                        at = np.minimum(np.searchsorted(t, part), len(t) - 1)
+                        overlap += int(np.count_nonzero(t[at] == part))
                     if 100 * overlap >= percent * (len(s) + len(t) - overlap):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
+                        done.add(c)
+                        a.append(min(x, y))
+                        b.append(max(x, y))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return joined.select("a", "b", "x", "y").mapInArrow(count, "a long, b long")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(count, "a long, b long")
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
