@@ -33,7 +33,7 @@ from .common import columns, durable, pack, ship, unpack, width
 from .words import U, Words, mix, pieces
 
 #: Words of an anchor; text bytes of a bucket of documents; suffixes of a group.
-ANCHOR, BUCKET_BYTES, GROUP = 7, 4 << 20, 30_000
+ANCHOR, BUCKET_BYTES, GROUP = 7, 4 << 20, 10_000
 _LAST = (1 << 63) - 1
 #: Bits of a code that stand for its first one, two, three words, and for the finest split.
 LEVELS = (8, 16, 24, 48)
