@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import enrich, parity, rollup
-from auditlake.plans.queries import D, S, query
+from auditlake.operators import enrich, exports, parity, rollup
+from auditlake.plans.queries import _RISK_CASE, D, S, query
 from auditlake.sources import corpus, imports
 
 NOW = "1998-01-01"
@@ -150,3 +150,46 @@ def asvs_checklist(spark: S, sf: str) -> D:
 def checklist_score(spark: S, sf: str) -> D:
     x = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.expr("concat('r', l_orderkey % 100) AS repo_id"), F.expr("element_at(array('pass', 'partial', 'fail', 'unknown'), CAST(l_partkey % 4 + 1 AS INT)) AS status"))
     return rollup.checklist_score(x)
+
+
+# --- exports and manifests
+_FOUND = f"WITH {corpus.findings_sql()}"
+
+
+@query("playbook", f"{_FOUND}, e AS (SELECT *, ({_RISK_CASE(0)})::DOUBLE AS cvss, {_RISK_CASE(1)} AS ex FROM finding WHERE severity IN ('P0', 'P1')) SELECT repo_id, id, severity, printf('CVSS %.1f, %s', cvss, ex) AS risk, count(*) AS n FROM e GROUP BY ALL")
+def playbook(spark: S, sf: str) -> D:
+    out = exports.playbook(enrich.risk_enrich(corpus.findings(spark, sf)))
+    return out.groupBy("repo_id", "id", "severity", "risk").agg(F.count("*").alias("n"))
+
+
+@query("history_rows", f"{_FOUND}, b AS (SELECT DISTINCT repo_id, fingerprint FROM finding WHERE seen != 0), n AS (SELECT DISTINCT repo_id, fingerprint FROM finding WHERE seen != 1), t AS (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE severity = 'P0') AS p0, count(*) FILTER (WHERE severity = 'P1') AS p1, count(*) FILTER (WHERE severity = 'P2') AS p2, count(*) FILTER (WHERE severity = 'P3') AS p3, count(*) FILTER (WHERE (repo_id, fingerprint) NOT IN (SELECT (repo_id, fingerprint) FROM b)) AS introduced, count(*) FILTER (WHERE (repo_id, fingerprint) IN (SELECT (repo_id, fingerprint) FROM b)) AS persisting FROM finding WHERE seen != 1 GROUP BY repo_id), x AS (SELECT repo_id, count(*) AS fixed FROM finding WHERE seen != 0 AND (repo_id, fingerprint) NOT IN (SELECT (repo_id, fingerprint) FROM n) GROUP BY repo_id) SELECT t.*, coalesce(fixed, 0) AS fixed FROM t LEFT JOIN x USING (repo_id)")
+def history_rows(spark: S, sf: str) -> D:
+    f = corpus.findings(spark, sf)
+    return exports.history_rows(f.where("seen != 1"), enrich.delta(f.where("seen != 0"), f.where("seen != 1")))
+
+
+@query("export_sarif")
+def export_sarif(spark: S, sf: str) -> D:
+    return exports.export_sarif(corpus.findings(spark, sf))
+
+
+_PACKAGE = """CASE p_partkey % 3 WHEN 0 THEN concat('{"dependencies": {"dd-trace": "1", "a', p_size, '": "2"}, "devDependencies": {"jest": "1"}}') WHEN 1 THEN concat('# note', chr(10), 'Django>=4', chr(10), 'lib', p_size, '[x]==1', chr(10)) ELSE concat('module m', chr(10), 'require github.com/A/b', p_size, ' v1.2.3') END"""
+_WHERE = "concat('p', p_partkey, CASE p_partkey % 3 WHEN 0 THEN '/package.json' WHEN 1 THEN '/requirements.txt' ELSE '/go.mod' END)"
+
+
+def _deps(spark: S, sf: str) -> D:
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return exports.manifest_deps(p.select(F.expr("concat(p_brand, '-', p_partkey % 40) AS repo_id"), F.expr(f"{_WHERE} AS path"), F.expr(f"{_PACKAGE} AS content")))
+
+
+_DEPS = "WITH p AS (SELECT concat(p_brand, '-', p_partkey % 40) AS repo_id, p_partkey % 3 AS k, p_size FROM part), d AS (SELECT repo_id, unnest(['dd-trace', 'a' || p_size, 'jest']) AS dep FROM p WHERE k = 0 UNION SELECT repo_id, unnest(['django', 'lib' || p_size]) FROM p WHERE k = 1 UNION SELECT repo_id, 'github.com/a/b' || p_size FROM p WHERE k = 2)"
+
+
+@query("manifest_deps", f"{_DEPS} SELECT DISTINCT repo_id, dep FROM d")
+def manifest_deps(spark: S, sf: str) -> D:
+    return _deps(spark, sf)
+
+
+@query("dependency_presence", f"{_DEPS} SELECT repo_id, bool_or(dep LIKE 'dd-%' OR dep LIKE 'lib1%') AS present FROM d GROUP BY repo_id")
+def dependency_presence(spark: S, sf: str) -> D:
+    return exports.dependency_presence(_deps(spark, sf), ["dd-", "lib1"])
