@@ -44,7 +44,7 @@ BROADCAST = 1_000_000
 #: Rounds of links to the centre of each column before all that is left is counted.
 ROUNDS = 2
 #: Documents a block of rows, and rows that ask a block in one task.
-ROWS, ASKERS = 500, 2000
+ROWS, ASKERS = 4000, 2000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
