@@ -7,7 +7,12 @@ query opens a window around its own place on every line; all windows widen
 together (virtual rehashing: a wider window is the union of finer buckets, so
 only what is new at its ends is read), and each vector counts the lines on which
 it has come into the window.  Vectors that reach the collision threshold are
-verified by their true inner product; a query stops once enough are verified.
+verified by their true inner product.  A query stops when a vector as near as its
+k-th best so far would have reached the threshold with probability ``SURE``: on
+a line it lies within the window with the probability that a normal variate
+stays below half width / distance, and lines are independent.  So the recall
+that is aimed at holds at any number of rows; how many are verified follows from
+the data, up to all of a block.
 
 Every row is indexed and blocks of queries meet blocks of vectors, so a task
 holds one block of either.
@@ -15,7 +20,9 @@ holds one block of either.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +32,23 @@ from pyspark.sql import functions as F
 from .common import columns, durable, pack, ship, unpack
 
 #: Rows of a block of vectors, of a block of queries; lines; share of the lines on which a candidate must collide.
-BLOCK, QUERIES, PROJECTIONS, SHARE = 8192, 512, 64, 0.6
-#: Share of a block that is verified before a query stops, and by how much windows widen.
-VERIFIED, WIDEN = 0.15, 1.25
-#: Candidates that are verified in a block at least.
-LEAST = 1000
+BLOCK, QUERIES, PROJECTIONS, SHARE = 8192, 512, 64, 0.75
+#: Probability with which each of the k nearest is verified before a query stops, and by how much windows widen.
+SURE, WIDEN = 0.99, 1.1
+
+
+@lru_cache
+def reach(lines: int, least: int, sure: float) -> float:
+    """Half width of windows, in distances, at which a vector collides on ``least`` of the lines with probability ``sure``."""
+
+    def sees(z: float) -> float:
+        p = math.erf(z / math.sqrt(2))
+        return sum(math.comb(lines, i) * p**i * (1 - p) ** (lines - i) for i in range(least, lines + 1))
+
+    low, high = 0.0, 8.0
+    for _ in range(60):
+        low, high = ((low + high) / 2, high) if sees((low + high) / 2) < sure else (low, (low + high) / 2)
+    return high
 
 
 def dots(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -44,7 +63,7 @@ class Block:
     """Sorted projections of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, most: float, projections: int = PROJECTIONS) -> None:
-        self.ids, self.rows = ids, rows
+        self.ids, self.rows, self.most = ids, rows, most
         lines = np.random.default_rng(rows.shape[1]).normal(size=(rows.shape[1] + 1, projections))
         wide = rows.astype(np.float64)
         rest = np.sqrt(np.maximum(0, most - (wide**2).sum(1)))
@@ -60,11 +79,13 @@ class Block:
         at = asked.astype(np.float64) @ self.lines
         return tuple(np.stack([np.searchsorted(s, at[:, j] + d, side) for j, s in enumerate(self.sorted)], 1) for d, side in ((-half, "left"), (half, "right")))
 
-    def nearest(self, qids: np.ndarray, asked: np.ndarray, k: int, share: float = SHARE, verified: float = VERIFIED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest(self, qids: np.ndarray, asked: np.ndarray, k: int, share: float = SHARE, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query ids, ids and scores of each query's k best verified candidates."""
         n, m = len(self.ids), len(self.order)
-        enough, least = min(n, int(max(LEAST, k + 1 + verified * n))), max(1, int(share * m))
+        least = max(1, int(share * m))
+        wide, own = reach(m, least, sure), (asked.astype(np.float64) ** 2).sum(1)
         hits = [np.zeros(n, np.int64) for _ in qids]
+        scores = [np.full(n, -np.inf) for _ in qids]  # of verified ones
         open_, out = list(range(len(qids))), []
         half, low, high = self.step, None, None
         while open_:
@@ -76,13 +97,16 @@ class Block:
                 else:
                     new = [self.order[j, lo[i, j] : low[i, j]] for j in range(m)] + [self.order[j, high[i, j] : hi[i, j]] for j in range(m)]
                 hits[i] += np.bincount(np.concatenate(new), minlength=n)
-                found = np.flatnonzero(hits[i] >= least)
-                if len(found) < enough and (lo[i].any() or (hi[i] < n).any()):
+                fresh = np.flatnonzero((hits[i] >= least) & np.isneginf(scores[i]) & (self.ids != qids[i]))
+                scores[i][fresh] = dots(self.rows[fresh], asked[i])
+                kth = np.partition(scores[i], n - k)[n - k] if k <= n else -np.inf
+                far = half / wide  # whoever is nearer has been verified, as surely as asked
+                if self.most + own[i] - 2 * kth > far * far and (lo[i].any() or (hi[i] < n).any()):
                     still.append(i)
                     continue
-                hits[i] = None
-                found = found[self.ids[found] != qids[i]]
-                score = dots(self.rows[found], asked[i])
+                found = np.flatnonzero(scores[i] > -np.inf)
+                score = scores[i][found]
+                hits[i] = scores[i] = None
                 top = np.lexsort((self.ids[found], -score))[:k]
                 out.append((np.full(len(top), qids[i]), self.ids[found[top]], score[top]))
             open_, low, high, half = still, lo, hi, half * WIDEN

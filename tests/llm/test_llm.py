@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,35 @@ def test_nearest(spark):
     assert ann.nearest(d.limit(0), d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [500, 5000, ann.BLOCK])
+def test_nearest_recall_of_a_block(n):
+    r = np.random.default_rng(n)
+    for v in (r.normal(size=(n, 64)), r.normal(size=(40, 64))[r.integers(0, 40, n)] + r.normal(size=(n, 64))):
+        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        ids = np.arange(n)
+        q, got, _ = ann.Block(ids, v, 1.0).nearest(ids[:40], v[:40], 20)
+        scores = v[:40].astype(np.float64) @ v.T.astype(np.float64)
+        scores[ids[:40], ids[:40]] = -np.inf
+        best = np.argsort(-scores, axis=1)[:, :20]
+        assert np.mean([np.isin(best[i], got[q == i]).mean() for i in range(40)]) >= 0.95
+
+
+def test_nearest_recall_of_several_blocks(spark):
+    r = np.random.default_rng(8)
+    v = r.normal(size=(2 * ann.BLOCK + 100, 64)).astype(np.float32)
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}), "vec_id long, embedding array<float>")
+    asked = range(0, len(v), 500)
+    got = {}
+    for x in ann.nearest(d, d.where("vec_id % 500 = 0"), 20).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    hit = 0
+    for q in asked:
+        s = v.astype(np.float64) @ v[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.95 * 20 * len(asked)
+
+
 def test_language_id(spark):
     rows = [(k, "the cat and the dog were here " * 3, "en") for k in range(40)] + [(100 + k, "der hund und die katze waren hier " * 3, "de") for k in range(40)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
