@@ -1,7 +1,9 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 Every window of ``run`` consecutive lines selects its least line hash: two
-places that share ``run`` lines are then guaranteed to share a fingerprint.
+places that share ``run`` lines are then guaranteed to share a fingerprint.  If
+``words`` is given, a window ends as soon as it holds so many words, so that a
+long line, or a pair, is a fingerprint by itself; short lines still need ``run``.
 Fingerprints that occur once in the whole corpus (the most, by far) end there;
 only windows of repeated ones are joined by position: each finds the first place
 that holds the same lines.  Matches that follow each other extend a run both
@@ -14,7 +16,7 @@ other; a document is never compared with each of the others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, durable
@@ -24,7 +26,7 @@ _WORD = "[^\\x20\\x09-\\x0D]"
 _LAST = (1 << 63) - 1
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, words: int | None = None) -> DataFrame:
     """doc, check, first, last: runs of lines (counted from 0) that an earlier place holds too, blank ones left out.
 
     ``doc`` is the id (the largest long for null) and ``check`` a hash of the
@@ -33,38 +35,53 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = columns(docs, id_col, text_col).toDF("doc", "text").where("text IS NOT NULL")
     rows = rows.select(F.coalesce(F.col("doc").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("check"), F.split("text", "\n", -1).alias("l"))
     numbered = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("i"), x.alias("l"))), lambda x: x["l"].rlike(_WORD))
-    lines = rows.select("doc", "check", numbered.alias("l")).where(F.size("l") >= run)
+    lines = rows.select("doc", "check", numbered.alias("l")).where(F.size("l") >= (run if words is None else 1))
     pair = lambda x: F.struct(F.xxhash64(x["l"]).alias("a"), F.xxhash64(F.lit(1), x["l"]).alias("b"))
-    lines = lines.select("doc", "check", F.transform("l", pair).alias("h"), F.col("l.i").alias("i"))
+    count = F.transform("l", lambda x: F.lit(0) if words is None else F.regexp_count(x["l"], F.lit(_WORD + "+")))
+    lines = lines.select("doc", "check", F.transform("l", pair).alias("h"), F.col("l.i").alias("i"), count.alias("c"))
+
+    def length(k: Column) -> Column:
+        """Lines of the window at k, null if the document ends before it does."""
+        if words is None:
+            return F.lit(run)
+        held, out = F.get("c", k), F.when(F.get("c", k) >= words, 1)
+        for j in range(1, run):
+            held = held + F.get("c", k + j)
+            out = out.when(held >= (words if j < run - 1 else 0), j + 1)
+        return out
+
+    cut = lambda k, n: F.slice("h", k + 1, F.coalesce(n, F.lit(1)))
     window = F.transform(
-        F.sequence(F.lit(0), F.size("h") - run),
+        F.sequence(F.lit(0), F.size("h") - (run if words is None else 1)),
         lambda k: F.struct(
             k.alias("at"),
             F.get("i", k).alias("first"),
-            F.get("i", k + run - 1).alias("last"),
-            F.array_min(F.slice("h", k + 1, run)).alias("mark"),
-            F.xxhash64(F.slice("h", k + 1, run)).alias("wa"),
-            F.xxhash64(F.lit(1), F.slice("h", k + 1, run)).alias("wb"),
+            (k + length(k) - 1).alias("end"),
+            F.get("i", k + length(k) - 1).alias("last"),
+            F.array_min(cut(k, length(k))).alias("mark"),
+            F.xxhash64(cut(k, length(k))).alias("wa"),
+            F.xxhash64(F.lit(1), cut(k, length(k))).alias("wb"),
         ),
     )
-    windows = durable(lines.select("doc", "check", F.explode(window).alias("w")).select("doc", "check", "w.at", "w.first", "w.last", F.col("w.mark.a").alias("mark"), "w.wa", "w.wb"))
+    windows = lines.select("doc", "check", F.explode(window).alias("w")).where("w.end IS NOT NULL")
+    windows = durable(windows.select("doc", "check", "w.at", "w.end", "w.first", "w.last", F.col("w.mark.a").alias("mark"), "w.wa", "w.wb"))
     marks = windows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     known = windows.join(marks, "mark", "left_semi")
     place = F.struct("doc", "at", "check")
     held = known.groupBy("mark", "wa", "wb").agg(F.min(place).alias("held"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = known.join(held, ["mark", "wa", "wb"]).where((F.col("held.doc") != F.col("doc")) | (F.col("held.at") != F.col("at"))).select("doc", "check", "at", "first", "last").distinct()
+    later = known.join(held, ["mark", "wa", "wb"]).where((F.col("held.doc") != F.col("doc")) | (F.col("held.at") != F.col("at"))).select("doc", "check", "at", "end", "first", "last").distinct()
     w = Window.partitionBy("doc", "check").orderBy("at")
-    begun = later.withColumn("new", (F.col("at") - F.lag("at").over(w) > run).cast("int"))
+    begun = later.withColumn("new", (F.col("at") - F.lag("end").over(w) > 1).cast("int"))
     part = begun.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(w))
     return part.groupBy("doc", "check", "part").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("part")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, words: int | None = None) -> DataFrame:
     """docs with the later repeated runs of ``run`` or more lines deleted from the text, and n_lines, n_removed after the other columns.
 
     A line is deleted if it belongs to ``run`` consecutive lines (blank lines
-    left out) that also stand at an earlier place: in a document of smaller id,
-    or further up in the same one.  Blank lines stay, as do documents all of
+    left out), or to fewer that hold ``words`` words, that also stand at an
+    earlier place: in a document of smaller id, or further up in the same one.  Blank lines stay, as do documents all of
     whose lines go, with what is left (an empty text if nothing is).  A null
     text stays null and has no lines; documents with a null id come last; rows
     that repeat an id and a text are one document, whose text repeats nothing
@@ -72,7 +89,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError("docs has a column n_lines or n_removed")
-    runs = repeated_runs(docs, id_col, text_col, run)
+    runs = repeated_runs(docs, id_col, text_col, run, words)
     gone = runs.groupBy("doc", "check").agg(F.collect_list(F.struct("first", "last")).alias("__gone")).select(F.col("doc").alias("__doc"), F.col("check").alias("__check"), "__gone")
     text = F.col(f"`{text_col}`")
     keyed = docs.withColumn("__doc", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))).withColumn("__check", F.xxhash64(text))

@@ -16,6 +16,8 @@ from auditlake.llm import bpe, language_id, line_dedup, mixing, ngram_join
 
 #: Least score of a predicted language that a document needs to stay.
 LEAST_SCORE = 0.15
+#: Words from which on a repeated line, or pair, goes without two neighbours that are repeated too.
+LINE_WORDS = 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; documents of which nothing is left go."""
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, words=LINE_WORDS)
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

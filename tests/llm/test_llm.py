@@ -106,6 +106,43 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def by_words(rows, run, words):
+    """Texts and removed lines by brute force; rows of distinct ids in order."""
+    kept, seen = [], set()
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        full, gone = [k for k, x in enumerate(lines) if split(x)], set()
+        for at in range(len(full)):
+            for n in range(1, run + 1):
+                place = full[at : at + n]
+                if len(place) == n and (n == run or sum(len(split(lines[k])) for k in place) >= words):
+                    key = tuple(lines[k] for k in place)
+                    gone |= set(place) if key in seen else set()
+                    seen.add(key)
+                    break
+        kept.append((i, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return kept
+
+
+def test_line_dedup_by_words(spark):
+    long, r = "this one line of boilerplate has nine words inside", random.Random(5)
+    rows = [(1, long), (2, f"a\n{long}\nb\n\n{long}\nc"), (3, "short\nline"), (4, "short\nline"), (5, "one two three four\nfive six seven eight"), (6, "x\none two three four\n\nfive six seven eight\ny"), (7, None), (8, ""), (9, long)]
+    pool = [" ".join(r.choice(WORDS) for _ in range(r.randint(0, 10))) for _ in range(25)]
+    rows += [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 12)))) for i in range(10, 60)]
+    got = sorted((x["doc_id"], x["text"], x["n_removed"]) for x in line_dedup.line_dedup(docs(spark, rows), words=8).collect() if x["doc_id"] != 7)
+    assert got == [x for x in by_words(rows, 3, 8) if x[0] != 7]
+    assert got[1] == (2, "a\nb\n\nc", 2) and got[3] == (4, "short\nline", 0) and got[5] == (6, "x\n\ny", 2)
+
+
+def test_pipeline_drops_repeated_long_lines(spark):
+    import corpus_pipeline
+
+    long = "this one line of boilerplate has nine words inside"
+    rows = [(1, f"first text\n{long}"), (2, f"{long}\nsecond text"), (3, long)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(x["doc_id"], x["text"], x["n_chars"]) for x in corpus_pipeline.lines(spark, d, "").collect()} == {(1, rows[0][1], len(rows[0][1])), (2, "second text", 11)}
+
+
 def test_bpe(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
