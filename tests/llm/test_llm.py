@@ -243,6 +243,27 @@ def test_license_scan(spark):
     assert license_scan.license_scan(d.limit(0)).count() == 0
 
 
+def test_license_scan_counts_every_word(spark):
+    rows = [("a/x.txt", "Released as is under the MIT License."), ("b/y.txt", "All rights reserved and with that.")] + [(f"c/{i}.txt", "as is and with that") for i in range(300)]
+    d = spark.createDataFrame(rows, "path string, text string")
+    got = {x["path"]: (x["license"], x["score"]) for x in license_scan.license_scan(d).where("license IS NOT NULL").collect()}
+    df = {}
+    for _, t in rows:
+        for w in set(license_scan._simple(t)):
+            df[w] = df.get(w, 0) + 1
+
+    def weighed(t):
+        words = license_scan._simple(t)
+        x = {w: words.count(w) * (np.log((1 + len(rows)) / (1 + df.get(w, 0))) + 1) for w in words}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        return {w: v / norm for w, v in x.items()}
+
+    for path, name, notice in (("a/x.txt", "MIT", "Released under the MIT License."), ("b/y.txt", "proprietary", "All rights reserved.")):
+        a, b = weighed(dict(rows)[path]), weighed(notice)
+        assert got[path][0] == name and abs(got[path][1] - sum(v * b.get(w, 0) for w, v in a.items())) < 2e-6
+    assert set(got) == {"a/x.txt", "b/y.txt"}
+
+
 def test_fit_rates_meets_targets(spark):
     r = np.random.default_rng(1)
     p = r.dirichlet([1, 1, 0.5], 200)
