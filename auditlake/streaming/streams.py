@@ -1,4 +1,4 @@
-"""Structured Streaming forms: rules over arriving files, histories and rate limits over events."""
+"""Structured Streaming forms: rules over arriving files, and histories and dedup over events."""
 
 from __future__ import annotations
 
