@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,20 +32,28 @@ def ship(spark: SparkSession) -> None:
     context._auditlake_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only where all of Spark is one local process does a temporary one do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read on from there: lost executors don't cost the steps before."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        set_to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(set_to or tempfile.mkdtemp())
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As durable, but compressed columns, for what is large; the partitions of what is read again are others."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,20 +8,25 @@ counts overlaps; for a Jaccard bound t, sizes bound which entries can matter:
   sizes must be within t of each other, and with columns in one global order two
   rows must meet in the first ``n - ceil(t n) + 1`` columns of each; only these
   entries are multiplied;
-* a meeting can still reach what follows in either row; of the row whose prefix
-  ends first, only columns that another prefix has too.  Pairs for which that is
-  below ``need`` are discarded there and then.
+* of the row whose prefix ends first, a pair can only share columns of the prefix
+  that other prefixes have too, and what lies behind it.  Pairs for which that is
+  below ``need`` are discarded when they meet;
+* overlaps are accumulated over the blocks of columns, and a pair whose count and
+  what lies behind the prefix that ends first stay below ``need`` is discarded.
 
 Columns are ordered by a frequency sketch of fixed size that counts every n-gram
 of every document, frequent ones last, so that common passages are multiplied
-only where a row has little else.  Blocks are hash ranges of columns.
-
-Links are wanted up to connectivity.  The first products link each column's rows
-with its most central row only; components of verified links follow.  The last
-one takes the columns whose rows are still in several components, and multiplies
-rows of different components: every link is then inside a component, and a group
-of a million near copies costs a million pairs, not their square.  Overlaps of
-surviving pairs are accumulated over the whole rows, block by block of columns.
+only where a row has little else.  Blocks are hash ranges of columns, and their
+number follows from the bytes of the text.
+
+Links are wanted up to connectivity.  The first products count the overlap of
+each row with the most central rows of its columns and take one link a row;
+components follow.  The last one takes the columns whose rows are still in
+several components, and multiplies rows of different components, one link a row
+and component: every link between texts is then inside a component, and a group
+of near copies costs its number, not their square.  The columns behind the
+prefixes of the pairs that are left are counted from the texts of these rows
+alone, which are fetched by id and hash of the text.
 """
 
 from __future__ import annotations
@@ -31,20 +36,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, components, durable, pack, ship, stored, unpack, width
+from .common import columns, components, pack, ship, stored, unpack, width
 from .words import U, Words, mix, pieces
 
 #: Cells of the frequency sketch (a power of two) and of one piece of it.
 CELLS, PIECE = 1 << 22, 1 << 16
-#: Rows of two longs up to which a side is broadcast; above, both sides are shuffled.
-BROADCAST = 1_000_000
+#: Rows of three longs up to which a side is broadcast; above, both sides are shuffled.
+BROADCAST = 500_000
 #: Rounds of links to the centre of each column before all that is left is counted.
 ROUNDS = 2
-#: Documents a block of rows, and rows that ask a block in one task.
+#: Most central rows that a row is held against in a round.
+TRIES = 3
+#: Texts a block of rows, and rows that ask a block in one task.
 ROWS, ASKERS = 4000, 2000
+#: Bytes of text to a block of columns, entries to one of those still open, and rows of a column of which each meets each in one task.
+SLOT_BYTES, OPEN, CHUNK = 8 << 20, 200_000, 4096
+_LAST = (1 << 63) - 1
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -85,20 +95,39 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Occurrences (once a document) of n-grams by the top bits of their hash: one block a PIECE of cells."""
+def class_of(a: int, b: int, shared: np.ndarray) -> int:
+    """The number of a set: its first key, or the second where different sets have the same first one."""
+    at = int(np.searchsorted(shared, a)) if len(shared) else 0
+    return b if at < len(shared) and shared[at] == a else a
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _first_pass(rows: DataFrame, n: int) -> DataFrame:
+    """One scan: a member row (id, check, class, twin, size) a document, and each task's frequency sketch, a row a PIECE of cells."""
+    names = ["id", "check", "class", "twin", "size", "piece", "cells"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         some = False
-        for b in batches:
-            for s in shingle_sets(b.column(0), n):
-                some = True
-                at, k = np.unique((s >> U(64 - 22)).astype(np.int64), return_counts=True)
-                cells[at] += k.astype(np.uint32)
-        if some:
-            for k in range(CELLS // PIECE):
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "cells": pa.array([pack(cells[k * PIECE : (k + 1) * PIECE])], pa.binary())})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                key, size = [], []
+                for s in shingle_sets(b.column(2), n):
+                    some = some or len(s) > 0
+                    cell, k = np.unique((s >> U(64 - 22)).astype(np.int64), return_counts=True)
+                    cells[cell] += k.astype(np.uint32)
+                    key.append(set_key(s))
+                    size.append(len(s))
+                keys, m = np.array(key, np.int64).reshape(-1, 2), b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(size, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        for k in range(CELLS // PIECE if some else 0):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.array([k], pa.int32()), pa.array([pack(cells[k * PIECE : (k + 1) * PIECE])], pa.binary())], names)
+
+    return rows.mapInArrow(run, "id long, check long, class long, twin long, size long, piece int, cells binary")
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """The sketch of all tasks, a byte a cell on a scale of logarithms."""
 
     def add(key: tuple, blocks: pa.Table) -> pa.Table:
         total = np.zeros(PIECE, np.uint64)
@@ -107,7 +136,6 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
         scale = np.minimum(255, np.floor(4 * np.log2(total + 1.0))).astype(np.uint8)
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([pack(scale)], pa.binary())})
 
-    parts = docs.mapInArrow(count, "piece int, cells binary")
     return parts.groupBy("piece").applyInArrow(add, "piece int, cells binary")
 
 
@@ -120,211 +148,228 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col, n_shingles, component_id for every row.
 
     Two rows link when 100 * overlap >= percent * union of their sets; an empty
-    set links with nothing, so such a row is its own component.  component_id is
-    the smallest id that links reach.  Rows that repeat an id count as one
-    document each and link by their texts; a null id gets null unless its
-    component has another id.
+    set (null or empty text, or no word) links with nothing, so such a row is its
+    own component.  component_id is the smallest id that links reach.  Rows that
+    repeat an id count as one document each and link by their own texts, and so
+    do rows with a null id, whose component_id is null if no id is reached.
+    Whole texts of any length; an empty table gives an empty result.  Other
+    columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     ship(spark)
-    slots = 2 * width(spark)
-    rows = columns(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
+    rows = columns(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("check"), "text")
+    first = stored(_first_pass(rows, n))
+    members = first.where("piece IS NULL").select("id", "check", "class", "twin", "size")
     scale = np.zeros(CELLS, np.uint8)
-    for x in _sketch(rows.select("text"), n).collect():  # CELLS bytes before compression, whatever the input
+    for x in _added(first.where("piece IS NOT NULL").select("piece", "cells")).collect():  # CELLS bytes before compression, whatever the input
         scale[x["piece"] * PIECE : (x["piece"] + 1) * PIECE] = unpack(x["cells"], np.uint8)[0]
-    told = spark.sparkContext.broadcast(scale)
+    # different sets with one 64-bit key: N * N / 2 ** 65 of N sets, none of a billion and hundreds of 10 ** 11
+    twins = members.groupBy("class").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).where("low < high").select("class").collect()
+    shared = np.sort(np.array([x["class"] for x in twins], np.int64))
+    if len(shared):
+        members = members.withColumn("class", F.when(F.col("class").isin(shared.tolist()), F.col("twin")).otherwise(F.col("class")))
+    entries = _entries(rows, n, percent, scale, shared)
+
+    # one text of each class, whose row of the matrix is read again where a pair has to be counted
+    found = F.min(F.struct(F.coalesce("id", F.lit(_LAST)).alias("k"), "check"))
+    texts = members.where("size > 0").groupBy("class").agg(found.alias("t")).select("class", "t.k", "t.check")
+    told_by, links, tried = entries.withColumn("component", F.col("class")).withColumn("weight", F.lit(0).cast("long")), None, None
+    for _ in range(ROUNDS):
+        pairs = _stars(told_by, percent)
+        pairs = stored(_few(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")))
+        new = stored(_verified(pairs.select("x", F.struct("n", "y", "c").alias("ask")), rows, texts, n, percent, True))
+        tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
+        links = new if links is None else links.unionByName(new)
+        if new.isEmpty():
+            break
+        told_by = _told(entries, components(links))
+    last = stored(_verified(_across(told_by, percent), rows, texts, n, percent, False))
+    named = members.join(components(links.unionByName(last)).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = named.where("size > 0").groupBy("component").agg(F.min("id").alias("low"))
+    out = named.join(least, (named["component"] == least["component"]) & (named["size"] > 0), "left")
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+
+
+def _entries(rows: DataFrame, n: int, percent: int, scale: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """Entries of the prefixes in columns that several rows have: col, class, size, last, tight, central.
 
-    def multiply_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with an own key are documents with their class; the others are blocks of prefix entries."""
-        order = told.value
-        seen: set[int] = set()
+    ``last`` is the place of the prefix's end in the order, ``tight`` how many
+    columns lie behind it and how many of its own are shared.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = max(width(spark), -(-size // SLOT_BYTES))
+    told = spark.sparkContext.broadcast((scale, shared))
+
+    def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, known = told.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                key, size, cols, cls, left, num, last = [], [], [], [], [], [], []
-                for s in shingle_sets(b.column(1), n):
-                    k, _ = set_key(s)
-                    key.append(k)
-                    size.append(len(s))
+            for at in range(0, whole.num_rows, 2048):
+                cols, cls, num, last, seen = [], [], [], [], set()
+                for s in shingle_sets(whole.slice(at, 2048).column(0), n):
+                    k = class_of(*set_key(s), known)
                     if len(s) and k not in seen:
                         seen.add(k)
                         p = _ordered(s, order)[: prefix(len(s), percent)]
                         cols.append(p)
                         cls.append(np.full(len(p), k, np.int64))
                         num.append(np.full(len(p), len(s), np.int32))
-                        left.append(len(s) - np.arange(len(p), dtype=np.int32))
                         last.append(np.full(len(p), (int(order[int(p[-1] >> U(64 - 22))]) << 55) | int(p[-1] >> U(9)), np.int64))
-                m = len(key)
-                kind, who, block = [(mix(np.array(key, np.int64).view(U)) % U(slots)).astype(np.int32)], [b.column(0)], [pa.nulls(m, pa.binary())]
                 if cols:
-                    c, k, z, r, e = map(np.concatenate, (cols, cls, num, left, last))
+                    c, k, z, e = map(np.concatenate, (cols, cls, num, last))
                     slot = (mix(c) % U(slots)).astype(np.int32)
                     o = np.argsort(slot, kind="stable")
                     cut = np.flatnonzero(np.r_[True, np.diff(slot[o]) > 0, True])
-                    kind.append(slot[o][cut[:-1]])
-                    block.append(pa.array([pack(c[i], k[i], z[i], r[i], e[i]) for i in np.split(o, cut[1:-1])], pa.binary()))
-                    who.append(pa.nulls(len(cut) - 1, pa.int64()))
-                extra = sum(map(len, kind)) - m
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(kind)), pa.concat_arrays([x if isinstance(x, pa.Array) else x.combine_chunks() for x in who]), pa.array([*key, *[None] * extra], pa.int64()), pa.array([*size, *[None] * extra], pa.int64()), pa.concat_arrays(block)],
-                    ["slot", "id", "class", "size", "block"],
-                )
+                    yield pa.RecordBatch.from_arrays([pa.array(slot[o][cut[:-1]]), pa.array([pack(c[i], k[i], z[i], e[i]) for i in np.split(o, cut[1:-1])], pa.binary())], ["slot", "block"])
 
     def meet(t: pa.Table) -> pa.Table:
-        """Entries of one block's columns that have several rows, and the documents that came along."""
-        own = t.filter(pc.is_valid(t.column("class"))).select(["id", "class", "size"])
-        blocks = t.column("block").drop_null()
-        if not len(blocks):
-            return pa.table({"col": pa.nulls(len(own), pa.int64()), "id": own["id"], "class": own["class"], "size": own["size"], "left": pa.nulls(len(own), pa.int64()), "last": pa.nulls(len(own), pa.int64()), "many": pa.nulls(len(own), pa.int64())})
-        got = [unpack(x.as_py(), U, np.int64, np.int32, np.int32, np.int64) for x in blocks]
-        c, k, z, r, e = (np.concatenate(x) for x in zip(*got))
-        o = np.lexsort((k, z, c))
-        c, k, z, r, e = c[o], k[o], z[o], r[o], e[o]
-        new = np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])]  # a class comes once from each task
-        c, k, z, r, e = c[new], k[new], z[new], r[new], e[new]
-        same = c[1:] == c[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        begin = np.flatnonzero(np.r_[True, ~same])
-        many = np.repeat(np.diff(np.r_[begin, len(c)]), np.diff(np.r_[begin, len(c)]))
-        n_own, n_new = len(own), int(keep.sum())
-        join = lambda x, y: pa.chunked_array([*x.chunks, pa.array(y, pa.int64())], pa.int64())
-        none = pa.chunked_array([pa.nulls(n_own, pa.int64())])
-        return pa.table({"col": join(none, c[keep].view(np.int64)), "id": join(own["id"], [None] * n_new), "class": join(own["class"], k[keep]), "size": join(own["size"], z[keep]), "left": join(none, r[keep]), "last": join(none, e[keep]), "many": join(none, many[keep])})
-
-    both = rows.mapInArrow(multiply_in, "slot int, id long, class long, size long, block binary")
-    both = stored(both.groupBy("slot").applyInArrow(meet, "col long, id long, class long, size long, left long, last long, many long"))
-    members = both.where("col IS NULL").select("id", "class", "size")
-    # what a meeting can still reach: all that follows (left), or, in the row whose prefix ends first,
-    # what follows that other prefixes have too, and all behind the prefix (tight)
-    behind = f"size - (size - CAST(ceil({percent} * size / 100D - 1e-9D) AS BIGINT) + 1)"
-    after = F.row_number().over(Window.partitionBy("class").orderBy("left"))
+        """Entries of one block's columns that have several rows."""
+        c, k, z, e = (np.concatenate(x) for x in zip(*(unpack(x.as_py(), U, np.int64, np.int32, np.int64) for x in t.column("block"))))
+        o = np.lexsort((k, c))
+        new = np.r_[True, (c[o][1:] != c[o][:-1]) | (k[o][1:] != k[o][:-1])]  # a class comes once from each batch
+        o = o[new]
+        c = c[o]
+        begin = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        times = np.diff(np.r_[begin, len(c)])
+        many = np.repeat(times, times)
+        keep = many > 1
+        o = o[keep]
+        return pa.table({"col": c[keep].view(np.int64), "class": k[o], "size": z[o].astype(np.int64), "last": e[o], "many": many[keep]})
+
+    both = rows.select("text").mapInArrow(rows_in, "slot int, block binary").groupBy("slot").applyInArrow(meet, "col long, class long, size long, last long, many long")
+    own = Window.partitionBy("class")
     # a row is central if its columns are common to many rows: the original of a group of near copies is
-    central = F.avg("many").over(Window.partitionBy("class"))
-    entries = stored(both.where("col IS NOT NULL").select("col", "class", "size", "left", "last", (F.expr(behind) + after).alias("tight"), central.alias("central")))
-
-    # one text of each class, whose row of the matrix is read again where a pair has to be counted
-    texts = members.where("size > 0").groupBy("class").agg(F.min("id").alias("id"))
-    row_blocks = max(1, -(-members.count() // ROWS))
-    check = lambda asked, wanted: stored(_verified(asked, wanted, rows, texts, n, percent, row_blocks))
-    tried = links = None
-    told_by = entries.withColumn("component", F.col("class"))
-    for _ in range(ROUNDS):
-        pairs = _stars(told_by, percent)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
-        new = check(pairs.select("x", F.array("y").alias("ys"), F.array("y").alias("cs"), _block("y", row_blocks).alias("block")), pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct())
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
-            break
-        told_by = _told(entries, components(links))
-    asked, wanted = _across(told_by, percent, slots, row_blocks)
-    found = components(links.unionByName(check(asked, wanted)))
-    named = members.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.where("size > 0").groupBy("component").agg(F.min("id").alias("low"))
-    out = named.join(least, (named["component"] == least["component"]) & (named["size"] > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    return stored(both.select("col", "class", "size", "last", (F.expr(_behind(percent)) + F.count("*").over(own)).alias("tight"), F.avg("many").over(own).alias("central")))
 
 
-def _block(y: str, row_blocks: int) -> Column:
-    """The block of rows that a class belongs to when texts are compared."""
-    return F.pmod(F.col(y), F.lit(row_blocks)).cast("int")  # classes are hashes
+def _behind(percent: int) -> str:
+    """Columns behind the prefix of a row."""
+    return f"CAST(ceil({percent} * size / 100D - 1e-9D) AS BIGINT) - 1"
 
 
 def _told(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """entries with the component of their class."""
-    found = stored(found.withColumnRenamed("node", "class"))
+    """entries with the component of their class and its weight, the number of its other classes."""
+    found = found.withColumnRenamed("node", "class")
+    weights = found.groupBy("component").agg(F.count("*").alias("weight"))
+    whole = found.unionByName(weights.select(F.col("component").alias("class"), "component"))  # the class that gives the name is in it, too
+    found = stored(whole.join(weights, "component"))
     side = F.broadcast(found) if found.count() <= BROADCAST else found
-    return entries.join(side, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return entries.drop("component", "weight").join(side, "class", "left").withColumn("component", F.coalesce("component", "class")).withColumn("weight", F.coalesce("weight", F.lit(0)))
+
+
+def _reach(percent: int) -> str:
+    """Whether x and y can reach the bound, by the row whose prefix ends first and by their sizes."""
+    first = "CASE WHEN x.last < y.last THEN x.tight WHEN x.last > y.last THEN y.tight ELSE least(x.tight, y.tight) END"
+    return f"least(x.size, y.size, {first}) >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
 
 
 def _stars(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of each column that link its components' most central rows with that of the largest component."""
-    row = F.struct("central", "class", "size", "left", "last", "tight")
+    """x, y, c, n: in how many columns x is its component's most central row and y, of component c, that of the column's largest component."""
+    row = F.struct("central", "class", "size", "last", "tight")
     best = entries.groupBy("col", "component").agg(F.max(row).alias("x"), F.count("*").alias("n"))
-    main = best.groupBy("col").agg(F.max(F.struct("n", "x")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("col", F.col("m.x").alias("y"))
-    reach = "least(if(x.last <= y.last, x.tight, x.left), if(y.last <= x.last, y.tight, y.left))" + f" >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
-    return best.join(main, "col").where(f"x.class != y.class AND {reach}").select(F.col("x.class").alias("x"), F.col("y.class").alias("y")).distinct()
+    main = best.groupBy("col").agg(F.max(F.struct("n", "x", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("col", F.col("m.x").alias("y"), F.col("m.component").alias("c"))
+    met = best.join(main, "col").where(f"x.class != y.class AND {_reach(percent)}")
+    return met.groupBy(F.col("x.class").alias("x"), F.col("y.class").alias("y"), "c").agg(F.count("*").alias("n"))
+
 
+def _few(pairs: DataFrame) -> DataFrame:
+    """The TRIES partners of each row with which it shares most; the others are left to later products."""
+    w = Window.partitionBy("x").orderBy(F.desc("n"), "y")
+    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TRIES).drop("r")
 
-def _across(entries: DataFrame, percent: int, slots: int, row_blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Rows that can still reach the bound with rows of other components: (x, ys, cs (their components), block), and the classes in question.
 
-    Rows of a column's largest component don't meet each other.  What a row meets
-    in a block of columns is one packed row, and those are united by row.
+def _across(entries: DataFrame, percent: int) -> DataFrame:
+    """x, ask (n, y, c): pairs that can still reach the bound, x and y of different components, c that of y.
+
+    Of two rows that of the lighter component asks, in whatever column they meet,
+    and rows of a column's heaviest component don't meet each other.  A column of
+    many rows is cut into squares of CHUNK rows a side.  What a row meets in a
+    block of columns is one packed row; those are added up by row.
     """
-    parts = entries.groupBy("col", "component").agg(F.count("*").alias("n")).groupBy("col").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
-    parts = parts.where("parts > 1").select("col", F.col("m.component").alias("main"))
-    blocks = max(1, slots // 8)
-    open_ = stored(entries.join(parts, "col").select(F.pmod(F.xxhash64("col"), F.lit(blocks)).cast("int").alias("slot"), "col", "class", "size", "left", "last", "tight", "component", "main"))
+    parts = entries.groupBy("col", "weight", "component").agg(F.count("*").alias("n")).groupBy("col").agg(F.max(F.struct("weight", "component", "n")).alias("m"), F.count("*").alias("parts"), F.sum("n").alias("rows"))
+    parts = parts.where("parts > 1").select("col", F.col("m.component").alias("main"), F.ceil(F.col("rows") / CHUNK).cast("int").alias("own"), F.ceil((F.col("rows") - F.col("m.n")) / CHUNK).cast("int").alias("few"))
+    open_ = stored(entries.join(parts, "col").select("col", "class", "size", "last", "tight", "weight", "component", "main", "own", "few"))
+    blocks = max(1, -(-open_.count() // OPEN))
+    # a row is once among the few (if not of the heaviest component) for each chunk of all, and once among all for each chunk of the few
+    asks = open_.where("component != main").withColumn("ask", F.lit(True)).withColumn("i", F.expr("CAST(pmod(xxhash64(class), few) AS INT)")).withColumn("j", F.explode(F.expr("sequence(0, own - 1)")))
+    all_ = open_.withColumn("ask", F.lit(False)).withColumn("i", F.explode(F.expr("sequence(0, few - 1)"))).withColumn("j", F.expr("CAST(pmod(xxhash64(class), own) AS INT)"))
+    dealt = asks.unionByName(all_).withColumn("slot", F.pmod(F.xxhash64("col", "i", "j"), F.lit(blocks)).cast("int")).select("slot", "ask", "col", "i", "j", "class", "size", "last", "tight", "weight", "component")
+
+    behind = lambda z: -(-percent * z // 100) - 1
 
     def meet(t: pa.Table) -> pa.Table:
-        col, cls, size, left, last, tight, comp, main = (t.column(c).to_numpy() for c in ("col", "class", "size", "left", "last", "tight", "component", "main"))
-        order = np.argsort(col, kind="stable")
+        ask, col, i, j, cls, size, last, tight, weight, comp = (t.column(c).to_numpy() for c in t.column_names[1:])
+        order = np.lexsort((ask, j, i, col))
+        begin = np.flatnonzero(np.r_[True, (np.diff(col[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)][: len(order)])
         met: list[np.ndarray] = []
-        for own in np.split(order, np.flatnonzero(np.diff(col[order])) + 1):
-            few = own[comp[own] != main[own]]
-            step = max(1, (1 << 20) // len(own))
-            for k in range(0, len(few), step):
-                x, y = few[k : k + step, None], own[None, :]
-                fits = (comp[x] != comp[y]) & ((comp[y] == main[y]) | (cls[x] < cls[y]))
-                can = np.minimum(np.where(last[x] <= last[y], tight[x], left[x]), np.where(last[y] <= last[x], tight[y], left[y]))
-                i, j = np.nonzero(fits & (can >= need(size[x], size[y], percent)))
-                met.append(np.stack([cls[few[k + i]], cls[own[j]], comp[own[j]]], 1))
-        pairs = np.unique(np.concatenate(met), axis=0) if met else np.zeros((0, 3), np.int64)
+        for square in np.split(order, begin[1:]):
+            few, own = square[ask[square]], square[~ask[square]]
+            for k in range(0, len(few), 256):
+                x, y = few[k : k + 256, None], own[None, :]
+                fits = (weight[x] < weight[y]) | ((weight[x] == weight[y]) & (comp[x] < comp[y]))
+                can = np.minimum(np.minimum(size[x], size[y]), np.minimum(np.where(last[x] <= last[y], tight[x], size[x]), np.where(last[y] <= last[x], tight[y], size[y])))
+                a, b = np.nonzero(fits & (can >= need(size[x], size[y], percent)))
+                a, b = few[k + a], own[b]
+                most = np.where(last[a] <= last[b], behind(size[a]), behind(size[b])) - need(size[a], size[b], percent)  # the count that it lacks, below 0
+                met.append(np.stack([cls[a], cls[b], comp[b], most], 1))
+        pairs = np.concatenate(met) if met else np.zeros((0, 4), np.int64)
+        o = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        first = np.flatnonzero(np.r_[True, (np.diff(pairs[o, 0]) != 0) | (np.diff(pairs[o, 1]) != 0)][: len(o)])
+        times = np.diff(np.r_[first, len(o)])
+        pairs = pairs[o[first]]
         cut = np.flatnonzero(np.r_[True, np.diff(pairs[:, 0]) != 0, True]) if len(pairs) else np.zeros(1, int)
-        return pa.table({"x": pa.array(pairs[cut[:-1], 0], pa.int64()), "ys": pa.array([pack(v[:, 0], v[:, 1]) for v in np.split(pairs[:, 1:], cut[1:-1])] if len(pairs) else [], pa.binary())})
+        packed = [pack(pairs[a:b, 1], pairs[a:b, 2], pairs[a:b, 3], times[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+        return pa.table({"x": pa.array(pairs[cut[:-1], 0], pa.int64()), "ys": pa.array(packed, pa.binary())})
 
-    def unite(key: tuple, t: pa.Table) -> pa.Table:
-        got = [unpack(v.as_py(), np.int64, np.int64) for v in t.column("ys")]
-        ys, at = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
-        cs = np.concatenate([g[1] for g in got])[at]
-        part = (ys % row_blocks).astype(np.int32)
-        out: dict[str, list] = {"x": [], "ys": [], "cs": [], "block": []}
-        for k in np.unique(part):
-            own = part == k
-            for n, v in zip(out, (key[0].as_py(), ys[own], cs[own], int(k))):
-                out[n].append(v)
-        return pa.table({"x": pa.array(out["x"], pa.int64()), "ys": pa.array(out["ys"], pa.list_(pa.int64())), "cs": pa.array(out["cs"], pa.list_(pa.int64())), "block": pa.array(out["block"], pa.int32())})
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        y, c, most, n = (np.concatenate(g) for g in zip(*(unpack(v.as_py(), *[np.int64] * 4) for v in t.column("ys"))))
+        y, first, at = np.unique(y, return_index=True, return_inverse=True)
+        n = np.bincount(at, n, len(y)).astype(np.int64)
+        # counts of a row whose prefix ends first are whole: what it lacks must lie behind
+        keep = n + most[first] >= 0
+        y, c, n = y[keep], c[first][keep], n[keep]
+        return pa.table({"x": pa.array(np.full(len(y), key[0].as_py()), pa.int64()), "n": n, "y": y, "c": c})
 
-    asked = open_.groupBy("slot").applyInArrow(meet, "x long, ys binary").groupBy("x").applyInArrow(unite, "x long, ys array<long>, cs array<long>, block int")
-    return asked, open_.select("class").distinct()
+    met = dealt.groupBy("slot").applyInArrow(meet, "x long, ys binary").groupBy("x").applyInArrow(add, "x long, n long, y long, c long")
+    return stored(met).select("x", F.struct("n", "y", "c").alias("ask"))
 
 
-def _verified(asked: DataFrame, wanted: DataFrame, rows: DataFrame, texts: DataFrame, n: int, percent: int, row_blocks: int) -> DataFrame:
-    """Links (a, b) that asked (x, ys, cs, block) rows have, one for each of the components cs at most.
+def _verified(asked: DataFrame, rows: DataFrame, texts: DataFrame, n: int, percent: int, one: bool) -> DataFrame:
+    """Links (a, b) that asked (x, ask: n, y, c) rows have, one of each x, or of each x and component c, those of the largest n first.
 
-    A row's text goes once to each block that it asks, and a block's texts to as
-    many parts as its askers fill, so that neither side grows in a task.
+    A row's text goes once to each block of texts that it asks, and a block's
+    texts to as many parts as its askers fill, so that neither side grows in a task.
     """
-    asked = stored(asked)
-    few = wanted.join(texts, "class")
-    few = stored(few.select("class", "id"))
-    # the whole texts need not be shuffled for few classes
-    side = F.broadcast(few) if few.count() <= BROADCAST else few
-    text = stored(rows.join(side, "id").groupBy("class").agg(F.first("text").alias("text")))
+    few = stored(asked.select(F.explode(F.array("x", "ask.y")).alias("class")).distinct().join(texts, "class"))
+    number = few.count()
+    side = F.broadcast(few) if number <= BROADCAST else few  # the whole texts need not be shuffled for few classes
+    key = rows.withColumn("k", F.coalesce("id", F.lit(_LAST))).join(side, ["k", "check"])
+    text = stored(key.groupBy("class").agg(F.first("text").alias("text")))
+    block = lambda y: F.pmod(F.col(y), F.lit(max(1, -(-number // ROWS)))).cast("int")  # noqa: E731  classes are hashes
+    asked = asked.withColumn("block", block("ask.y")).groupBy("x", "block").agg(F.sort_array(F.collect_list("ask"), asc=False).alias("asks"))
     parts = asked.groupBy("block").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("parts"))
-    left = asked.join(text.select(F.col("class").alias("x"), F.col("text").alias("x_text")), "x").join(F.broadcast(parts), "block").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")  # a row a block
-    right = text.withColumn("block", _block("class", row_blocks)).join(F.broadcast(parts), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("class").alias("y"), F.col("text").alias("y_text"))
+    left = asked.join(text.select(F.col("class").alias("x"), F.col("text").alias("x_text")), "x").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    left = left.select("block", "part", "x", F.col("asks.y").alias("ys"), F.col("asks.c").alias("cs"), "x_text")
+    right = text.withColumn("block", block("class")).join(parts, "block").select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("class").alias("y"), F.col("text").alias("y_text"))
 
     def count(own: pa.Table, others: pa.Table) -> pa.Table:
         a, b = [], []
         if len(own) and len(others):
+            wanted = set(pc.list_flatten(own.column("ys").combine_chunks()).to_pylist())
+            others = others.filter(pc.is_in(others.column("y"), pa.array(list(wanted), pa.int64())))
             known = dict(zip(others.column("y").to_pylist(), shingle_sets(others.column("y_text"), n)))
             for x, ys, cs, s in zip(own.column("x").to_pylist(), own.column("ys").to_pylist(), own.column("cs").to_pylist(), shingle_sets(own.column("x_text"), n)):
                 done: set[int] = set()
                 for y, c in zip(ys, cs):
-                    t = known.get(y)
-                    if t is None or c in done:
+                    if c in done or (one and done):
                         continue
-                    overlap = 0
-                    for k in range(0, len(s), 1 << 16):  # by blocks of columns
-                        part = s[k : k + (1 << 16)]
-                        at = np.minimum(np.searchsorted(t, part), len(t) - 1)
-                        overlap += int(np.count_nonzero(t[at] == part))
+                    t = known[y]
+                    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+                    overlap = int(np.count_nonzero(t[at] == s))
                     if 100 * overlap >= percent * (len(s) + len(t) - overlap):
                         done.add(c)
-                        a.append(min(x, y))
-                        b.append(max(x, y))
+                        a.append(x)
+                        b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(count, "a long, b long")

@@ -6,13 +6,13 @@ returns the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import bpe, language_id, line_dedup, mixing, ngram_join
+from auditlake.llm.common import shared_folder
 
 #: Least score of a predicted language that a document needs to stay.
 LEAST_SCORE = 0.15
@@ -61,10 +61,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written as Parquet in the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

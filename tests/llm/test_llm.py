@@ -76,29 +76,60 @@ def test_substring_dedup(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
-def test_ngram_join(spark):
-    rows = texts(2) + [(100 + k, " ".join(WORDS[:40] + [f"z{k}"])) for k in range(6)]
-    sets = {}
-    for i, t in rows:
-        w = split((t or "").translate({c: c + 32 for c in range(65, 91)}))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
+def grams(t):
+    w = split((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def linked(rows):
+    """(id, size, component) of every row by brute force; rows, not ids, are linked."""
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_join(docs(spark, rows)).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= 75 * len(a | b):
+                root[find(i)] = find(j)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[find(k)] = min(low.get(find(k), i), i)
+    return sorted(((i, len(sets[k]), low.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def test_ngram_join(spark):
+    rows = texts(2) + [(100 + k, " ".join(WORDS[:40] + [f"z{k}"])) for k in range(6)]
+    a, b = " ".join(f"q{k}" for k in range(50)), " ".join(f"q{k}" for k in range(50, 0, -1))
+    rows += [(209, a), (205, a), (205, b), (207, a + " x"), (211, b + " y"), (205, "zz yy"), (None, a + " z"), (None, "of its own"), (None, None), (205, a)]
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_join(docs(spark, rows)).collect()), key=str)
+    assert got == linked(rows) and (211, 47, 205) in got and (None, 47, 205) in got
     assert ngram_join.ngram_join(empty(spark)).count() == 0
 
 
+def test_ngram_join_of_a_crowd_that_links_in_chains(spark):
+    r = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(150):  # two random variants of one text are about as near as the bound
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(120)] = f"e{r.randrange(400)}"
+        rows.append((k, " ".join(w)))
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_join(docs(spark, rows)).collect()), key=str)
+    assert got == linked(rows) and len({c for _, _, c in got}) > 1
+
+
+def test_class_of_sets_that_share_a_key():
+    shared = np.array([-4, 7])
+    assert [ngram_join.class_of(k, 99, shared) for k in (-5, -4, 0, 7, 8)] == [-5, 99, 0, 99, 8]
+    assert ngram_join.class_of(3, 99, np.zeros(0, np.int64)) == 3
+
+
 def test_line_dedup(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\nb\nc\nd\ny"), (3, "b\nc\nz"), (4, None), (5, ""), (6, "q\nq\nq\nq\nq"), (7, "b\n\nc\nd\n"), (8, "a\nb\nc\nd"), (8, "a\nb\nc\nd")]
     got = sorted(((x["doc_id"], x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.line_dedup(docs(spark, rows)).collect()), key=lambda x: x[0])
