@@ -32,6 +32,8 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _SKIP = set("script style noscript template head title svg math iframe object select option button textarea canvas audio video".split())
 #: Tags that a new one of the key closes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
 _SCOPE = set("ul ol dl table tbody thead div section article main body aside nav footer header form blockquote".split())
 _NAME = re.compile(r"[a-z]+")
 
@@ -59,7 +61,15 @@ class _Reader(HTMLParser):
             self.skip -= tag in _SKIP
         del self.open[to:]
 
+    def _end_head(self) -> None:
+        for i, (tag, _) in enumerate(self.open[:3]):
+            if tag == "head":
+                self._pop(i)
+                break
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _HEAD:
+            self._end_head()
         if tag in _VOID:
             if tag in _BLOCK:
                 self._end()
@@ -91,6 +101,8 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.skip:
             self.text.append(data)
             if any(t == "a" for t, _ in self.open):
@@ -215,7 +227,14 @@ def extract(pages: list[str | None], net: dict[str, np.ndarray]) -> list[str]:
 
 
 def html_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns in ``keep``, text and n_chars of every row; null html is empty, and so is a page without main text."""
+    """The columns in ``keep``, text and n_chars of every row; null html is empty, and so is a page without main text.
+
+    Rows that repeat a page have one result each; an empty table gives an empty
+    one.  A page of any length is read as a whole, in one task.  ``keep`` may not
+    hold a column called text or n_chars; other columns are not read.
+    """
+    if {"text", "n_chars"} & set(keep):
+        raise ValueError("keep has a column text or n_chars")
     ship(pages.sparkSession)
     rows = columns(pages, *keep, html_col)
 

@@ -1,17 +1,19 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Every window of ``run`` consecutive lines selects its least line hash: two
-places that share ``run`` lines are then guaranteed to share a fingerprint.  If
-``words`` is given, a window ends as soon as it holds so many words, so that a
-long line, or a pair, is a fingerprint by itself; short lines still need ``run``.
-Fingerprints that occur once in the whole corpus (the most, by far) end there;
-only windows of repeated ones are joined by position: each finds the first place
-that holds the same lines.  Matches that follow each other extend a run both
-ways to its full length, and runs that have an earlier place are deleted.
+Every window of ``run`` consecutive lines selects the position of its least line
+hash: two places that share ``run`` lines are then guaranteed to share a
+fingerprint.  If ``words`` is given, a window ends as soon as it holds so many
+words, so that a long line, or a pair, is a fingerprint by itself; short lines
+still need ``run``.  Only selected positions are kept, about half of the lines.
+Those whose line occurs at one of them alone in the corpus (the most, by far) end
+there; the others are joined, and the match is extended to the lines before and
+behind the fingerprint that its windows hold: each window finds the first place
+that has the same lines.  Windows that follow each other extend a run both ways
+to its full length, and runs that have an earlier place are deleted.
 
 Counts and first places are partial aggregates and come back by joins with one
-row a key, so that a line that a third of all documents hold is split like any
-other; a document is never compared with each of the others.
+row a key and salt, so that a line that a third of all documents hold is split
+like any other; a document is never compared with each of the others.
 """
 
 from __future__ import annotations
@@ -19,11 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, durable
+from .common import columns, durable, free
 
 #: White space of a line that counts as blank.
 _WORD = "[^\\x20\\x09-\\x0D]"
 _LAST = (1 << 63) - 1
+#: Parts that the places of one fingerprint are dealt out to.
+SALT = 8
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """df once for each salt, so that the rows of a key of the other side are dealt out to SALT tasks."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, words: int | None = None) -> DataFrame:
@@ -55,21 +64,25 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sequence(F.lit(0), F.size("h") - (run if words is None else 1)),
         lambda k: F.struct(
             k.alias("at"),
-            F.get("i", k).alias("first"),
             (k + length(k) - 1).alias("end"),
-            F.get("i", k + length(k) - 1).alias("last"),
-            F.array_min(cut(k, length(k))).alias("mark"),
+            # the position of the least hash, the first of equal ones
+            (k + F.array_position(cut(k, length(k)), F.array_min(cut(k, length(k)))).cast("int") - 1).alias("least"),
             F.xxhash64(cut(k, length(k))).alias("wa"),
             F.xxhash64(F.lit(1), cut(k, length(k))).alias("wb"),
         ),
     )
-    windows = lines.select("doc", "check", F.explode(window).alias("w")).where("w.end IS NOT NULL")
-    windows = durable(windows.select("doc", "check", "w.at", "w.end", "w.first", "w.last", F.col("w.mark.a").alias("mark"), "w.wa", "w.wb"))
-    marks = windows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    known = windows.join(marks, "mark", "left_semi")
+    lines = lines.withColumn("w", window)
+    # windows that selected a position begin at most run - 1 lines before it
+    own = lambda p: F.filter(F.slice("w", F.greatest(F.lit(1), p - run + 2), F.least(p + 1, F.lit(run))), lambda w: (w["least"] == p) & w["end"].isNotNull())
+    chosen = F.array_distinct(F.transform(F.filter("w", lambda w: w["end"].isNotNull()), lambda w: w["least"]))
+    place = lambda w: F.struct(w["at"].alias("at"), w["end"].alias("end"), F.get("i", w["at"]).alias("first"), F.get("i", w["end"]).alias("last"), w["wa"].alias("wa"), w["wb"].alias("wb"))
+    prints = lines.select("doc", "check", F.explode(F.transform(chosen, lambda p: F.struct(F.get("h", p)["a"].alias("mark"), p.alias("least"), F.transform(own(p), place).alias("windows")))).alias("f"))
+    prints = durable(prints.select("doc", "check", "f.mark", "f.windows", F.pmod(F.xxhash64("doc", "f.least"), F.lit(SALT)).cast("int").alias("salt")))
+    marks = prints.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    known = prints.join(_salted(marks), ["mark", "salt"], "left_semi").select("doc", "check", "mark", "salt", F.explode("windows").alias("w")).select("doc", "check", "mark", "salt", "w.*")
     place = F.struct("doc", "at", "check")
     held = known.groupBy("mark", "wa", "wb").agg(F.min(place).alias("held"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = known.join(held, ["mark", "wa", "wb"]).where((F.col("held.doc") != F.col("doc")) | (F.col("held.at") != F.col("at"))).select("doc", "check", "at", "end", "first", "last").distinct()
+    later = known.join(_salted(held), ["mark", "wa", "wb", "salt"]).where((F.col("held.doc") != F.col("doc")) | (F.col("held.at") != F.col("at"))).select("doc", "check", "at", "end", "first", "last").distinct()
     w = Window.partitionBy("doc", "check").orderBy("at")
     begun = later.withColumn("new", (F.col("at") - F.lag("end").over(w) > 1).cast("int"))
     part = begun.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(w))
@@ -90,13 +103,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError("docs has a column n_lines or n_removed")
     runs = repeated_runs(docs, id_col, text_col, run, words)
-    gone = runs.groupBy("doc", "check").agg(F.collect_list(F.struct("first", "last")).alias("__gone")).select(F.col("doc").alias("__doc"), F.col("check").alias("__check"), "__gone")
+    doc, check, gone_ = (free(x, docs) for x in ("doc__", "check__", "gone__"))
+    gone = runs.groupBy("doc", "check").agg(F.collect_list(F.struct("first", "last")).alias(gone_)).select(F.col("doc").alias(doc), F.col("check").alias(check), gone_)
     text = F.col(f"`{text_col}`")
-    keyed = docs.withColumn("__doc", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))).withColumn("__check", F.xxhash64(text))
+    keyed = docs.withColumn(doc, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))).withColumn(check, F.xxhash64(text))
     lines = F.split(text, "\n", -1)
-    out = keyed.join(gone, ["__doc", "__check"], "left").drop("__doc", "__check")
-    hit = F.col("__gone").isNotNull()
-    stays = lambda x, i: ~x.rlike(_WORD) | ~F.exists("__gone", lambda g: i.between(g["first"], g["last"]))
+    out = keyed.join(gone, [doc, check], "left").drop(doc, check)
+    hit = F.col(gone_).isNotNull()
+    stays = lambda x, i: ~x.rlike(_WORD) | ~F.exists(gone_, lambda g: i.between(g["first"], g["last"]))
     kept = F.filter(lines, stays)
     new = {
         text_col: F.when(hit, F.array_join(kept, "\n")).otherwise(text),

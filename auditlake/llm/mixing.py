@@ -14,7 +14,9 @@ state is kept between steps and a lost executor costs nothing.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from .words import U, Words, pieces
 
 #: Hashed words, figures of form, labelled rows that learning takes at most (those of smallest hash).
 BUCKETS, FORM, SAMPLE = 512, 6, 6000
-#: Steps of the fit at most, and the relative miss at which it ends.
-STEPS, CLOSE = 25, 1e-6
+#: Evaluations of the fit at most; the relative miss at which a target counts as met, and the relative gain below which the fit has settled.
+STEPS, CLOSE, SETTLED = 100, 1e-6, 1e-4
 
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -63,8 +65,11 @@ def _form(w: Words, text: np.ndarray, n: int, size: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
     """Softmax weights (features and one x domains) from labelled (id, domain), of which ``sample`` rows at most are taken."""
-    few = labelled.where(F.col("domain").isin(domains)).select(F.col("id"), "domain").orderBy(F.xxhash64("id"), "id", "domain").limit(sample)
-    rows = columns(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(few), "id").select("id", "domain", "text")  # bounded by sample
+    few = labelled.where(F.col("domain").isin(domains)).select(F.col("id"), "domain").distinct().orderBy(F.xxhash64("id"), "id", "domain").limit(sample)
+    rows = columns(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(few), "id")  # bounded by sample
+    # of rows that repeat an id one text is learned from, so that what comes back is bounded by sample, too
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")
+    rows = rows.groupBy("id", "domain").agg(one).select("id", "domain", "m.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,7 +79,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
                 yield pa.RecordBatch.from_pydict({"id": b.column(0).slice(at, k), "domain": b.column(1).slice(at, k), "x": pa.array([pack(v) for v in x], pa.binary())})
                 at += k
 
-    got = rows.mapInArrow(run, "id long, domain string, x binary").collect()
+    got = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, domain string, x binary").collect()
     got.sort(key=lambda r: (r["id"], r["domain"]))
     w = np.zeros((BUCKETS + FORM + 1, len(domains)))
     if not got:
@@ -123,32 +128,60 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return F.aggregate(all_, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
 
 
-def fit_rates(soft: DataFrame, weights: list[float], total: float | None = None, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps that lead to the rates, the totals reached and the targets.
+class Fit(NamedTuple):
+    """Steps taken, totals of the domains reached and wished for, whether they are met, and whether the least squares have settled."""
+
+    taken: list[np.ndarray]
+    reached: np.ndarray
+    goal: np.ndarray
+    met: bool
+    settled: bool
+
+
+def fit_rates(soft: DataFrame, weights: list[float], total: float | None = None, steps: int = STEPS) -> Fit:
+    """Steps that lead to rates whose totals are nearest to the targets.
 
     ``soft`` has tokens and p; ``weights`` are the domains' shares of ``total``
-    (all tokens if not given).  Each step is the gradient in the metric of the
-    documents that still have a rate above 0, followed by the projection.
+    (all tokens if not given).  Steps are in the metric of the documents that
+    still have a rate above 0, and along the plain gradient once these bring the
+    totals no nearer; a step that doesn't is not taken and made shorter.  So
+    targets that cannot be met end as near to them as rates can bring them.
     """
     d = len(weights)
     size = float(soft.agg(F.sum("tokens")).first()[0] or 0)
-    goal = np.array(weights) / sum(weights) * (size if total is None else total)
-    taken: list[np.ndarray] = []
-    reached = np.zeros(d)
+    goal = np.array(weights, float) / sum(weights) * (size if total is None else total)
     if not size:
-        return taken, reached, goal
-    for _ in range(steps + 1):
-        r = _rate(taken)
-        p = [F.get("p", F.lit(i)) for i in range(d)]
-        x = soft.withColumn("r", r)
-        sums = x.agg(*(F.sum(F.col("r") * F.col("tokens") * q) for q in p), *(F.sum(F.when(F.col("r") > 0, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(d) for j in range(d))).first()
-        reached = np.array(sums[:d], float)
+        return Fit([], np.zeros(d), goal, not goal.any(), True)
+    p = [F.get("p", F.lit(i)) for i in range(d)]
+
+    def look(taken: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals, and the Gram matrix of the documents that have a rate."""
+        x = soft.withColumn("r", _rate(taken))
+        pairs = [(i, j) for i in range(d) for j in range(d)]
+        sums = x.agg(*(F.sum(F.col("r") * F.col("tokens") * q) for q in p), *(F.sum(F.when(F.col("r") > 0, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i, j in pairs)).first()
+        v = np.array(sums, float)
+        return v[:d], v[d:].reshape(d, d) / size
+
+    taken: list[np.ndarray] = []
+    reached, gram = look(taken)
+    bold, length, slow, seen = True, 1.0, 0, 1
+    while True:
         miss = (reached - goal) / size
-        if len(taken) == steps or np.abs(miss).max() < CLOSE:
-            break
-        gram = np.array(sums[d:], float).reshape(d, d) / size
-        taken.append(np.linalg.solve(gram + 1e-9 * np.eye(d), miss))
-    return taken, reached, goal
+        if np.abs(miss).max() < CLOSE:
+            return Fit(taken, reached, goal, True, True)
+        if slow >= 4 or length < 1e-3 or seen >= steps:
+            return Fit(taken, reached, goal, False, slow >= 4 or length < 1e-3)
+        step = length * (np.linalg.solve(gram + 1e-9 * np.eye(d), miss) if bold else miss / np.linalg.eigvalsh(gram)[-1])
+        got, seen = look([*taken, step]), seen + 1
+        now, then = (((got[0] - goal) / size) ** 2).sum(), (miss**2).sum()
+        if now >= then:
+            length /= 4
+            if bold and length < 0.2:
+                bold, length = False, 1.0
+            continue
+        slow = slow + 1 if now > (1 - SETTLED) * then else 0
+        taken, (reached, gram) = [*taken, step], got
+        length = min(2 * length, 1.0) if bold else 2 * length
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None) -> DataFrame:
@@ -158,14 +191,20 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     rounds the rate up or down by a hash of id and text, so that its expectation
     is the rate; rows that repeat id and text get the same.  A null text has no
     tokens, and the rate of its posteriors.  Without labels all posteriors are
-    equal; an empty table gives an empty result.
+    equal; an empty table gives an empty result.  Ids may be of any type and
+    null (such rows cannot be labelled); of an id that repeats, one text is
+    learned from.  Targets that cannot be met are warned of, with the totals
+    reached.  Other columns are not read, so their names cannot clash.
     """
     ship(docs.sparkSession)
     domains = sorted(weights)
     w = learn(docs, labelled, domains, id_col, text_col)
     soft = durable(posteriors(docs, w, id_col, text_col))
-    taken, _, _ = fit_rates(soft, [weights[d] for d in domains], total)
-    out = soft.withColumn("rate", _rate(taken))
+    fit = fit_rates(soft, [weights[d] for d in domains], total)
+    if not fit.met:
+        how = "the nearest that rates reach" if fit.settled else f"not settled after {STEPS} evaluations"
+        warnings.warn(f"targets {dict(zip(domains, fit.goal.tolist()))} are missed: {fit.reached.tolist()} tokens, {how}", stacklevel=2)
+    out = soft.withColumn("rate", _rate(fit.taken))
     chance = (F.xxhash64("id", "key", F.lit("mix")) / F.lit(2.0**64)) + 0.5
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     return out.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("tokens").alias("n_tokens"), F.col("p").alias("posteriors"), "rate", copies.alias("copies"))

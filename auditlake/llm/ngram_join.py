@@ -147,8 +147,8 @@ def _ordered(s: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, scale[(s >> U(64 - 22)).astype(np.int64)]))]
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """id_col, n_shingles, component_id for every row.
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, groups: bool = False) -> DataFrame:
+    """id_col, n_shingles, component_id for every row; with ``groups`` also check (xxhash64 of the text) and group (a number of the component).
 
     Two rows link when 100 * overlap >= percent * union of their sets; an empty
     set (null or empty text, or no word) links with nothing, so such a row is its
@@ -189,9 +189,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         told_by = _told(entries, components(links))
     last = stored(_verified(_across(told_by, percent), rows, texts, n, percent, False))
     named = members.join(components(links.unionByName(last)).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.where("size > 0").groupBy("component").agg(F.min("id").alias("low"))
-    out = named.join(least, (named["component"] == least["component"]) & (named["size"] > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    least = named.where("size > 0").groupBy(F.col("component").alias("of")).agg(F.min("id").alias("low"))
+    out = named.join(least, (F.col("component") == F.col("of")) & (F.col("size") > 0), "left")
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), *([F.col("check"), F.col("component").alias("group")] if groups else []))
 
 
 def _entries(rows: DataFrame, n: int, percent: int, scale: np.ndarray, shared: np.ndarray) -> DataFrame:
@@ -340,205 +340,6 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
         packed = [pack(*pairs[a:b, 1:].T) for a, b in zip(cut[:-1], cut[1:])]
         return pa.table({"x": pa.array(pairs[cut[:-1], 0], pa.int64()), "ys": pa.array(packed, pa.binary())})
 
-    def add(key: tuple, blocks: pa.Table) -> pa.Table:
-        total = np.zeros(PIECE, np.uint64)
-        for x in blocks.column("cells"):
-            total += unpack(x.as_py(), np.uint32)[0]
-        scale = np.minimum(255, np.floor(4 * np.log2(total + 1.0))).astype(np.uint8)
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([pack(scale)], pa.binary())})
-
-    return parts.groupBy("piece").applyInArrow(add, "piece int, cells binary")
-
-
-def _ordered(s: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """A set's columns, rare first."""
-    return s[np.lexsort((s, scale[(s >> U(64 - 22)).astype(np.int64)]))]
-
-
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """id_col, n_shingles, component_id for every row.
-
-    Two rows link when 100 * overlap >= percent * union of their sets; an empty
-    set (null or empty text, or no word) links with nothing, so such a row is its
-    own component.  component_id is the smallest id that links reach.  Rows that
-    repeat an id count as one document each and link by their own texts, and so
-    do rows with a null id, whose component_id is null if no id is reached.
-    Whole texts of any length; an empty table gives an empty result.  Other
-    columns are not read, so their names cannot clash.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = columns(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("check"), "text")
-    first = stored(_first_pass(rows, n))
-    members = first.where("piece IS NULL").select("id", "check", "class", "twin", "size")
-    scale = np.zeros(CELLS, np.uint8)
-    for x in _added(first.where("piece IS NOT NULL").select("piece", "cells")).collect():  # CELLS bytes before compression, whatever the input
-        scale[x["piece"] * PIECE : (x["piece"] + 1) * PIECE] = unpack(x["cells"], np.uint8)[0]
-    # different sets with one 64-bit key: N * N / 2 ** 65 of N sets, none of a billion and hundreds of 10 ** 11
-    twins = members.groupBy("class").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).where("low < high").select("class").collect()
-    shared = np.sort(np.array([x["class"] for x in twins], np.int64))
-    if len(shared):
-        members = members.withColumn("class", F.when(F.col("class").isin(shared.tolist()), F.col("twin")).otherwise(F.col("class")))
-    entries = _entries(rows, n, percent, scale, shared)
-
-    # one text of each class, whose row of the matrix is read again where a pair has to be counted
-    found = F.min(F.struct(F.coalesce("id", F.lit(_LAST)).alias("k"), "check"))
-    texts = members.where("size > 0").groupBy("class").agg(found.alias("t")).select("class", "t.k", "t.check")
-    told_by, links, tried = entries.withColumn("component", F.col("class")).withColumn("weight", F.lit(0).cast("long")), None, None
-    for _ in range(ROUNDS):
-        pairs = _stars(told_by, percent, links is None)
-        pairs = stored(_few(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")))
-        asked = pairs.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("n", "y", "c")), asc=False).alias("a")).select("x", F.col("a.y").alias("ys"), F.col("a.c").alias("cs"))
-        new = stored(_verified(asked, rows, texts, n, percent, True))
-        tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
-        links = new if links is None else links.unionByName(new)
-        if new.isEmpty():
-            break
-        told_by = _told(entries, components(links))
-    last = stored(_verified(_across(told_by, percent), rows, texts, n, percent, False))
-    named = members.join(components(links.unionByName(last)).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.where("size > 0").groupBy("component").agg(F.min("id").alias("low"))
-    out = named.join(least, (named["component"] == least["component"]) & (named["size"] > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
-
-
-def _entries(rows: DataFrame, n: int, percent: int, scale: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """Entries of the prefixes in columns that rows of like size have, too: col, class, size, last, tight, central.
-
-    ``last`` is the place of the prefix's end in the order, ``tight`` how many
-    columns lie behind it and how many of its own are shared.
-    """
-    spark = rows.sparkSession
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = max(width(spark), -(-size // SLOT_BYTES))
-    told = spark.sparkContext.broadcast((scale, shared))
-
-    def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, known = told.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                cols, cls, num, last, seen = [], [], [], [], set()
-                for s in shingle_sets(whole.slice(at, 2048).column(0), n):
-                    k = class_of(*set_key(s), known)
-                    if len(s) and k not in seen:
-                        seen.add(k)
-                        p = _ordered(s, order)[: prefix(len(s), percent)]
-                        cols.append(p)
-                        cls.append(np.full(len(p), k, np.int64))
-                        num.append(np.full(len(p), len(s), np.int32))
-                        last.append(np.full(len(p), (int(order[int(p[-1] >> U(64 - 22))]) << 55) | int(p[-1] >> U(9)), np.int64))
-                if cols:
-                    c, k, z, e = map(np.concatenate, (cols, cls, num, last))
-                    slot = (mix(c) % U(slots)).astype(np.int32)
-                    o = np.argsort(slot, kind="stable")
-                    cut = np.flatnonzero(np.r_[True, np.diff(slot[o]) > 0, True])
-                    yield pa.RecordBatch.from_arrays([pa.array(slot[o][cut[:-1]]), pa.array([pack(c[i], k[i], z[i], e[i]) for i in np.split(o, cut[1:-1])], pa.binary())], ["slot", "block"])
-
-    def meet(t: pa.Table) -> pa.Table:
-        """Entries of one block's columns that have a row of another set whose size is within the bound."""
-        c, k, z, e = (np.concatenate(x) for x in zip(*(unpack(x.as_py(), U, np.int64, np.int32, np.int64) for x in t.column("block"))))
-        o = np.lexsort((k, z, c))
-        c, k, z, e = c[o], k[o], z[o].astype(np.int64), e[o]
-        new = np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])]  # a class comes once from each batch
-        c, k, z, e = c[new], k[new], z[new], e[new]
-        ends = np.flatnonzero(np.r_[c[1:] != c[:-1], True])
-        times = np.diff(np.r_[-1, ends])
-        many = np.repeat(times, times)
-        # by size, the neighbours in the column are the nearest
-        near = (c[1:] == c[:-1]) & (100 * z[:-1] >= percent * z[1:])
-        keep = np.r_[False, near] | np.r_[near, False]
-        return pa.table({"col": c[keep].view(np.int64), "class": k[keep], "size": z[keep], "last": e[keep], "many": many[keep]})
-
-    both = rows.select("text").mapInArrow(rows_in, "slot int, block binary").groupBy("slot").applyInArrow(meet, "col long, class long, size long, last long, many long")
-    own = Window.partitionBy("class")
-    # a row is central if its columns are common to many rows: the original of a group of near copies is
-    return stored(both.select("col", "class", "size", "last", (F.expr(_behind(percent)) + F.count("*").over(own)).alias("tight"), F.avg("many").over(own).alias("central")))
-
-
-def _behind(percent: int) -> str:
-    """Columns behind the prefix of a row."""
-    return f"CAST(ceil({percent} * size / 100D - 1e-9D) AS BIGINT) - 1"
-
-
-def _told(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """entries with the component of their class and its weight, the number of its other classes."""
-    found = found.withColumnRenamed("node", "class")
-    weights = found.groupBy("component").agg(F.count("*").alias("weight"))
-    whole = found.unionByName(weights.select(F.col("component").alias("class"), "component"))  # the class that gives the name is in it, too
-    found = stored(whole.join(weights, "component"))
-    side = F.broadcast(found) if found.count() <= BROADCAST else found
-    return entries.drop("component", "weight").join(side, "class", "left").withColumn("component", F.coalesce("component", "class")).withColumn("weight", F.coalesce("weight", F.lit(0)))
-
-
-def _reach(percent: int) -> str:
-    """Whether x and y can reach the bound, by the row whose prefix ends first and by their sizes."""
-    first = "CASE WHEN x.last < y.last THEN x.tight WHEN x.last > y.last THEN y.tight ELSE least(x.tight, y.tight) END"
-    return f"least(x.size, y.size, {first}) >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
-
-
-def _stars(entries: DataFrame, percent: int, first: bool) -> DataFrame:
-    """x, y, c, n: in how many columns x is its component's most central row and y, of component c, that of the column's largest component."""
-    row = F.struct("central", "class", "size", "last", "tight")
-    if first:  # each row is its own component
-        best = entries.select("col", "component", row.alias("x"), F.lit(1).alias("n"))
-    else:
-        best = entries.groupBy("col", "component").agg(F.max(row).alias("x"), F.count("*").alias("n"))
-    main = best.groupBy("col").agg(F.max(F.struct("n", "x", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("col", F.col("m.x").alias("y"), F.col("m.component").alias("c"))
-    met = best.join(main, "col").where(f"x.class != y.class AND {_reach(percent)}")
-    return met.groupBy(F.col("x.class").alias("x"), F.col("y.class").alias("y"), "c").agg(F.count("*").alias("n"))
-
-
-def _few(pairs: DataFrame) -> DataFrame:
-    """The TRIES partners of each row with which it shares most; the others are left to later products."""
-    w = Window.partitionBy("x").orderBy(F.desc("n"), "y")
-    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TRIES).drop("r")
-
-
-def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """x, ys, cs: pairs that can still reach the bound, of different components (cs: that of y), those that share most first.
-
-    Of two rows that of the lighter component asks, in whatever column they meet,
-    and rows of a column's heaviest component don't meet each other.  A column of
-    many rows is cut into squares of CHUNK rows a side.  What a row meets in a
-    block of columns is one packed row; those are added up by row.
-    """
-    parts = entries.groupBy("col", "weight", "component").agg(F.count("*").alias("n")).groupBy("col").agg(F.max(F.struct("weight", "component", "n")).alias("m"), F.count("*").alias("parts"), F.sum("n").alias("rows"))
-    parts = parts.where("parts > 1").select("col", F.col("m.component").alias("main"), F.ceil(F.col("rows") / CHUNK).cast("int").alias("own"), F.ceil((F.col("rows") - F.col("m.n")) / CHUNK).cast("int").alias("few"), "rows", F.col("m.n").alias("n"))
-    parts = stored(parts.withColumn("work", F.col("rows") + F.col("rows") * (F.col("rows") - F.col("n")) / 64))
-    work = parts.agg(F.sum("work")).first()[0] or 0
-    open_ = entries.join(parts.drop("rows", "n", "work"), "col").select("col", "class", "size", "last", "tight", "weight", "component", "main", "own", "few")
-    blocks = max(1, math.ceil(work / OPEN))
-    # a row is once among the few (if not of the heaviest component) for each chunk of all, and once among all for each chunk of the few
-    asks = open_.where("component != main").withColumn("ask", F.lit(True)).withColumn("i", F.expr("CAST(pmod(xxhash64(class), few) AS INT)")).withColumn("j", F.explode(F.expr("sequence(0, own - 1)")))
-    all_ = open_.withColumn("ask", F.lit(False)).withColumn("i", F.explode(F.expr("sequence(0, few - 1)"))).withColumn("j", F.expr("CAST(pmod(xxhash64(class), own) AS INT)"))
-    dealt = asks.unionByName(all_).withColumn("slot", F.pmod(F.xxhash64("col", "i", "j"), F.lit(blocks)).cast("int")).select("slot", "ask", "col", "i", "j", "class", "size", "last", "tight", "weight", "component")
-
-    behind = lambda z: -(-percent * z // 100) - 1
-
-    def meet(t: pa.Table) -> pa.Table:
-        ask, col, i, j, cls, size, last, tight, weight, comp = (t.column(c).to_numpy() for c in t.column_names[1:])
-        order = np.lexsort((ask, j, i, col))
-        begin = np.flatnonzero(np.r_[True, (np.diff(col[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)][: len(order)])
-        met: list[np.ndarray] = []
-        for square in np.split(order, begin[1:]):
-            few, own = square[ask[square]], square[~ask[square]]
-            for k in range(0, len(few), 256):
-                x, y = few[k : k + 256, None], own[None, :]
-                fits = (weight[x] < weight[y]) | ((weight[x] == weight[y]) & (comp[x] < comp[y]))
-                can = np.minimum(np.minimum(size[x], size[y]), np.minimum(np.where(last[x] <= last[y], tight[x], size[x]), np.where(last[y] <= last[x], tight[y], size[y])))
-                a, b = np.nonzero(fits & (can >= need(size[x], size[y], percent)))
-                a, b = few[k + a], own[b]
-                most = np.where(last[a] <= last[b], behind(size[a]), behind(size[b])) - need(size[a], size[b], percent)  # the count that it lacks, below 0
-                met.append(np.stack([cls[a], cls[b], comp[b], most], 1))
-        pairs = np.concatenate(met) if met else np.zeros((0, 4), np.int64)
-        o = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        first = np.flatnonzero(np.r_[True, (np.diff(pairs[o, 0]) != 0) | (np.diff(pairs[o, 1]) != 0)][: len(o)])
-        times = np.diff(np.r_[first, len(o)])
-        pairs = pairs[o[first]]
-        cut = np.flatnonzero(np.r_[True, np.diff(pairs[:, 0]) != 0, True]) if len(pairs) else np.zeros(1, int)
-        packed = [pack(pairs[a:b, 1], pairs[a:b, 2], pairs[a:b, 3], times[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-        return pa.table({"x": pa.array(pairs[cut[:-1], 0], pa.int64()), "ys": pa.array(packed, pa.binary())})
-
     def add(key: tuple, t: pa.Table) -> pa.Table:
         y, c, most, n = (np.concatenate(g) for g in zip(*(unpack(v.as_py(), *[np.int64] * 4) for v in t.column("ys"))))
         y, first, at = np.unique(y, return_index=True, return_inverse=True)

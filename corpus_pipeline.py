@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import bpe, language_id, line_dedup, mixing, ngram_join
-from auditlake.llm.common import shared_folder
+from auditlake.llm.common import free, shared_folder
 
 #: Least score of a predicted language that a document needs to stay.
 LEAST_SCORE = 0.15
 #: Words from which on a repeated line, or pair, goes without two neighbours that are repeated too.
 LINE_WORDS = 8
+_LAST = (1 << 63) - 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter or far from every profile go."""
-    found = language_id.language_id(docs.withColumn("__text", F.col("text")), language_id.fit(docs), text_col="__text", keep=tuple(c for c in docs.columns if c != "doc_id"))
+    text = free("text__", docs)
+    found = language_id.language_id(docs.withColumn(text, F.col("text")), language_id.fit(docs), text_col=text, keep=tuple(c for c in docs.columns if c != "doc_id"))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
@@ -33,17 +35,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
-    found = ngram_join.ngram_join(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates: that of smallest id (null is the largest), of rows with that id that of smallest text hash.
+
+    Rows that repeat an id and a text are one document.  Documents without words
+    are no duplicates of each other and stay.
+    """
+    found = ngram_join.ngram_join(docs, groups=True)
+    own = F.coalesce("doc_id", F.lit(_LAST))
+    first = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(own.alias("k"), "check")).alias("m")).select("m.k", "m.check")
+    kept = first.unionByName(found.where("n_shingles = 0").select(own.alias("k"), "check").distinct())
+    k, check = free("k__", docs), free("check__", docs)
+    keyed = docs.withColumn(k, own).withColumn(check, F.xxhash64("text"))
+    return keyed.join(kept.withColumnsRenamed({"k": k, "check": check}), [k, check], "left_semi").dropDuplicates([k, check]).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says, on average."""
+    """Documents as often as their rate says, on average; rows with a null id, too."""
     labels = mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = mixing.mix(docs, labels, mixing.WEIGHTS).where("copies > 0").select(F.col("doc_id"), F.col("text_key").alias("__key"), "copies").distinct()
-    out = docs.withColumn("__key", F.xxhash64("text")).join(found, ["doc_id", "__key"])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    own = F.coalesce("doc_id", F.lit(_LAST))
+    k, check, copies = free("k__", docs), free("check__", docs), free("copies__", docs)
+    found = mixing.mix(docs, labels, mixing.WEIGHTS).where("copies > 0").select(own.alias(k), F.col("text_key").alias(check), F.col("copies").alias(copies)).distinct()
+    out = docs.withColumn(k, own).withColumn(check, F.xxhash64("text")).join(found, [k, check])
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

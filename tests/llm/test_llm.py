@@ -155,6 +155,15 @@ def by_words(rows, run, words):
     return kept
 
 
+def test_line_dedup_of_random_lines_and_clashing_columns(spark):
+    r = random.Random(7)
+    pool = [f"line {k}" for k in range(9)] + ["", " "]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 25)))) for i in range(1, 60)]
+    d = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, doc__ int, check__ int, gone__ int")
+    got = sorted((x["doc_id"], x["text"], x["n_removed"]) for x in line_dedup.line_dedup(d).collect())
+    assert got == by_words(rows, 3, 10**9) and sum(x[2] for x in got) > 100
+
+
 def test_line_dedup_by_words(spark):
     long, r = "this one line of boilerplate has nine words inside", random.Random(5)
     rows = [(1, long), (2, f"a\n{long}\nb\n\n{long}\nc"), (3, "short\nline"), (4, "short\nline"), (5, "one two three four\nfive six seven eight"), (6, "x\none two three four\n\nfive six seven eight\ny"), (7, None), (8, ""), (9, long)]
@@ -174,6 +183,22 @@ def test_pipeline_drops_repeated_long_lines(spark):
     assert {(x["doc_id"], x["text"], x["n_chars"]) for x in corpus_pipeline.lines(spark, d, "").collect()} == {(1, rows[0][1], len(rows[0][1])), (2, "second text", 11)}
 
 
+def test_pipeline_keeps_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = " ".join(f"q{k}" for k in range(40)), " ".join(f"r{k}" for k in range(40))
+    rows = [(None, b), (1, a), (1, a), (1, b + " x"), (2, a + " y"), (None, "of its own"), (None, None), (3, ""), (3, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, k__ int")
+    got = sorted(((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, d, "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b + " x"), (None, "of its own"), (None, None), (3, "")], key=str)
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    copies = mixing.mix(d, mixing.domains_of(spark.read.parquet(f"{tmp_path}/labels.parquet")), mixing.WEIGHTS).agg(F.sum("copies")).first()[0]
+    assert corpus_pipeline.mixture(spark, d, str(tmp_path)).count() == copies
+    for name in ("language", "lines", "near_duplicates"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, d.limit(0), "")
+        assert out.columns == d.columns and out.count() == 0
+
+
 def test_bpe(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -264,6 +289,24 @@ def test_html(spark):
     assert got[1] == (want, len(want)) and got[2] == ("", 0) and got[3] == ("", 0) and got[4][0] == "only words in here"
 
 
+def test_html_with_tags_left_out(spark):
+    words = "a sentence of the article with enough words in it to be read as text, and one more, too"
+    pages = [
+        f"<html><head><title>t</title><body><article><h1>Head of it all</h1><p>{words}</article></html>",
+        f"<title>t</title><meta charset=utf-8><article><h1>Head of it all</h1><p>{words}</article>",
+        f"<html><head><script>x()</script><article><h1>Head of it all</h1><p>{words}<form><select><option>a<option>b</select></form></article>",
+        f"<article><h1>Head of it all</h1><ul><li>{words}<li>{words}</ul><table><tr><td>{words}<td>cell</table></article>",
+    ]
+    cut = [[b[1] for b in html_text.blocks(p)] for p in pages]
+    assert cut[0] == cut[1] == cut[2] == ["Head of it all", words] and cut[3] == ["Head of it all", words, words, words, "cell"]
+    d = spark.createDataFrame([(i, p, "u") for i, p in enumerate(pages + ["<p>" + "word " * 300_000 + "</p>"])], "page_id long, html string, url string")
+    got = {x["page_id"]: (x["text"], x["n_chars"]) for x in html_text.html_text(d).collect()}
+    assert all(got[i][0].startswith("Head of it all\n" + words) for i in range(3)) and got[4][1] in (0, 5 * 300_000 - 1)
+    assert html_text.html_text(d.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        html_text.html_text(d.withColumnRenamed("url", "text"), keep=("page_id", "text"))
+
+
 def test_license_scan(spark):
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", "words"), ("a/b/LICENSE", "Licensed under CC BY-NC 4.0."), ("a/b/c/y.txt", "long\nAll rights reserved.\nend"), ("a/b/c/z.txt", None), ("q.txt", ""), (None, "Released under the MIT License."), ("ab/x", "n")]
     d = spark.createDataFrame(rows, "path string, text string")
@@ -274,6 +317,21 @@ def test_license_scan(spark):
     assert license_scan.license_scan(d.limit(0)).count() == 0
 
 
+def test_license_scan_of_real_notices_and_repeats(spark):
+    texts = dict(license_scan.TEXTS)
+    wrap = lambda t: "\n".join(" ".join(t.split()[k : k + 12]) for k in range(0, len(t.split()), 12))
+    rows = [(i, p, t) for i, (p, t) in enumerate([
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrap(texts["MIT"])), ("m/src/a.c", "int main() {}"), ("m/b/LICENSE.txt", "BSD 3-Clause License\n\nCopyright (c) 2019, Acme\n\n" + wrap(texts["BSD-3-Clause"])), ("m/b/x.c", ""),
+        ("s/y.py", "# SPDX-License-Identifier: MIT\nimport os"), ("s/z.py", "// SPDX-License-Identifier: Apache-2.0"), ("g/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies"), ("g/q.c", "x"),
+        ("w/w.js", "/*\n * Licensed under the Apache License,\n * Version 2.0\n */"), ("s/y.py", "# SPDX-License-Identifier: MIT\nimport os"), (None, "# SPDX-License-Identifier: MIT"), (None, None), ("n/plain.txt", "we talk about a licence to kill and copyright as such in films"),
+    ])] + [(100 + i, f"o/{i}.txt", "some words of the day and of the night") for i in range(60)]
+    d = spark.createDataFrame([(i, p, t, "k") for i, p, t in rows], "doc_id long, path string, text string, keep_0 string")
+    got = {x["doc_id"]: (x["license"], x["via"]) for x in license_scan.license_scan(d, keep=("doc_id",)).collect()}
+    assert len(got) == len(rows)
+    want = ["MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "GPL-3.0", "GPL-3.0", "Apache-2.0", "MIT", None, None, None]
+    assert [got[i][0] for i in range(13)] == want and got[1][1] == got[3][1] == got[7][1] == "inherited"
+
+
 def test_license_scan_counts_every_word(spark):
     rows = [("a/x.txt", "Released as is under the MIT License."), ("b/y.txt", "All rights reserved and with that.")] + [(f"c/{i}.txt", "as is and with that") for i in range(300)]
     d = spark.createDataFrame(rows, "path string, text string")
@@ -300,7 +358,8 @@ def test_fit_rates_meets_targets(spark):
     p = r.dirichlet([1, 1, 0.5], 200)
     n = r.integers(1, 500, 200)
     soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "tokens long, p array<double>")
-    taken, reached, goal = mixing.fit_rates(soft, [0.3, 0.6, 0.1])
+    taken, reached, goal, met, settled = mixing.fit_rates(soft, [0.3, 0.6, 0.1])
+    assert met and settled
     assert np.abs(reached - goal).max() / n.sum() < 1e-4
     rate = np.ones(200)
     for s in taken:
@@ -308,6 +367,28 @@ def test_fit_rates_meets_targets(spark):
     assert np.allclose((rate * n) @ p, reached) and (rate >= 0).all()
 
 
+def test_fit_rates_of_targets_that_cannot_be_met(spark):
+    r = np.random.default_rng(2)
+    p = r.dirichlet([2, 2, 0.5], 60)
+    n = r.integers(1, 200, 60)
+    soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "tokens long, p array<double>").coalesce(1).cache()
+    fit = mixing.fit_rates(soft, [0, 0, 1], steps=60)
+    rate, goal = np.ones(60), np.array([0, 0, n.sum()], float)
+    a = (n[:, None] * p).T
+    for _ in range(20000):  # plain nonnegative least squares
+        rate = np.maximum(0, rate - a.T @ (a @ rate - goal) / np.linalg.eigvalsh(a @ a.T)[-1])
+    best, ours = (((x - goal) / n.sum()) ** 2 for x in (a @ rate, fit.reached))
+    assert not fit.met and ours.sum() <= 1.1 * best.sum() + 1e-3
+
+
+def test_mix_of_odd_ids(spark):
+    rows = [("a", "one two three"), ("a", "four five"), (None, "six seven eight"), ("b", None), ("c", ""), ("b", "nine"), (None, "six seven eight")]
+    d = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id string, text string, rate int, key string")
+    labels = spark.createDataFrame([("a", "clean"), ("b", "toxic"), ("a", "clean"), (None, "low")], "id string, domain string")
+    got = mixing.mix(d, labels, {"clean": 0.7, "toxic": 0.3}).collect()
+    assert sorted((str(x["doc_id"]), x["n_tokens"]) for x in got) == sorted((str(i), len(split(t))) for i, t in rows) and len({x["rate"] for x in got if x["doc_id"] is None}) == 1
+
+
 def test_mix(spark):
     rows = texts(4)
     d = docs(spark, rows)
