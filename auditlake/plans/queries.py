@@ -115,11 +115,6 @@ def card_data_scan(spark: S, sf: str) -> D:
     return scan.card_data_scan(scan.lines(corpus.code_corpus(spark, sf)))
 
 
-@query("local_webhooks", f"{_CODE} SELECT repo_id, path, line_no, regexp_extract(line, {_lit(r.LOCAL_URL)}, 1) AS url FROM line WHERE regexp_matches(path, {_lit(r.CONFIG_FILE)}) AND regexp_matches(line, {_lit(r.WEBHOOK_KEY)}) AND regexp_matches(line, {_lit(r.LOCAL_URL)})")
-def local_webhooks(spark: S, sf: str) -> D:
-    return scan.local_webhooks(scan.lines(corpus.code_corpus(spark, sf)))
-
-
 def _history_sql() -> str:
     parts = " UNION ALL ".join(f"SELECT repo_id, 'c' || line_no AS commit, {_lit(n)} AS pattern, trim(line) AS line FROM line WHERE regexp_matches(line, {_lit(p)}) AND NOT regexp_matches(regexp_extract(line, {_lit(f'({p})')}, 1), {_lit(r.PLACEHOLDER)})" for n, p in r.HISTORY)
     return f"{_CODE}, found AS (SELECT DISTINCT * FROM ({parts})) SELECT repo_id, commit, pattern, {_mask_sql('substring(line, 1, 160)')} AS excerpt FROM found"

@@ -80,3 +80,39 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = [F.when(k % n != 0, F.struct(F.lit(h).alias("key"), F.lit("v").alias("value"))) for h, n in (("strict-transport-security", 2), ("content-security-policy", 3), ("x-content-type-options", 5), ("x-frame-options", 4))]
     cookie = F.concat(F.when(k % 3 == 0, "session").otherwise("theme"), F.lit("=1"), F.when(k % 2 == 0, "; HttpOnly").otherwise(""), F.when(k % 5 != 0, "; Secure").otherwise(""), F.when(k % 4 != 0, "; SameSite=Lax").otherwise(""))
     return p.select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), path.alias("path"), F.when(k % 9 == 8, 404).otherwise(200).alias("status"), F.map_from_entries(F.filter(F.array(*heads), lambda x: x.isNotNull())).alias("headers"), F.array(cookie).alias("set_cookies"), body.alias("body"))
+
+
+#: Lines of application code: surfaces, controls, and what the module checks look for.
+APP_SNIPPETS = [
+    "const x = 1;", "", "// tenantId only in a comment", "return next();", "router.post('/items', async (req, res) => {", "});", "router.post('/admin/role', requireAuth, h)", "router.get('/items', list)", "const tenantId = req.user.tenantId;",
+    "await prisma.order.findUnique({ where: { id: req.params.id } })", "await Item.findById(req.params.id, { tenantId })", "Item.findById(req.params.id)", "await Item.create(req.body)", "await Item.create(req.body.name)", "User.new(params)", "User.new(params.require(:u).permit(:n))",
+    "app.use(requireAuth)", "if (!isAdmin(user)) return;", "passport.authenticate('local')", "const login = async () => {", "speakeasy.totp.verify(t)", "rateLimit({ max: 10 })", "bcrypt.hash(password, 10)", "zxcvbn(password)", "resetToken = Math.random().toString(36)",
+    "res.cookie('sid', v, { httpOnly: true, secure: true })", "res.cookie('sid', v)", "cookie: { secure: false }", "jwt.sign({ id }, secret)", "jwt.sign({ id }, secret, { expiresIn: '1h' })", "SELECT * FROM users", "await prisma.user.findMany()", "await prisma.user.findMany({ take: 10 })",
+    "res.json({ error: err.message })", "new ApolloServer({ typeDefs })", "validationRules: [depthLimit(5)]", "console.log(user.email)", "logger.info('started')", "fetch(`/reset?token=${t}`)", "email: string", "iban: string", "encrypt(value)", "deleteAccount(id)", "auditLog.write(e)",
+    "app.use(session()) // express-session", "require('express-session')", "app.use(csrf())", "app.use(helmet())", "cors({ origin: true, credentials: true })", "cors({ origin: true })", "const upload = multer({ dest: 'public/uploads' })", "fileFilter: (req, f, cb) => cb(null, true)", "limits: { fileSize: 1000 }",
+    "fs.writeFileSync(path.join(dir, file.originalname), b)", "const safe = path.basename(file.originalname);", "nodemailer.createTransport({ port: 25 })", "transport.sendMail({", "  from: req.body.from,", "  html: `<p>${req.body.text}</p>`,", "  html: body,", "import OpenAI from 'openai'",
+    "const prompt = `Answer ${userInput}`", "systemPrompt; console.log(systemPrompt)", "const k = 'sk-abcdefghijklmnopqrstuvwx'", "new Stripe(key)", "STRIPE_SECRET_KEY = 'abcd1234efgh'", "const live = 'sk_live_abcdefgh12345678'", "const test = 'sk_test_abcdefgh12345678'", "app.post('/webhook', handler)",
+    "stripe.webhooks.constructEvent(body, sig, s)", "if (seenEvents.has(event.id)) return;", "case 'payment_intent.payment_failed':", "stripe.paymentIntents.create({", "  amount: req.body.amount,", "  idempotencyKey: k,", "stripe.charges.create({ amount: 5 })", "stripe.refunds.create({ charge })",
+    "console.log(card_number)", "reconcile(ledger)", "status = 'pending'", "customer.subscription", "dunning(customer)", "callback_url: http://localhost:4000/hook",
+]
+APP_EXTENSIONS = [".js", ".ts", ".py", ".tsx", ".php", ".rb", ".go", ".prisma"]
+APP_LINES = 14
+
+
+def app_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo_id, path, content: small repositories of application code and their manifests, made from the given parts."""
+    k, words, ends = F.col("p_partkey"), F.array(*map(F.lit, APP_SNIPPETS)), F.array(*map(F.lit, APP_EXTENSIONS))
+    pick = lambda i: F.get(words, ((k * 11 + i * (k % 23 + 7)) % len(APP_SNIPPETS)).cast("int"))
+    path = F.when(k % 12 == 0, F.lit("package.json")).when(k % 13 == 0, F.concat(F.lit("config/"), k.cast("string"), F.lit(".yaml"))).otherwise(F.concat(F.when(k % 17 == 0, "migrations/").otherwise("src/"), F.lit("a"), k.cast("string"), F.get(ends, (k % len(APP_EXTENSIONS)).cast("int"))))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(APP_LINES - 1)), pick), "\n")
+    text = F.when(k % 12 == 0, F.when(k % 5 == 0, '{"dependencies": {"stripe": "1.0", "openai": "4"}}').otherwise('{"dependencies": {"left-pad": "1"}}')).otherwise(body)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
+    return part.select(F.concat("p_brand", F.lit("/"), (k % 60).cast("string")).alias("repo_id"), path.alias("path"), text.alias("content"))
+
+
+APP_SQL = f"""
+app_words AS (SELECT [{quoted(APP_SNIPPETS)}] AS s, [{quoted(APP_EXTENSIONS)}] AS e),
+app AS (SELECT concat(p_brand, '/', p_partkey % 60) AS repo_id,
+  CASE WHEN p_partkey % 12 = 0 THEN 'package.json' WHEN p_partkey % 13 = 0 THEN concat('config/', p_partkey, '.yaml') ELSE concat(CASE WHEN p_partkey % 17 = 0 THEN 'migrations/' ELSE 'src/' END, 'a', p_partkey, e[(p_partkey % {len(APP_EXTENSIONS)}) + 1]) END AS path,
+  CASE WHEN p_partkey % 12 = 0 THEN CASE WHEN p_partkey % 5 = 0 THEN '{{"dependencies": {{"stripe": "1.0", "openai": "4"}}}}' ELSE '{{"dependencies": {{"left-pad": "1"}}}}' END
+  ELSE array_to_string(list_transform(range({APP_LINES}), lambda i: s[((p_partkey * 11 + i * (p_partkey % 23 + 7)) % {len(APP_SNIPPETS)}) + 1]), chr(10)) END AS content FROM part, app_words)"""
