@@ -116,3 +116,28 @@ app AS (SELECT concat(p_brand, '/', p_partkey % 60) AS repo_id,
   CASE WHEN p_partkey % 12 = 0 THEN 'package.json' WHEN p_partkey % 13 = 0 THEN concat('config/', p_partkey, '.yaml') ELSE concat(CASE WHEN p_partkey % 17 = 0 THEN 'migrations/' ELSE 'src/' END, 'a', p_partkey, e[(p_partkey % {len(APP_EXTENSIONS)}) + 1]) END AS path,
   CASE WHEN p_partkey % 12 = 0 THEN CASE WHEN p_partkey % 5 = 0 THEN '{{"dependencies": {{"stripe": "1.0", "openai": "4"}}}}' ELSE '{{"dependencies": {{"left-pad": "1"}}}}' END
   ELSE array_to_string(list_transform(range({APP_LINES}), lambda i: s[((p_partkey * 11 + i * (p_partkey % 23 + 7)) % {len(APP_SNIPPETS)}) + 1]), chr(10)) END AS content FROM part, app_words)"""
+
+#: Files of which repositories are made: what stands before and behind the key in the path, and the content.
+ESTATE = [
+    ("package.json", "", '{"dependencies": {"prisma": "5", "pino": "8", "@sentry/node": "7"}, "scripts": {"deploy": "prisma db push"}}'), ("package.json", "", '{"dependencies": {"typeorm": "0.3", "node-vault": "1"}, "scripts": {"save": "pg_dump app"}}'),
+    ("package.json", "", '{"devDependencies": {"left-pad": "1"}}'), ("package.json", "", '{"dependencies": {"drizzle-orm": "1", "klaro": "2"}}'), ("prisma/schema.prisma", "", "model User {\n  email String\n}"), ("prisma/schema.prisma", "", "model Item {\n  deletedAt DateTime\n}"),
+    ("prisma/migrations/m", "/migration.sql", "CREATE TABLE a (i INT);\nDROP TABLE b;\nALTER TABLE a DROP COLUMN c;"), ("prisma/migrations/m", "/migration.sql", "CREATE TABLE a (i INT);"), ("requirements.txt", "", "Django==4.2\nsentry-sdk"), ("manage.py", "", "import sys"),
+    ("shop/migrations/0", ".py", "migrations.RenameField('a', 'b')\nmigrations.RemoveField('c')"), ("shop/migrations/1", ".py", "migrations.RenameModel('a')"), ("shop/models.py", "", "class Person(models.Model):\n    email = EmailField()"), ("composer.json", "", '{"require": {"laravel/framework": "10"}}'), ("database/migrations/c", ".php", "Schema::dropIfExists('t');"),
+    ("app", ".csproj", '<PackageReference Include="Microsoft.EntityFrameworkCore" />'), ("Migrations/M", ".cs", "migrationBuilder.DropColumn(\n  name: x)"), ("go.mod", "", "module x\nrequire gorm.io/gorm v1"), ("migrations/g", ".up.sql", "TRUNCATE t;"), ("migrations/g", ".down.sql", "DROP TABLE t;"),
+    ("Dockerfile", "", "FROM node:20"), ("docker-compose.yml", "", "services: {}"), ("wrangler.toml", "", "main = 'x'"), (".github/workflows/w", ".yml", "run: npm test"), (".github/workflows/d", ".yml", "run: deploy"), ("scripts/backup", ".sh", "tar"), ("scripts/restore", ".sh", "untar"), ("src/card", ".ts", "cvv: string\ncardNumber: string"), ("src/pan", ".ts", "card_number = 1"), ("src/f", ".ts", "x"),
+]
+
+
+def estate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo_id, path, content: what repositories are made of, made from the given parts."""
+    k = F.col("p_partkey")
+    table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ESTATE))
+    x = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand").withColumn("f", F.get(table, ((k * 7 + k % 13) % len(ESTATE)).cast("int")))
+    path = F.when((F.col("f.b") == ""), F.col("f.a")).otherwise(F.concat("f.a", k.cast("string"), "f.b"))
+    return x.select(F.concat("p_brand", F.lit("/"), (k % 12).cast("string")).alias("repo_id"), path.alias("path"), F.col("f.c").alias("content"))
+
+
+ESTATE_SQL = f"""
+estate_words AS (SELECT [{quoted([a for a, _, _ in ESTATE])}] AS a, [{quoted([b for _, b, _ in ESTATE])}] AS b, [{quoted([c for _, _, c in ESTATE])}] AS c),
+estate_part AS (SELECT *, ((p_partkey * 7 + p_partkey % 13) % {len(ESTATE)}) + 1 AS i FROM part, estate_words),
+estate AS (SELECT concat(p_brand, '/', p_partkey % 12) AS repo_id, CASE WHEN b[i] = '' THEN a[i] ELSE concat(a[i], p_partkey, b[i]) END AS path, c[i] AS content FROM estate_part)"""
