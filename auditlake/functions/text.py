@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # The patterns of secrets.
 SECRET_KEY = r"[A-Za-z0-9_]*(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|client[_-]?secret|auth|bearer|session)[A-Za-z0-9_]*"
@@ -20,6 +25,8 @@ PLACEHOLDER_VALUE = r"(?i)^(?:x{4,}|\.{3,}|<[^>]+>|\$\{[^}]+\}|process\.env|your
 
 #: key, separator and value; a value over 8 characters keeps two at either end
 KEY_VALUE = rf"(?i)({SECRET_KEY})(\s*[:=]\s*[\"']?)(?:([^\s\"']{{2}})[^\s\"']{{5,}}([^\s\"']{{2}})|[^\s\"']{{4,8}})"
+#: what a match of it holds behind the word
+KEY_NEAR = rf"(?i){SECRET_KEY.removeprefix('[A-Za-z0-9_]*')}\s*[:=]"
 
 
 def mask_value(x: Column) -> Column:
@@ -28,14 +35,28 @@ def mask_value(x: Column) -> Column:
 
 
 def mask_secrets(x: Column) -> Column:
-    """Text with every secret masked; null stays null."""
-    x = F.regexp_replace(x, URL_PASSWORD, "$1***$3")
-    x = F.regexp_replace(x, KEY_VALUE, "$1$2$3***$4")
-    for pattern in (JWT, AWS_ID, PROVIDER_TOKEN, LONG_HEX):
-        x = _mask_matches(x, pattern)
+    """Text with every secret masked; null stays null.
+
+    Each mask is tried only where a cheap test finds what its matches must hold,
+    as most texts hold no secret.  A step's text is bound once.
+    """
+    steps = [
+        (lambda v: F.contains(v, F.lit("://")), lambda v: F.regexp_replace(v, URL_PASSWORD, "$1***$3")),
+        (lambda v: v.rlike(KEY_NEAR), lambda v: F.regexp_replace(v, KEY_VALUE, "$1$2$3***$4")),
+        (lambda v: F.contains(v, F.lit("eyJ")), lambda v: _mask_matches(v, JWT)),
+        (lambda v: F.contains(v, F.lit("AKIA")), lambda v: _mask_matches(v, AWS_ID)),
+        (lambda v: v.rlike(PROVIDER_TOKEN), lambda v: _mask_matches(v, PROVIDER_TOKEN)),
+        (lambda v: v.rlike(LONG_HEX), lambda v: _mask_matches(v, LONG_HEX)),
+    ]
+    for test, mask in steps:
+        x = _where(x, test, mask)
     return x
 
 
+def _where(x: Column, test: Callable[[Column], Column], mask: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(x), lambda v: F.when(test(v), mask(v)).otherwise(v)), F.lit(0))
+
+
 def _mask_matches(x: Column, pattern: str) -> Column:
     """Each match of a pattern through mask_value: split around the matches and put the masked ones between."""
 
@@ -65,6 +86,37 @@ def shannon_entropy(x: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
 
 
+@F.pandas_udf(DoubleType())
+def text_entropy(x: pd.Series) -> pd.Series:
+    """As shannon_entropy, for whole texts: code points are counted at once, in time linear in the length; null stays null."""
+
+    def bits(text: str) -> float:
+        counts = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1]
+        p = counts / max(1, counts.sum())
+        return float(-(p * np.log2(p)).sum()) if len(p) else 0.0
+
+    return x.map(bits, na_action="ignore")
+
+
+def to_host(url: Column) -> Column:
+    """Lower-case host of a URL or of host[:port][/path]."""
+    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^@/]*@)?([^:/?#]+)", 1))
+
+
+def base_url(url: Column) -> Column:
+    """Scheme and authority of a URL; https is taken where there is no scheme."""
+    whole = F.when(url.rlike(r"(?i)^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
+    return F.regexp_extract(whole, r"^([A-Za-z]+://[^/?#]+)", 1)
+
+
+# What a service's name says of its role, the first that fits.
+ROLES = [("(?i)worker|consumer|processor|signature", "worker/consumer"), ("(?i)producer|publisher", "producer"), ("(?i)scheduler|cron|beat", "scheduler"), ("(?i)api|web|server|app|backend", "api")]
+
+
+def role_of_service(name: Column) -> Column:
+    return F.coalesce(*(F.when(name.rlike(p), r) for p, r in ROLES), F.lit("service"))
+
+
 def string_literals(x: Column) -> Column:
     """Contents of quoted literals of the three kinds, escapes included."""
     return F.regexp_extract_all(x, F.lit(r"(['\"`])((?:\\.|(?!\1)[^\\])*)\1"), 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +51,16 @@ IMPORTS = [
     r"""\bimport\(\s*['"]([^'".][^'"]*)['"]\s*\)""",
     r"""(?m)^\s*import\s+['"]([^'".][^'"]*)['"]""",
 ]
+GO_IMPORTS = [r'(?m)^\s*(?:import\s+)?(?:[A-Za-z_.]+\s+)?"([a-z0-9.-]+\.[a-z]+/[^"\s]+)"\s*$']
 PY_IMPORTS = [r"(?m)^\s*import\s+([A-Za-z_][\w]*)", r"(?m)^\s*from\s+([A-Za-z_][\w]*)[\w.]*\s+import\b"]
 
 
 def import_graph(files: DataFrame) -> DataFrame:
-    """Distinct repo_id, pkg that files import: four forms in JavaScript, two in Python."""
+    """Distinct repo_id, pkg that files import: four forms in JavaScript, two in Python, and Go's paths with a domain."""
     script = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), 1) for p in IMPORTS)))
     python = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), 1) for p in PY_IMPORTS)))
-    got = F.when(F.col("path").rlike(r"\.py$"), python).when(F.col("path").rlike(r"(?i)\.(ts|tsx|js|jsx|mjs|cjs|vue)$"), F.transform(script, t.pkg_root)).otherwise(F.array().cast("array<string>"))
+    go = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), 1) for p in GO_IMPORTS)))
+    got = F.when(F.col("path").rlike(r"\.py$"), python).when(F.col("path").rlike(r"\.go$"), go).when(F.col("path").rlike(r"(?i)\.(ts|tsx|js|jsx|mjs|cjs|vue)$"), F.transform(script, t.pkg_root)).otherwise(F.array().cast("array<string>"))
     return files.select("repo_id", F.explode(got).alias("pkg")).distinct()
 
 
@@ -70,16 +74,21 @@ def package_of(id_: Column) -> Column:
 def reachability_enrich(findings: DataFrame, imports: DataFrame) -> DataFrame:
     """findings (repo_id, id, kev, exploitability) with reachable: null for what is no dependency or a repository without imports.
 
-    A package is reachable if it is imported, or its top segment is.  What is
-    not reachable and not known to be exploited has low exploitability.
+    A package is reachable if it is imported, or one of the two is a path above
+    the other: imports are expanded to the paths above them and packages to
+    theirs, so both are equi-joins.  What is not reachable and not known to be
+    exploited has low exploitability.
     """
     marked = findings.withColumn("pkg", package_of(F.col("id")))
     graphs = imports.select("repo_id").distinct().withColumn("known", F.lit(True))
-    exact = imports.select("repo_id", "pkg").distinct().withColumn("hit", F.lit(True))
-    top = exact.select("repo_id", F.col("pkg").alias("top"), F.col("hit").alias("hit_top"))
-    out = marked.withColumn("top", F.split("pkg", "/")[0]).join(graphs, "repo_id", "left").join(exact, ["repo_id", "pkg"], "left").join(top, ["repo_id", "top"], "left")
-    reach = F.when(F.col("pkg").isNotNull() & F.col("known"), F.coalesce("hit", "hit_top", F.lit(False)))
-    out = out.withColumn("reachable", reach).drop("top", "known", "hit", "hit_top", "pkg")
+    parts = F.split("pkg", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    below = imports.select("repo_id", F.explode(ups).alias("pkg")).distinct().withColumn("hit", F.lit(True))
+    above = marked.where("pkg IS NOT NULL").select("repo_id", "pkg").distinct().select("repo_id", F.col("pkg").alias("of"), F.explode(ups).alias("pkg"))
+    above = above.join(imports.select("repo_id", "pkg").distinct(), ["repo_id", "pkg"], "left_semi").select("repo_id", F.col("of").alias("pkg")).distinct().withColumn("hit_above", F.lit(True))
+    out = marked.join(graphs, "repo_id", "left").join(below, ["repo_id", "pkg"], "left").join(above, ["repo_id", "pkg"], "left")
+    reach = F.when(F.col("pkg").isNotNull() & F.col("known"), F.coalesce("hit", "hit_above", F.lit(False)))
+    out = out.withColumn("reachable", reach).drop("known", "hit", "hit_above", "pkg")
     return out.withColumn("exploitability", F.when(~F.coalesce("reachable", F.lit(True)) & ~F.col("kev"), "low").otherwise(F.col("exploitability")))
 
 
@@ -101,7 +110,9 @@ def waiver_partition(findings: DataFrame, waivers: DataFrame, today: str, key: l
     ]
     met = parts[0].unionByName(parts[1]).unionByName(parts[2])
     first = met.groupBy(*key).agg(F.min_by("reason", "ordinal").alias("reason"))
-    return findings.join(first, key, "left")
+    back = first.select(*(F.col(k).alias(f"back_{k}") for k in key), "reason")
+    same = reduce(lambda a, b: a & b, (findings[k].eqNullSafe(back[f"back_{k}"]) for k in key))  # a key column may be null
+    return findings.join(back, same, "left").drop(*(f"back_{k}" for k in key))
 
 
 def delta(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Paths that should not be served, with severity and what their body shows; headers; admin words.
-EXPOSED = [("/.env", "P0", r"(?m)^[A-Z0-9_]+="), ("/.git/config", "P0", r"\[core\]"), ("/phpinfo.php", "P1", r"(?i)phpinfo\(\)|PHP Version"), ("/server-status", "P2", r"(?i)Apache Server Status")]
+from auditlake.functions.text import days_until
+
+# Paths that should not be served, with severity, what their body shows, and whether an HTML page is none.
+EXPOSED = [
+    ("/.env", "P0", r"(?m)^[A-Z0-9_]+\s*=", True), ("/.git/config", "P0", r"\[core\]|\[remote ", False), ("/.git/HEAD", "P0", r"^\s*ref:\s+refs/", False), ("/.aws/credentials", "P0", r"(?i)aws_access_key_id", False), ("/.terraform.tfstate", "P0", r'"terraform_version"|"resources"', False),
+    ("/backup.sql", "P0", r"(?i)(CREATE TABLE|INSERT INTO|DROP TABLE)", True), ("/.npmrc", "P1", r"_authToken|registry=", False), ("/swagger.json", "P1", r'"swagger"|"openapi"', False), ("/api-docs", "P1", r'(?i)"swagger"|"openapi"|swagger-ui', False),
+    ("/actuator/health", "P1", r'"status"\s*:\s*"(UP|DOWN)"', False), ("/.DS_Store", "P2", r"Bud1|^\x00", False),
+]
+# Headers, admin paths and words, sessions, weak protocols, ports of services.
 HEADERS = [("strict-transport-security", "P1"), ("content-security-policy", "P1"), ("x-content-type-options", "P2"), ("x-frame-options", "P2")]
-ADMIN_PATHS = ["/admin", "/administrator", "/wp-admin", "/dashboard", "/manage"]
-LOGIN, ADMIN, SESSION = r"(?i)\b(login|log in|sign in|password|giri)", r"(?i)\b(admin|dashboard|panel)", r"(?i)(sess|sid|token|auth|jwt)"
+ADMIN_PATHS = ["/admin", "/administrator", "/wp-admin", "/manager/html", "/.git/"]
+LOGIN, ADMIN, SESSION = "password|şifre|sign in|giriş yap|login", "dashboard|admin|yönetim|console|manager", r"(?i)(sess|sid|token|auth|jwt)"
+WEAK_PROTOCOLS = ["TLSv1", "TLSv1.1", "SSLv3", "SSLv2"]
+PORTS = [(22, "SSH", "P2"), (3389, "RDP", "P1"), (3306, "MySQL", "P1"), (5432, "PostgreSQL", "P1"), (6379, "Redis", "P0"), (27017, "MongoDB", "P0"), (9200, "Elasticsearch", "P0"), (5984, "CouchDB", "P1"), (11211, "Memcached", "P1"), (2375, "Docker API", "P0")]
 
 
 def exposed_files(responses: DataFrame) -> DataFrame:
     """page_id, path, severity of files that answered with their own content."""
-    hit = F.coalesce(*(F.when((F.col("path") == p) & F.col("body").rlike(b), s) for p, s, b in EXPOSED))
+    html = F.contains(F.lower(F.coalesce(F.try_element_at("headers", F.lit("content-type")), F.lit(""))), F.lit("html"))
+    hit = F.coalesce(*(F.when((F.col("path") == p) & F.col("body").rlike(b) & (~html if plain else F.lit(True)), s) for p, s, b, plain in EXPOSED))
     return responses.where("status = 200").select("page_id", "path", hit.alias("severity")).where("severity IS NOT NULL")
 
 
@@ -34,7 +44,7 @@ def cookie_flags(responses: DataFrame) -> DataFrame:
 def open_admin(responses: DataFrame) -> DataFrame:
     """page_id, host, path of admin pages that open without a login and differ from the host's start page."""
     root = responses.where("path = '/'").groupBy("host").agg(F.min_by("body", "page_id").alias("root"))
-    a = responses.where((F.col("status") == 200) & F.col("path").isin(ADMIN_PATHS) & ~F.col("body").rlike(LOGIN) & F.col("body").rlike(ADMIN))
+    a = responses.where((F.col("status") == 200) & F.col("path").isin(ADMIN_PATHS) & ~F.lower("body").rlike(LOGIN) & F.lower("body").rlike(ADMIN))
     return a.join(root, "host", "left").where("root IS NULL OR body != root").select("page_id", "host", "path")
 
 
@@ -44,6 +54,20 @@ def rate_limit_absent(log: DataFrame, seconds: int = 600, least: int = 5) -> Dat
     return burst.where(f"served >= {least} AND NOT held").select(F.col("w.start").alias("window_start"), "user_id", "served")
 
 
+def tls_findings(seen: DataFrame, now: Column) -> DataFrame:
+    """host, finding, severity of handshakes (host, protocol, not_after): weak protocols (P1), certificates expired (P0) or within 14 days (P1)."""
+    days = days_until(F.col("not_after"), now)
+    f = lambda c, n, s: F.when(c, F.struct(F.lit(n).alias("finding"), F.lit(s).alias("severity")))
+    found = F.array(f(F.col("protocol").isin(WEAK_PROTOCOLS), "weak-protocol", "P1"), f(days < 0, "expired", "P0"), f(days.between(0, 13), "expiring", "P1"))
+    return seen.select("host", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("host", "f.*")
+
+
+def open_ports(seen: DataFrame) -> DataFrame:
+    """host, port, service, severity of open ports (host, port) that belong to a service not meant for everyone."""
+    known = seen.sparkSession.createDataFrame(PORTS, "port int, service string, severity string")
+    return seen.select("host", F.col("port").cast("int").alias("port")).distinct().join(F.broadcast(known), "port").select("host", "port", "service", "severity")  # ten rows
+
+
 def authorized_target(seen: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows of ``seen`` whose host is an allowed one or below it: a host's own suffixes are joined by equality."""
     parts = F.split("host", r"\.")

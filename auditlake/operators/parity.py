@@ -44,9 +44,9 @@ def volume_mismatch(mounts: DataFrame) -> DataFrame:
 
 
 def env_parity(example: DataFrame, env: DataFrame) -> DataFrame:
-    """repo_id, missing, keys: how many of the example's keys (repo_id, key) the environment lacks, and the first eight of them."""
+    """repo_id, missing, keys: how many of the example's keys (repo_id, key) the environment lacks, and the first eight of them; keys that the example repeats count as often."""
     gone = example.join(env.select("repo_id", "key").distinct(), ["repo_id", "key"], "left_anti")
-    return gone.groupBy("repo_id").agg(F.count("*").alias("missing"), F.array_join(F.slice(F.array_sort(F.collect_set("key")), 1, 8), ",").alias("keys"))
+    return gone.groupBy("repo_id").agg(F.count("*").alias("missing"), F.array_join(F.slice(F.array_sort(F.collect_list("key")), 1, 8), ",").alias("keys"))
 
 
 def parity_layers(findings: DataFrame) -> DataFrame:

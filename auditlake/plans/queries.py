@@ -146,7 +146,7 @@ def looks_like_secret_by_source(spark: S, sf: str) -> D:
 
 @query("entropy_by_doc", "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0), n AS (SELECT doc_id, ch, count(*) AS k FROM c GROUP BY ALL), s AS (SELECT doc_id, k / sum(k) OVER (PARTITION BY doc_id) AS p FROM n) SELECT doc_id, round(sum(-p * log2(p)), 5) AS entropy FROM s GROUP BY doc_id")
 def entropy_by_doc(spark: S, sf: str) -> D:
-    return spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") > 0).select("doc_id", F.round(t.shannon_entropy(F.col("text")), 5).alias("entropy"))
+    return spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") > 0).select("doc_id", F.round(t.text_entropy("text"), 5).alias("entropy"))
 
 
 @query("comment_strip_pages", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '/\*[\s\S]*?\*/', ' ', 'g'), '(^|[^:])//[^\n]*', '\1', 'g'), '(^|\s)#[^\n]*', '\1', 'g')) AS n_chars FROM pages")
@@ -270,11 +270,10 @@ def prompt_select(spark: S, sf: str) -> D:
 
 
 # --- observations
-_SEEN = """WITH seen AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, CASE page_id % 7 WHEN 0 THEN '/.env' WHEN 1 THEN '/.git/config' WHEN 2 THEN '/admin' WHEN 3 THEN '/' ELSE '/page' END AS path, CASE WHEN page_id % 9 = 8 THEN 404 ELSE 200 END AS status,
-CASE page_id % 7 WHEN 0 THEN 'DB_PASSWORD=x' || page_id WHEN 1 THEN '[core]' || chr(10) WHEN 2 THEN 'Admin dashboard ' || page_id || CASE WHEN page_id % 4 = 0 THEN ' login' ELSE '' END ELSE html END AS body FROM pages)"""
+_SEEN = f"WITH {corpus.SEEN_SQL}"
 
 
-@query("exposed_files", f"{_SEEN} SELECT page_id, path, 'P0' AS severity FROM seen WHERE status = 200 AND path IN ('/.env', '/.git/config')")
+@query("exposed_files", f"{_SEEN} SELECT * FROM (SELECT page_id, path, CASE " + " ".join(f"WHEN path = '{p}' AND regexp_matches(body, {_lit(b)}){' AND kind NOT LIKE ' + _lit('%html%') if plain else ''} THEN '{s}'" for p, s, b, plain in observed.EXPOSED) + " END AS severity FROM seen WHERE status = 200) WHERE severity IS NOT NULL")
 def exposed_files(spark: S, sf: str) -> D:
     return observed.exposed_files(corpus.responses(spark, sf))
 
@@ -289,7 +288,7 @@ def cookie_flags(spark: S, sf: str) -> D:
     return observed.cookie_flags(corpus.responses(spark, sf))
 
 
-@query("open_admin", f"{_SEEN}, root AS (SELECT host, arg_min(body, page_id) AS r FROM seen WHERE path = '/' GROUP BY host) SELECT page_id, host, path FROM seen LEFT JOIN root USING (host) WHERE status = 200 AND path = '/admin' AND body NOT LIKE '%login%' AND (r IS NULL OR r != body)")
+@query("open_admin", f"{_SEEN}, root AS (SELECT host, arg_min(body, page_id) AS r FROM seen WHERE path = '/' GROUP BY host) SELECT page_id, host, path FROM seen LEFT JOIN root USING (host) WHERE status = 200 AND path IN ({corpus.quoted(observed.ADMIN_PATHS)}) AND NOT regexp_matches(lower(body), {_lit(observed.LOGIN)}) AND regexp_matches(lower(body), {_lit(observed.ADMIN)}) AND (r IS NULL OR r != body)")
 def open_admin(spark: S, sf: str) -> D:
     return observed.open_admin(corpus.responses(spark, sf))
 
@@ -307,6 +306,38 @@ def authorized_target(spark: S, sf: str) -> D:
     return observed.authorized_target(seen, spark.createDataFrame([("example.com",), ("example.org",)], "host string"))
 
 
+_TLS = "['TLSv1', 'TLSv1.1', 'TLSv1.2', 'TLSv1.3', 'SSLv3']"
+
+
+@query("tls_findings", f"WITH h AS (SELECT concat('h', o_custkey, '.local') AS host, {_TLS}[(o_orderkey % 5) + 1] AS protocol, date_diff('day', TIMESTAMP '1998-06-01', o_orderdate) AS days FROM orders) SELECT host, 'weak-protocol' AS finding, 'P1' AS severity FROM h WHERE protocol IN ({corpus.quoted(observed.WEAK_PROTOCOLS)}) UNION ALL SELECT host, 'expired', 'P0' FROM h WHERE days < 0 UNION ALL SELECT host, 'expiring', 'P1' FROM h WHERE days BETWEEN 0 AND 13")
+def tls_findings(spark: S, sf: str) -> D:
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    protocol = F.get(F.array(*map(F.lit, ("TLSv1", "TLSv1.1", "TLSv1.2", "TLSv1.3", "SSLv3"))), (F.col("o_orderkey") % 5).cast("int"))
+    seen = o.select(F.concat(F.lit("h"), F.col("o_custkey").cast("string"), F.lit(".local")).alias("host"), protocol.alias("protocol"), F.col("o_orderdate").cast("timestamp").alias("not_after"))
+    return observed.tls_findings(seen, F.lit("1998-06-01 00:00:00").cast("timestamp"))
+
+
+_PORT_LIST = [22, 80, 443, 3306, 5432, 6379, 8080, 9200, 27017, 2375, 3389]
+_KNOWN = ", ".join(f"({p}, '{n}', '{s}')" for p, n, s in observed.PORTS)
+
+
+@query("open_ports", f"WITH known(port, service, severity) AS (VALUES {_KNOWN}), s AS (SELECT DISTINCT concat('h', l_suppkey) AS host, {_PORT_LIST}[(l_partkey % {len(_PORT_LIST)}) + 1] AS port FROM lineitem) SELECT host, port::INT AS port, service, severity FROM s JOIN known USING (port)")
+def open_ports(spark: S, sf: str) -> D:
+    x = spark.read.parquet(f"{sf}/lineitem.parquet")
+    port = F.get(F.array(*map(F.lit, _PORT_LIST)), (F.col("l_partkey") % len(_PORT_LIST)).cast("int"))
+    return observed.open_ports(x.select(F.concat(F.lit("h"), F.col("l_suppkey").cast("string")).alias("host"), port.alias("port")))
+
+
+@query("targets_of_pages", r"SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^@/]*@)?([^:/?#]+)', 1)) AS host, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS base FROM pages")
+def targets_of_pages(spark: S, sf: str) -> D:
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", t.to_host(F.col("url")).alias("host"), t.base_url(F.col("url")).alias("base"))
+
+
+@query("role_of_service", "SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(p_name, {_lit(p)}) THEN '{r_}'" for p, r_ in t.ROLES) + " ELSE 'service' END AS role FROM part")
+def role_of_service(spark: S, sf: str) -> D:
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", t.role_of_service(F.col("p_name")).alias("role"))
+
+
 # --- streams, run until all that is there has been read
 @query("stream_history", "WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS w, event_type, max(ts) OVER () AS last FROM events) SELECT w AS window_start, event_type, count(*) AS n FROM e WHERE w + INTERVAL 1 DAY <= last - INTERVAL 1 DAY GROUP BY ALL")
 def stream_history(spark: S, sf: str) -> D:
@@ -317,3 +348,24 @@ def stream_history(spark: S, sf: str) -> D:
 def stream_scan(spark: S, sf: str) -> D:
     parts = streams.arriving(spark, f"{sf}/part.parquet")
     return streams.drained(streams.stream_scan(scan.lines(corpus.code_of(parts)), r.CLOUD))
+
+
+@query("stream_rate_limit", "WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, user_id, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 13 = 0 THEN 429 ELSE 200 END AS status, max(ts) OVER () AS last FROM events), b AS (SELECT w, user_id, any_value(last) AS last, count(*) FILTER (WHERE status BETWEEN 200 AND 499) AS served, bool_or(status = 429) AS held FROM e GROUP BY w, user_id) SELECT w AS window_start, user_id, served FROM b WHERE w + INTERVAL 6 HOUR <= last - INTERVAL 1 DAY AND served >= 2 AND NOT held")
+def stream_rate_limit(spark: S, sf: str) -> D:
+    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 13 == 0, 429).otherwise(200)
+    log = streams.arriving(spark, f"{sf}/events.parquet").select("ts", "user_id", status.alias("status"))
+    return streams.drained(streams.stream_rate_limit(log, 21_600, 2))
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: S, sf: str) -> D:
+    """Within a span longer than the events' own, so that a key comes once."""
+    return streams.drained(streams.stream_dedup(streams.arriving(spark, f"{sf}/events.parquet"), ["user_id", "event_type"], "4000 days").select("user_id", "event_type"))
+
+
+@query("stream_delta", "WITH b AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size < 10) SELECT p_partkey, CASE WHEN b.p_brand IS NULL THEN 'introduced' ELSE 'persisting' END AS change FROM part LEFT JOIN b USING (p_brand, p_type)")
+def stream_delta(spark: S, sf: str) -> D:
+    """Parts as findings: brand the repository, type the fingerprint; small ones were known before."""
+    known = spark.read.parquet(f"{sf}/part.parquet").where("p_size < 10").select(F.col("p_brand").alias("repo_id"), F.col("p_type").alias("fingerprint"))
+    now = streams.arriving(spark, f"{sf}/part.parquet").select("p_partkey", F.col("p_brand").alias("repo_id"), F.col("p_type").alias("fingerprint"))
+    return streams.drained(streams.stream_delta(now, known)).select("p_partkey", "change")

@@ -71,13 +71,25 @@ finding AS (SELECT concat('r', l_suppkey % 25) AS repo_id, [{quoted(FINDING_IDS)
   concat('P', l_linenumber % 4) AS severity, substring(sha1(concat(l_orderkey, '|', l_linenumber)), 1, 16) AS fingerprint, l_orderkey % 10 AS seen FROM lineitem)"""
 
 
+#: Paths that are asked for, and what some answer.
+SERVED = [
+    ("/.env", "DB_PASSWORD=x"), ("/.git/config", "[core]"), ("/.git/HEAD", "ref: refs/heads/main"), ("/.aws/credentials", "aws_access_key_id = 1"), ("/.terraform.tfstate", '{"terraform_version": 1}'), ("/backup.sql", "create table t (i int);"), ("/.npmrc", "registry=https://r.local"), ("/swagger.json", '{"openapi": "3"}'),
+    ("/api-docs", "<div id=swagger-ui>"), ("/actuator/health", '{"status" : "UP"}'), ("/.DS_Store", "..Bud1.."), ("/admin", "Admin dashboard "), ("/manager/html", "Console "), ("/", "Admin start "), ("/page", "a page "),
+]
+SEEN_SQL = f"""served AS (SELECT [{quoted([p for p, _ in SERVED])}] AS paths, [{quoted([b for _, b in SERVED])}] AS bodies),
+seen AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, paths[(page_id % {len(SERVED)}) + 1] AS path, CASE WHEN page_id % 9 = 8 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 5 = 0 THEN 'text/html' ELSE 'text/plain' END AS kind,
+CASE WHEN page_id % 3 = 2 THEN html ELSE concat(bodies[(page_id % {len(SERVED)}) + 1], CASE WHEN page_id % {len(SERVED)} >= 11 THEN page_id::VARCHAR ELSE '' END, CASE WHEN page_id % 4 = 0 THEN chr(10) || 'login' ELSE '' END) END AS body FROM pages, served)"""
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, status, headers, set_cookies, body: web pages as captured responses, what they lack decided by the key."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     k = F.col("page_id")
-    path = F.when(k % 7 == 0, "/.env").when(k % 7 == 1, "/.git/config").when(k % 7 == 2, "/admin").when(k % 7 == 3, "/").otherwise("/page")
-    body = F.when(k % 7 == 0, F.concat(F.lit("DB_PASSWORD=x"), k.cast("string"))).when(k % 7 == 1, "[core]\n").when(k % 7 == 2, F.concat(F.lit("Admin dashboard "), k.cast("string"), F.when(k % 4 == 0, " login").otherwise(""))).otherwise(F.col("html"))
-    heads = [F.when(k % n != 0, F.struct(F.lit(h).alias("key"), F.lit("v").alias("value"))) for h, n in (("strict-transport-security", 2), ("content-security-policy", 3), ("x-content-type-options", 5), ("x-frame-options", 4))]
+    bodies, paths = F.array(*(F.lit(b) for _, b in SERVED)), F.array(*(F.lit(p) for p, _ in SERVED))
+    kind = (k % len(SERVED)).cast("int")
+    body = F.when(k % 3 == 2, F.col("html")).otherwise(F.concat(F.get(bodies, kind), F.when(kind >= 11, k.cast("string")).otherwise(""), F.when(k % 4 == 0, "\nlogin").otherwise("")))
+    path = F.get(paths, kind)
+    heads = [F.when(k % n != 0, F.struct(F.lit(h).alias("key"), F.lit("v").alias("value"))) for h, n in (("strict-transport-security", 2), ("content-security-policy", 3), ("x-content-type-options", 5), ("x-frame-options", 4))] + [F.struct(F.lit("content-type").alias("key"), F.when(k % 5 == 0, "text/html").otherwise("text/plain").alias("value"))]
     cookie = F.concat(F.when(k % 3 == 0, "session").otherwise("theme"), F.lit("=1"), F.when(k % 2 == 0, "; HttpOnly").otherwise(""), F.when(k % 5 != 0, "; Secure").otherwise(""), F.when(k % 4 != 0, "; SameSite=Lax").otherwise(""))
     return p.select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), path.alias("path"), F.when(k % 9 == 8, 404).otherwise(200).alias("status"), F.map_from_entries(F.filter(F.array(*heads), lambda x: x.isNotNull())).alias("headers"), F.array(cookie).alias("set_cookies"), body.alias("body"))
 

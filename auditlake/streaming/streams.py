@@ -1,4 +1,4 @@
-"""Structured Streaming forms: rules over arriving files, and histories and dedup over events."""
+"""Structured Streaming forms: rules over arriving files, histories, rate limits and dedup over events, findings against a snapshot."""
 
 from __future__ import annotations
 
@@ -15,7 +15,10 @@ from auditlake.operators.rules import Rule
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives once all that is there has been read, as a table in the session's shared folder."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local-cluster") or not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or tempfile.mkdtemp()  # one local process
     top = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -43,3 +46,16 @@ def stream_history(events: DataFrame, late: str = "1 day", every: str = "1 day")
 def stream_dedup(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """One row a key within the watermark's span."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def stream_rate_limit(log: DataFrame, seconds: int = 600, least: int = 5, late: str = "1 day") -> DataFrame:
+    """window_start, user_id, served of bursts with ``least`` answers of status 200 to 499 and no 429, given out once the watermark has passed."""
+    seen = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    burst = seen.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "user_id").agg(F.count_if(F.col("status").between(200, 499)).alias("served"), F.bool_or(F.col("status") == 429).alias("held"))
+    return burst.where(f"served >= {least} AND NOT held").select(F.col("w.start").alias("window_start"), "user_id", "served")
+
+
+def stream_delta(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Arriving findings with change (introduced, persisting) against a snapshot, joined by repository and fingerprint."""
+    by = ["repo_id", "fingerprint"]
+    return now.join(before.select(*by).distinct().withColumn("old", F.lit(True)), by, "left").withColumn("change", F.when(F.col("old"), "persisting").otherwise("introduced")).drop("old")
