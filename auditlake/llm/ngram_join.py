@@ -52,11 +52,13 @@ ROUNDS = 2
 #: Most central rows that a row is held against in a round.
 TRIES = 3
 #: Texts a block of rows, and rows that ask a block in one task.
-ROWS, ASKERS = 4000, 2000
-#: Bytes of text to a block of columns, entries (and a 64th of the meetings) to one of those still open, and rows of a column of which each meets each in one task.
-SLOT_BYTES, OPEN, CHUNK = 8 << 20, 200_000, 2048
-#: Meetings that a task holds before it adds them up.
-FOLD = 500_000
+ROWS, ASKERS = 8000, 8000
+#: Bytes of text to a block of columns, entries (and a 64th of the meetings) to one of those still open, rows of a column of which each meets each in one task,
+#: and rows of a column that choose one centre.
+SLOT_BYTES, OPEN, CHUNK = 32 << 20, 200_000, 1024
+STAR = 1 << 16
+#: Pairs of rows that a task looks at, and meetings that it holds, at once.
+FOLD = 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -178,7 +180,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = members.where("size > 0").groupBy("class").agg(found.alias("t")).select("class", "t.k", "t.check")
     told_by, links, tried = entries.withColumn("component", F.col("class")).withColumn("weight", F.lit(0).cast("long")), None, None
     for _ in range(ROUNDS):
-        pairs = _stars(told_by, percent, links is None)
+        pairs = _stars(told_by, percent)
         pairs = stored(_few(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")))
         asked = pairs.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("n", "y", "c")), asc=False).alias("a")).select("x", F.col("a.y").alias("ys"), F.col("a.c").alias("cs"))
         new = stored(_verified(asked, rows, texts, n, percent, True))
@@ -195,10 +197,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _entries(rows: DataFrame, n: int, percent: int, scale: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """Entries of the prefixes in columns that rows of like size have, too: col, class, size, last, tight, central.
+    """Entries of the prefixes in columns that rows of like size have, too: col, class, size, last, tight, central, many.
 
     ``last`` is the place of the prefix's end in the order, ``tight`` how many
-    columns lie behind it and how many of its own are shared.
+    columns lie behind it and how many of its own are shared, ``many`` how many
+    rows the column has.
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -244,7 +247,7 @@ def _entries(rows: DataFrame, n: int, percent: int, scale: np.ndarray, shared: n
     both = rows.select("text").mapInArrow(rows_in, "slot int, block binary").groupBy("slot").applyInArrow(meet, "col long, class long, size long, last long, many long")
     own = Window.partitionBy("class")
     # a row is central if its columns are common to many rows: the original of a group of near copies is
-    return stored(both.select("col", "class", "size", "last", (F.expr(_behind(percent)) + F.count("*").over(own)).alias("tight"), F.avg("many").over(own).alias("central")))
+    return stored(both.select("col", "class", "size", "last", (F.expr(_behind(percent)) + F.count("*").over(own)).alias("tight"), F.avg("many").over(own).alias("central"), "many"))
 
 
 def _behind(percent: int) -> str:
@@ -262,22 +265,33 @@ def _told(entries: DataFrame, found: DataFrame) -> DataFrame:
     return entries.drop("component", "weight").join(side, "class", "left").withColumn("component", F.coalesce("component", "class")).withColumn("weight", F.coalesce("weight", F.lit(0)))
 
 
-def _reach(percent: int) -> str:
-    """Whether x and y can reach the bound, by the row whose prefix ends first and by their sizes."""
-    first = "CASE WHEN x.last < y.last THEN x.tight WHEN x.last > y.last THEN y.tight ELSE least(x.tight, y.tight) END"
-    return f"least(x.size, y.size, {first}) >= ceil({percent} * (x.size + y.size) / {100 + percent}D - 1e-9D)"
+def _stars(entries: DataFrame, percent: int) -> DataFrame:
+    """x, y, c, n: in how many columns x is its component's most central row and y, of component c, that of the column's largest component.
 
+    Columns of more than STAR rows choose a centre for each part of their rows.
+    """
+    blocks = max(1, -(-entries.count() // OPEN))
+    part = F.pmod(F.xxhash64("class"), F.ceil(F.col("many") / STAR)).cast("int")
+    dealt = entries.withColumn("part", part).select(F.pmod(F.xxhash64("col", "part"), F.lit(blocks)).cast("int").alias("slot"), "part", "col", "class", "size", "last", "tight", "central", "component")
 
-def _stars(entries: DataFrame, percent: int, first: bool) -> DataFrame:
-    """x, y, c, n: in how many columns x is its component's most central row and y, of component c, that of the column's largest component."""
-    row = F.struct("central", "class", "size", "last", "tight")
-    if first:  # each row is its own component
-        best = entries.select("col", "component", row.alias("x"), F.lit(1).alias("n"))
-    else:
-        best = entries.groupBy("col", "component").agg(F.max(row).alias("x"), F.count("*").alias("n"))
-    main = best.groupBy("col").agg(F.max(F.struct("n", "x", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("col", F.col("m.x").alias("y"), F.col("m.component").alias("c"))
-    met = best.join(main, "col").where(f"x.class != y.class AND {_reach(percent)}")
-    return met.groupBy(F.col("x.class").alias("x"), F.col("y.class").alias("y"), "c").agg(F.count("*").alias("n"))
+    def meet(t: pa.Table) -> pa.Table:
+        part, col, cls, size, last, tight, central, comp = (t.column(c).to_numpy() for c in t.column_names[1:])
+        o = np.lexsort((cls, central, comp, part, col))
+        part, col, cls, size, last, tight, comp = (v[o] for v in (part, col, cls, size, last, tight, comp))
+        own = np.r_[(np.diff(col) != 0) | (np.diff(part) != 0), True]
+        best = np.flatnonzero(own | np.r_[np.diff(comp) != 0, True])  # the last row of a component is its most central
+        n = np.diff(np.r_[-1, best])
+        group = np.cumsum(np.r_[0, own[best][:-1]])
+        order = np.lexsort((n, group))
+        main = best[order[np.flatnonzero(np.r_[np.diff(group[order]) != 0, True])]][group]
+        x, y = best, main
+        can = np.minimum(np.minimum(size[x], size[y]), np.minimum(np.where(last[x] <= last[y], tight[x], size[x]), np.where(last[y] <= last[x], tight[y], size[y])))
+        keep = (cls[x] != cls[y]) & (can >= need(size[x], size[y], percent))
+        pairs, times = np.unique(np.stack([cls[x[keep]], cls[y[keep]], comp[y[keep]]], 1), axis=0, return_counts=True)
+        return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1]), "c": pa.array(pairs[:, 2]), "n": pa.array(times.astype(np.int64))})
+
+    met = dealt.groupBy("slot").applyInArrow(meet, "x long, y long, c long, n long")
+    return met.groupBy("x", "y", "c").agg(F.sum("n").alias("n"))
 
 
 def _few(pairs: DataFrame) -> DataFrame:
@@ -311,7 +325,7 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
         ask, col, i, j, cls, size, last, tight, weight, comp = (t.column(c).to_numpy() for c in t.column_names[1:])
         order = np.lexsort((ask, j, i, col))
         begin = np.flatnonzero(np.r_[True, (np.diff(col[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)][: len(order)])
-        held, met = np.zeros((0, 5), np.int64), []
+        held, met, waiting = np.zeros((0, 5), np.int64), [], 0
 
         def folded() -> np.ndarray:
             """Pairs once, with the number of their meetings."""
@@ -323,18 +337,27 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
             met.clear()
             return out
 
-        for square in np.split(order, begin[1:]):
-            few, own = square[ask[square]], square[~ask[square]]
-            for k in range(0, len(few), 64):
-                x, y = few[k : k + 64, None], own[None, :]
-                fits = (weight[x] < weight[y]) | ((weight[x] == weight[y]) & (comp[x] < comp[y]))
-                can = np.minimum(np.minimum(size[x], size[y]), np.minimum(np.where(last[x] <= last[y], tight[x], size[x]), np.where(last[y] <= last[x], tight[y], size[y])))
-                a, b = np.nonzero(fits & (can >= need(size[x], size[y], percent)))
-                a, b = few[k + a], own[b]
-                most = np.where(last[a] <= last[b], behind(size[a]), behind(size[b])) - need(size[a], size[b], percent)  # the count that it lacks, below 0
-                met.append(np.stack([cls[a], cls[b], comp[b], most, np.ones(len(a), np.int64)], 1))
-                if sum(map(len, met)) > FOLD:
-                    held = folded()
+        # in each square the rows that don't ask come first; all its pairs are numbered, and squares are taken together up to FOLD pairs
+        ends = np.r_[begin[1:], len(order)]
+        asking = np.add.reduceat(ask[order].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+        rest = ends - begin - asking
+        total = np.r_[0, np.cumsum(asking * rest)]
+        at = 0
+        while at < len(begin):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + FOLD, "right")) - 1)
+            square = np.repeat(np.arange(at, to), (asking * rest)[at:to])
+            number = np.arange(total[at], total[to]) - total[square]
+            x = order[begin[square] + rest[square] + number // np.maximum(1, rest[square])]
+            y = order[begin[square] + number % np.maximum(1, rest[square])]
+            fits = (weight[x] < weight[y]) | ((weight[x] == weight[y]) & (comp[x] < comp[y]))
+            can = np.minimum(np.minimum(size[x], size[y]), np.minimum(np.where(last[x] <= last[y], tight[x], size[x]), np.where(last[y] <= last[x], tight[y], size[y])))
+            keep = fits & (can >= need(size[x], size[y], percent))
+            x, y = x[keep], y[keep]
+            most = np.where(last[x] <= last[y], behind(size[x]), behind(size[y])) - need(size[x], size[y], percent)  # the count that it lacks, below 0
+            met.append(np.stack([cls[x], cls[y], comp[y], most, np.ones(len(x), np.int64)], 1))
+            waiting, at = waiting + len(x), to
+            if waiting > FOLD:
+                held, waiting = folded(), 0
         pairs = folded()
         cut = np.flatnonzero(np.r_[True, np.diff(pairs[:, 0]) != 0, True]) if len(pairs) else np.zeros(1, int)
         packed = [pack(*pairs[a:b, 1:].T) for a, b in zip(cut[:-1], cut[1:])]
