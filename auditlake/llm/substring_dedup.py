@@ -14,10 +14,13 @@ one of least hash is the window's anchor, the same wherever the window stands.
    windows span, once for all copies that it has, with the smallest and largest
    document.  So a passage that a third of all documents hold comes once from a
    bucket, not once from a document.
-4. A group sorts its suffixes word by word and takes common prefix lengths of
+4. A group sorts its suffixes and takes whole common prefix lengths of
    neighbours: the suffix tree in its linear form.  Internal nodes at least
    ``window`` words deep are repeats, and the smallest document below is whose
-   they are.  What the nodes say goes back to the buckets, which mark words.
+   they are.  Of each suffix the deepest node of each such document counts, and
+   of repeats that only go on to the left the longest.  These maximal repeats go
+   back to the buckets, which mark words; a passage longer than the windows of
+   one anchor is marked by several that overlap.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import columns, durable, pack, ship, unpack, width
 from .words import U, Words, mix, pieces
 
-#: Words of an anchor; text bytes of a bucket of documents; suffixes of a group.
-ANCHOR, BUCKET_BYTES, GROUP = 7, 4 << 20, 10_000
+#: Words of an anchor; text bytes of a bucket of documents, and whose anchors are counted in one task; suffixes of a group.
+ANCHOR, BUCKET_BYTES, SLOT_BYTES, GROUP = 7, 4 << 20, 64 << 20, 10_000
 _LAST = (1 << 63) - 1
 #: Bits of a code that stand for its first one, two, three words, and for the finest split.
 LEVELS = (8, 16, 24, 48)
@@ -78,35 +81,61 @@ def group_of(code: np.ndarray, heavy: list[np.ndarray], groups: int) -> np.ndarr
     return out
 
 
-def tree(words: Words, low: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every suffix that begins a window: its text, its place in the text, and the smallest document below its node ``window`` words deep."""
+def tree(words: Words, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Repeats of ``window`` words at least: text, place in the text, words, and the smallest document below the node.
+
+    Suffixes are ordered by doubling, and common prefixes of neighbours are read
+    off the same ranks, to their full length.  Of the nodes above a suffix the
+    deepest of each owner counts; ``low`` and ``high`` are the smallest and the
+    largest document of a text, whose suffixes are nodes themselves where these
+    differ.  A repeat that goes on to the left with the same owner is left out.
+    """
+    m = len(words.hash)
     _, fits = words.grams(window)
     p = np.flatnonzero(fits)
-    text = np.searchsorted(words.first, p, "right") - 1
-    place = p - words.first[text]
     if not len(p):
-        return text, place, np.zeros(0, np.int64)
-    symbols = np.unique(words.hash, return_inverse=True)[1].astype(np.int32)
-    rows = np.stack([symbols[p + j] for j in range(window)])
-    order = np.lexsort(rows[::-1])
-    ordered = rows[:, order]
-    same = ordered[:, 1:] == ordered[:, :-1]
-    depth = np.where(same.all(0), window, np.argmin(same, 0))  # common prefix of neighbours
-    node = np.r_[True, depth < window]
-    begin = np.flatnonzero(node)
-    least = np.minimum.reduceat(low[text[order]], begin)
-    owner = np.empty(len(p), np.int64)
-    owner[order] = least[np.cumsum(node) - 1]
-    return text, place, owner
+        return (np.zeros(0, np.int64),) * 4
+    lengths = np.diff(words.first)
+    end = np.repeat(words.first[1:], lengths)
+    ranks, k = [np.unique(words.hash, return_inverse=True)[1].astype(np.int64) + 1], 1
+    while k < lengths.max():
+        then, has = np.zeros(m, np.int64), np.flatnonzero(np.arange(m) + k < end)
+        then[has] = ranks[-1][has + k]
+        ranks.append(np.unique(ranks[-1] * (m + 1) + then, return_inverse=True)[1].astype(np.int64) + 1)
+        k *= 2
+    order = p[np.argsort(ranks[-1][p], kind="stable")]
+    depth = np.zeros(len(order) - 1, np.int64)
+    for i in reversed(range(len(ranks))):
+        x, y = order[:-1] + depth, order[1:] + depth
+        whole = np.flatnonzero((x + (1 << i) <= end[order[:-1]]) & (y + (1 << i) <= end[order[1:]]))
+        depth[whole[ranks[i][x[whole]] == ranks[i][y[whole]]]] += 1 << i
+    text = np.searchsorted(words.first, order, "right") - 1
+    own, alone = low[text], np.flatnonzero(low[text] < high[text])
+    found = [(text[alone], order[alone], (end[order] - order)[alone], own[alone])]
+    for d in np.unique(depth[depth >= window])[::-1]:
+        node = np.r_[True, depth < d]
+        least = np.minimum.reduceat(low[text], np.flatnonzero(node))[np.cumsum(node) - 1]
+        new = np.flatnonzero(least < own)
+        found.append((text[new], order[new], np.full(len(new), d), least[new]))
+        own = least
+    text, at, n, own = (np.concatenate(x) for x in zip(*found))
+    o = np.lexsort((at, own, at + n, text))
+    text, at, n, own = text[o], at[o], n[o], own[o]
+    inner = (np.diff(text) == 0) & (np.diff(at + n) == 0) & (np.diff(own) == 0) & (np.diff(at) == 1)
+    keep = ~np.r_[False, inner][: len(text)]
+    return text[keep], (at - words.first[text])[keep], n[keep], own[keep]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
-    """id_col, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one blank) for every row.
+    """id_col, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one blank), repeats for every row.
 
-    A word goes if it is covered by ``window`` consecutive words of its document
+    ``repeats`` are the passages that go: number of the first word (from 0) and
+    words.  A word goes if it is covered by ``window`` consecutive words of its document
     that also stand in a document of smaller id; windows are judged on the input
     alone.  A null text has no words.  Rows that repeat an id do not take from
-    each other; a null id is larger than any other.
+    each other; a null id is larger than any other.  Whole texts of any length: a
+    task holds a bucket of about 4 MB, or one text that is longer.  An empty table
+    gives an empty result.  Other columns are not read, so no name can clash.
     """
     if window < ANCHOR:
         raise ValueError(f"window is {ANCHOR} words at least")
@@ -114,7 +143,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     rows = columns(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, slots = max(width(spark), -(-size // BUCKET_BYTES)), 2 * width(spark)
+    buckets, slots = max(width(spark), -(-size // BUCKET_BYTES)), max(2 * width(spark), -(-size // SLOT_BYTES))
     placed = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "id", "text")
 
     def anchors(batches):
@@ -170,7 +199,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = found.select("codes").mapInArrow(prefixes, "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
     heavy: list[list[int]] = [[] for _ in LEVELS]
     total = 0
-    for x in counts.where((F.col("n") > GROUP) | (F.col("level") == 0)).collect():  # at most 256 + len(LEVELS) * suffixes / GROUP rows
+    for x in counts.where((F.col("n") > GROUP) | (F.col("level") == 0)).collect():  # of 8, 16 and 24 bits: a row a prefix at most, and those of GROUP suffixes only
         total += x["n"] * (x["level"] == 0)
         if x["n"] > GROUP:
             heavy[x["level"]].append(x["prefix"])
@@ -211,13 +240,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bucket = np.repeat(t.column("bucket").to_numpy(), [len(x[0]) for x in got])
         key, low, high, size, data = (np.concatenate(x) for x in zip(*got))
         words = Words(data, np.r_[0, np.cumsum(size, dtype=np.int64)], False)
-        text, place, owner = tree(words, low, window)
-        keep = owner < high[text]  # someone in that bucket has it from an earlier document
-        text, place, owner = text[keep], place[keep], owner[keep]
-        new = np.r_[True, (np.diff(text) != 0) | (np.diff(place) != 1) | (np.diff(owner) != 0)][: len(text)]
-        first = np.flatnonzero(new)
-        n = np.diff(np.r_[first, len(text)])
-        text, place, owner = text[first], place[first], owner[first]
+        text, place, n, owner = tree(words, low, high, window)
         o = np.argsort(bucket[text], kind="stable")
         b = bucket[text][o]
         cut = np.flatnonzero(np.r_[True, np.diff(b) > 0, True]) if len(b) else np.zeros(1, int)
@@ -226,6 +249,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut_out(own: pa.Table, marks: pa.Table) -> pa.Table:
         ids, n_words, n_gone, kept = own.column("id").fill_null(_LAST).to_numpy(), [], [], []
+        runs: list[list[dict]] = []
         key = np.zeros(0, U)
         if len(marks):
             got = [unpack(x.as_py(), U, np.int32, np.int32, np.int64) for x in marks.column("marks")]
@@ -244,7 +268,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 begin = s.first[which] + place[mark]
                 edge = np.zeros(len(gone) + 1, np.int64)
                 np.add.at(edge, begin, 1)
-                np.add.at(edge, begin + n[mark] - 1 + window, -1)
+                np.add.at(edge, begin + n[mark], -1)
                 gone = np.cumsum(edge[:-1]) > 0
             data = w.data.tobytes()
             for i in range(hi - lo):
@@ -252,15 +276,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 stay = np.flatnonzero(~gone[x:y]) + x
                 n_words.append(y - x)
                 n_gone.append(y - x - len(stay))
+                turn = np.flatnonzero(np.diff(np.r_[False, gone[x:y], False])).reshape(-1, 2).tolist()
+                runs.append([{"start": a, "words": b - a} for a, b in turn])
                 kept.append(b" ".join([data[p:q] for p, q in zip(w.start[stay].tolist(), w.end[stay].tolist())]))
-        return pa.table({"id": own.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"id": own.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "repeats": pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())])))})
 
     dealt = placed.groupBy("bucket")
     sent = dealt.cogroup(found.groupBy("bucket")).applyInArrow(send, "group long, bucket int, block binary")
     marks = sent.groupBy("group").applyInArrow(subtree, "bucket int, marks binary")
-    out = dealt.cogroup(marks.groupBy("bucket")).applyInArrow(cut_out, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = dealt.cogroup(marks.groupBy("bucket")).applyInArrow(cut_out, "id long, n_words long, n_removed long, kept_sha256 string, kept string, repeats array<struct<start: long, words: long>>")
     return out.withColumnRenamed("id", id_col)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "repeats")

@@ -56,26 +56,56 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
-def test_substring_dedup(spark):
-    rows = texts(1)
+def cut_by_words(rows):
+    """(id, words, removed, kept, passages that go) by brute force; a null id is the largest."""
     low = {}
+    last = 1 << 62
     for i, t in rows:
         w = split(t)
         for k in range(len(w) - 12):
-            low[tuple(w[k : k + 13])] = min(low.get(tuple(w[k : k + 13]), i), i)
-    want = {}
+            low[tuple(w[k : k + 13])] = min(low.get(tuple(w[k : k + 13]), last), last if i is None else i)
+    want = []
     for i, t in rows:
         w = split(t)
         gone = [False] * len(w)
         for k in range(len(w) - 12):
-            if low[tuple(w[k : k + 13])] < i:
+            if low[tuple(w[k : k + 13])] < (last if i is None else i):
                 gone[k : k + 13] = [True] * 13
-        want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
-    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in substring_dedup.substring_dedup(docs(spark, rows)).collect()}
-    assert got == want and sum(v[1] for v in want.values()) > 100
+        begin = [k for k, g in enumerate(gone) if g and not (k and gone[k - 1])]
+        runs = [(k, next((j for j in range(k, len(w)) if not gone[j]), len(w)) - k) for k in begin]
+        want.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g), runs))
+    return sorted(want, key=str)
+
+
+def cut_by_spark(spark, rows):
+    found = substring_dedup.substring_dedup(docs(spark, rows)).collect()
+    return sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept"], [tuple(r) for r in x["repeats"]]) for x in found), key=str)
+
+
+def test_substring_dedup(spark):
+    rows = texts(1)
+    got = cut_by_spark(spark, rows)
+    assert got == cut_by_words(rows) and sum(x[2] for x in got) > 100
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_few_words_and_odd_ids(spark):
+    r = random.Random(11)
+    rows = [(r.choice([None, *range(1, 25)]), " ".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for _ in range(40)]
+    a = " ".join(WORDS[:40])
+    rows += [(30, "a " * 200), (31, "a " * 100), (3, a), (3, a), (None, a + " x"), (None, None), (2, " ".join(WORDS[5:20])), (40, " ".join(WORDS[3:37] * 2))]
+    assert cut_by_spark(spark, rows) == cut_by_words(rows)
+
+
+def test_tree_gives_maximal_repeats():
+    lines = ["p q r s t u", "x q r s t y", "z r s t w", "q r s t y"]
+    data = "".join(lines).encode()
+    w = substring_dedup.Words(np.frombuffer(data, np.uint8), np.r_[0, np.cumsum([len(x) for x in lines])].astype(np.int64), False)
+    got = set(zip(*(x.tolist() for x in substring_dedup.tree(w, np.array([4, 2, 1, 3]), np.array([4, 2, 1, 9]), 3))))
+    # text 3 is repeated whole among its own documents; of the nodes above a suffix the deepest of each owner is told
+    assert got == {(0, 1, 4, 2), (0, 2, 3, 1), (1, 2, 3, 1), (3, 0, 5, 3), (3, 0, 5, 2), (3, 1, 3, 1)}
+
+
 def grams(t):
     w = split((t or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
