@@ -1,12 +1,16 @@
-"""Exports of findings: playbook, history, SARIF documents; dependencies from manifests."""
+"""Exports of findings: playbook, history, SARIF documents, report rows, log of a run; dependencies from manifests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import mask_secrets, severity_rank
 from auditlake.operators.rules import RISK_BY_SEVERITY
 
+# Score of a finding that has none.
+SECURITY = {"P0": 9.0, "P1": 7.0, "P2": 4.0, "P3": 1.0}
+
 
 def playbook(findings: DataFrame) -> DataFrame:
     """repo_id, id, severity, risk of P0 and P1 findings: the score, or the severity, with how exploitable it is."""
@@ -22,20 +26,62 @@ def history_rows(findings: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def export_sarif(findings: DataFrame) -> DataFrame:
-    """repo_id, part, doc: SARIF runs of at most 10,000 results, with a rule for each check that they name.
+    """repo_id, part, doc: SARIF runs of at most about 10,000 results, with a rule for each check that they name.
 
-    A repository of any size is cut by a hash of the finding into documents that
+    Findings have repo_id, id, severity and fingerprint; check, module, title,
+    confidence, cvss, path, line and references (a list) are taken where there are
+    such columns.  The first finding of a check, by severity and id, gives its
+    rule.  security-severity is the score, or 9, 7, 4 and 1 by severity.  A
+    repository of any size is cut by a hash of the finding into documents that
     fit into memory; results are in order of severity and id.
     """
     level = F.when(F.col("severity").isin("P0", "P1"), "error").when(F.col("severity") == "P2", "warning").otherwise("note")
+    has = lambda c, other: F.col(c) if c in findings.columns else other
+    none = F.lit(None).cast("string")
+    check, title = F.coalesce(has("check", none), "id"), mask_secrets(F.coalesce(has("title", none), "id"))
+    score = F.coalesce(has("cvss", F.lit(None).cast("double")), *(F.when(F.col("severity") == s, x) for s, x in SECURITY.items()))
     size = findings.groupBy("repo_id").agg(F.ceil(F.count("*") / 10_000).cast("int").alias("parts"))
     cut = findings.join(size, "repo_id").withColumn("part", F.pmod(F.xxhash64("id", "fingerprint"), F.col("parts")).cast("int"))
-    result = F.struct(F.col("severity").alias("s"), F.col("id").alias("i"), F.struct(F.col("id").alias("ruleId"), level.alias("level"), F.struct(F.col("fingerprint").alias("auditlake")).alias("partialFingerprints")).alias("r"))
-    by = cut.groupBy("repo_id", "part").agg(F.transform(F.array_sort(F.collect_list(result)), lambda x: x["r"]).alias("results"), F.array_sort(F.collect_set(F.struct("id"))).alias("rules"))
+    place = F.struct(F.struct(F.struct(F.coalesce(has("path", none), F.lit("unknown")).alias("uri")).alias("artifactLocation"), F.when(has("line", F.lit(None).cast("int")) > 0, F.struct(has("line", F.lit(None).cast("int")).alias("startLine"))).alias("region")).alias("physicalLocation"))
+    properties = F.struct(F.col("severity"), F.format_string("%.1f", score).alias("security-severity"), has("confidence", none).alias("confidence"), F.col("id").alias("findingId"))
+    text = F.struct(F.concat(F.lit("["), F.col("severity"), F.lit("] "), title).alias("text"))
+    result = F.struct(check.alias("ruleId"), level.alias("level"), text.alias("message"), F.struct(F.col("fingerprint").alias("auditlake")).alias("partialFingerprints"), properties.alias("properties"), F.array(place).alias("locations"))
+    tags = F.concat(F.array_compact(F.array(has("module", none))), F.coalesce(has("references", F.array().cast("array<string>")), F.array().cast("array<string>")))
+    rule = F.struct(check.alias("id"), F.concat_ws("-", has("module", none), check).alias("name"), F.struct(level.alias("level")).alias("defaultConfiguration"), F.struct(tags.alias("tags")).alias("properties"))
+    told = cut.select("repo_id", "part", check.alias("check"), F.struct("severity", "id", "fingerprint").alias("k"), result.alias("result"), rule.alias("rule"))
+    by = told.groupBy("repo_id", "part", "check").agg(F.collect_list(F.struct("k", "result")).alias("r"), F.min_by("rule", "k").alias("rule"))
+    by = by.groupBy("repo_id", "part").agg(F.transform(F.array_sort(F.flatten(F.collect_list("r"))), lambda x: x["result"]).alias("results"), F.array_sort(F.collect_list("rule")).alias("rules"))
     driver = F.struct(F.struct(F.lit("auditlake").alias("name"), F.col("rules")).alias("driver"))
     return by.select("repo_id", "part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.col("results"))).alias("runs"))).alias("doc"))
 
 
+def report_rows(findings: DataFrame) -> DataFrame:
+    """repo_id, rank, id, place, location, excerpt: findings with each piece of evidence (type, source, location, excerpt), masked; one row without any."""
+    x = findings.select("repo_id", severity_rank(F.col("severity")).alias("rank"), "id", F.posexplode_outer("evidence").alias("place", "e"))
+    at = F.when(F.col("e.location") != "", F.concat("e.source", F.lit(":"), "e.location")).otherwise(F.col("e.source"))
+    return x.select("repo_id", "rank", "id", "place", at.alias("location"), mask_secrets(F.col("e.excerpt")).alias("excerpt"))
+
+
+def run_events(events: DataFrame) -> DataFrame:
+    """ts, kind, message of a run's log (ts, kind, message, target): secrets masked, a command with its target."""
+    said = F.when((F.col("kind") == "CMD") & F.col("target").isNotNull(), F.concat("message", F.lit("  → target="), "target")).otherwise(F.col("message"))
+    return events.where(F.col("kind").isin("INFO", "AUTHZ", "CMD", "WARN")).select("ts", "kind", mask_secrets(said).alias("message"))
+
+
+def write_findings(findings: DataFrame, path: str, keys: tuple[str, ...] = ("repo_id", "scan_id")) -> None:
+    """Append findings to a table by repository and scan, in each file by severity and id."""
+    rank = severity_rank(F.col("severity"))
+    findings.sortWithinPartitions(*keys, rank, "id").write.mode("append").partitionBy(*keys).parquet(path)
+
+
+def top_evidence(findings: DataFrame, few: int = 5) -> DataFrame:
+    """repo_id, check, hits, evidence: how often a check hit, and its first places (path, line_no) in order."""
+    w = Window.partitionBy("repo_id", "check").orderBy("path", "line_no")
+    first = findings.select("repo_id", "check", "path", "line_no").withColumn("n", F.row_number().over(w)).where(F.col("n") <= few)
+    named = first.groupBy("repo_id", "check").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(":", "path", "line_no").alias("at")))), lambda x: x["at"]).alias("evidence"))
+    return findings.groupBy("repo_id", "check").agg(F.count("*").alias("hits")).join(named, ["repo_id", "check"])
+
+
 def manifest_deps(files: DataFrame) -> DataFrame:
     """Distinct repo_id, dep that manifests name: package.json, requirements.txt, go.mod, project files; lower case but for npm."""
     node = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
