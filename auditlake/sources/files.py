@@ -27,7 +27,7 @@ def read_corpus(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     table.
     """
     named = ",".join(f"/{x}" for x in DOTTED)
-    x = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(f"{root.rstrip('/')}{{,{named}}}")
+    x = spark.read.text(f"{root.rstrip('/')}{{,{named}}}", wholetext=True, recursiveFileLookup=True)
     full = F.regexp_replace("_metadata.file_path", "^file:/*", "/")
     path = F.regexp_extract(full, "\\Q" + root.rstrip("/").removeprefix("file://") + "/\\E(.*)$", 1)
     return file_corpus(x.select(F.lit(repo_id).alias("repo_id"), F.url_decode(path).alias("path"), F.col("value").alias("content")))
