@@ -99,14 +99,21 @@ def text_entropy(x: pd.Series) -> pd.Series:
 
 
 def to_host(url: Column) -> Column:
-    """Lower-case host of a URL or of host[:port][/path]."""
-    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^@/]*@)?([^:/?#]+)", 1))
+    """Lower-case host of a URL or of host[:port]; an address in brackets keeps them."""
+    x = F.trim(F.lower(url))
+    there = F.regexp_extract(x, r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^:/?#]*)", 1)
+    alone = F.when(~F.contains(x, F.lit("[")) & (F.size(F.split(x, ":", -1)) == 2), F.split_part(x, F.lit(":"), F.lit(1))).otherwise(x)
+    return F.when(F.contains(x, F.lit("://")) & (there != ""), there).otherwise(alone)
 
 
-def base_url(url: Column) -> Column:
-    """Scheme and authority of a URL; https is taken where there is no scheme."""
-    whole = F.when(url.rlike(r"(?i)^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
-    return F.regexp_extract(whole, r"^([A-Za-z]+://[^/?#]+)", 1)
+# Hosts that are this machine.
+LOOPBACK = "(?i)^(localhost|127[.]0[.]0[.]1|0[.]0[.]0[.]0|::1)$"
+
+
+def base_url(target: Column) -> Column:
+    """A URL without slashes at its end; a host gets https, or http if it is this machine."""
+    host = F.trim(target)
+    return F.when(target.rlike("(?i)^https?://"), F.regexp_replace(target, "/+$", "")).otherwise(F.concat(F.when(host.rlike(LOOPBACK), "http").otherwise("https"), F.lit("://"), host))
 
 
 # What a service's name says of its role, the first that fits.

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import round1
+from auditlake.operators.exports import named_deps
+
 # What tells a stack, as (name, path pattern, content pattern of those files); any row of a stack does.
 STACKS = [
     ("prisma", r"^package\.json$", r'"(prisma|@prisma/client)"\s*:'),
@@ -47,7 +50,7 @@ BACKUP, RESTORE = r"(?i)backup|pg_dump|mysqldump|mongodump|dump\.sql", r"(?i)res
 SCHEMA, MODELS = r"schema\.prisma$", r"(^|/)models\.py$"
 PERSON_MODEL, PERSON_FIELD = r"(?i)model\s+(User|Customer|Account|Person|Patient|Member|Client)\b|\bemail\b", r"(?i)email|EmailField|first_name|phone|tckimlik"
 DJANGO_MODEL, SOFT_DELETE = r"class\s+\w+\(.*models\.Model.*\)", r"(?i)deletedAt|deleted_at|isDeleted|is_deleted"
-PUSH, HAS_MODEL = r"prisma\s+db\s+push", r"(?m)^model\s+\w+"
+PUSH, HAS_MODEL, SHADOW = r"prisma\s+db\s+push", r"\bmodel\s+\w+\s*\{", "shadowDatabaseUrl"
 
 
 def _seen(path: str, content: str = "") -> Column:
@@ -91,16 +94,40 @@ def destructive_migrations(files: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def schema_prisma(files: DataFrame, profile: DataFrame) -> DataFrame:
-    """repo_id, finding, severity of repositories on this stack: a script that pushes the schema (P1), models without any migration (P1)."""
-    flags = files.groupBy("repo_id").agg(_some(_seen(r"^package\.json$", PUSH)).alias("pushes"), _some(_seen(SCHEMA, HAS_MODEL)).alias("models"), _some(F.col("path").rlike(MIGRATIONS["prisma"][0])).alias("migrated"))
-    flags = flags.join(migration_stack(profile).where("stack = 'prisma'"), "repo_id", "left_semi")
-    found = F.filter(F.array(F.when(F.col("pushes"), "db-push"), F.when(F.col("models") & ~F.col("migrated"), "no-migrations")), lambda x: x.isNotNull())
-    return flags.select("repo_id", F.explode(found).alias("finding"), F.lit("P1").alias("severity"))
+    """repo_id, finding, severity of repositories on this stack: a script that pushes the schema (P1), models without any migration (P1), migrations without a shadow database (P2)."""
+    flags = prisma_flags(files).join(migration_stack(profile).where("stack = 'prisma'"), "repo_id", "left_semi")
+    f = lambda ok, n, s: F.when(ok, F.struct(F.lit(n).alias("finding"), F.lit(s).alias("severity")))
+    found = F.array(f(F.col("pushes"), "db-push", "P1"), f(F.col("models") & ~F.col("migrated"), "no-migrations", "P1"), f(F.col("migrated") & F.col("has_schema") & ~F.col("shadowed"), "no-shadow-db", "P2"))
+    return flags.select("repo_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("repo_id", "f.*")
+
+
+def prisma_flags(files: DataFrame) -> DataFrame:
+    """repo_id, pushes, models, migrated, has_schema, shadowed: what scripts, schema and migrations tell."""
+    push = (F.col("path") == "package.json") & F.get_json_object("content", "$.scripts").rlike(PUSH)
+    return files.groupBy("repo_id").agg(_some(push).alias("pushes"), _some(_seen(SCHEMA, HAS_MODEL)).alias("models"), _some(F.col("path").rlike(MIGRATIONS["prisma"][0])).alias("migrated"), _some(_seen(SCHEMA) & (F.col("content") != "")).alias("has_schema"), _some(_seen(SCHEMA, SHADOW)).alias("shadowed"))
+
+
+def schema_layers(files: DataFrame, profile: DataFrame) -> DataFrame:
+    """repo_id, score, status, findings of the schema layer of repositories on this stack: 10 less 6 a destructive migration, 2.5 a graver and 1 a lighter finding.
+
+    Without a schema score is null and status unknown; else risk with a
+    destructive migration, warn with any finding, ok without.
+    """
+    own = migration_stack(profile).where("stack = 'prisma'").select("repo_id")
+    broken = destructive_migrations(files, profile).where("stack = 'prisma'").select("repo_id", F.concat(F.lit("A2-destructive-migration:"), "path").alias("id"), F.lit("P0").alias("severity"))
+    named = schema_prisma(files, profile).select("repo_id", F.concat(F.lit("A2-"), "finding").alias("id"), "severity")
+    cost = F.when(F.col("severity") == "P0", 6.0).when(F.col("severity") == "P1", 2.5).otherwise(1.0)
+    sums = broken.unionByName(named).groupBy("repo_id").agg(F.sum(cost).alias("cost"), F.count("*").alias("findings"), F.bool_or(F.col("severity") == "P0").alias("grave"))
+    out = own.join(prisma_flags(files).select("repo_id", "has_schema"), "repo_id").join(sums, "repo_id", "left")
+    score = F.when(F.col("has_schema"), round1(F.greatest(F.lit(0.0), 10 - F.coalesce("cost", F.lit(0.0)))))
+    status = F.when(~F.col("has_schema"), "unknown").when(F.col("grave"), "risk").when(F.col("findings") > 0, "warn").otherwise("ok")
+    return out.select("repo_id", score.alias("score"), status.alias("status"), F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
 def backup_flags(files: DataFrame) -> DataFrame:
     """repo_id, has_backup, has_restore, by names of files and by scripts of a manifest."""
-    here = lambda p: _some(F.col("path").rlike(p) | _seen(r"^package\.json$", p))
+    scripts = F.when(F.col("path") == "package.json", F.get_json_object("content", "$.scripts"))
+    here = lambda p: _some(F.col("path").rlike(p) | F.coalesce(scripts.rlike(p), F.lit(False)))
     return files.groupBy("repo_id").agg(here(BACKUP).alias("has_backup"), here(RESTORE).alias("has_restore"))
 
 
@@ -111,11 +138,8 @@ def backup_restore(flags: DataFrame) -> DataFrame:
 
 def compliance_signals(files: DataFrame) -> DataFrame:
     """One row a repository: what its dependencies, CI files, schemas and scripts tell."""
-    kind = "struct<dependencies:map<string,string>,devDependencies:map<string,string>>"
-    manifest = F.when(F.col("path") == "package.json", F.from_json("content", kind))
-    none = F.array().cast("array<string>")
-    names = lambda k: F.coalesce(F.map_keys(manifest[k]), none)
-    x = files.withColumn("deps", F.concat(names("dependencies"), names("devDependencies")))
+    own = ~F.contains("path", F.lit("/")) | F.col("path").endswith(".csproj")  # manifests at the root, project files anywhere
+    x = files.withColumn("deps", F.coalesce(F.when(own, named_deps(F.col("path"))), F.array().cast("array<string>")))
     has = lambda table: _some(F.exists("deps", lambda d: F.lit(False) if not table else F.exists(F.array(*map(F.lit, table)), lambda n: d.startswith(n))))
     schema = F.col("path").rlike(SCHEMA) | F.col("path").rlike(MODELS)
     person = _seen(SCHEMA, PERSON_MODEL) | (_seen(MODELS, DJANGO_MODEL) & F.col("content").rlike(PERSON_FIELD))

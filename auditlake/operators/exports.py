@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import mask_secrets, severity_rank
@@ -18,6 +18,18 @@ def playbook(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("severity").isin("P0", "P1")).select("repo_id", "id", "severity", risk.alias("risk"))
 
 
+def history_runs(findings: DataFrame, changes: DataFrame, scores: DataFrame, run: str, generated_at: Column) -> DataFrame:
+    """history_rows() with run, generated_at, overall_score and parity_score (scores has repo_id and these two; null without)."""
+    counts = ["total", "p0", "p1", "p2", "p3", "fixed", "introduced", "persisting"]
+    rows = scores.join(history_rows(findings, changes), "repo_id", "left").fillna(0, counts)
+    return rows.select("repo_id", F.lit(run).alias("run"), generated_at.alias("generated_at"), "overall_score", "parity_score", *counts)
+
+
+def append_history(rows: DataFrame, path: str) -> None:
+    """Add a run's rows to a history; a run that is written again replaces its own rows and no others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
 def history_rows(findings: DataFrame, changes: DataFrame) -> DataFrame:
     """repo_id, total, p0..p3, fixed, introduced, persisting: the trend row of a run."""
     now = findings.groupBy("repo_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in RISK_BY_SEVERITY))
@@ -82,15 +94,28 @@ def top_evidence(findings: DataFrame, few: int = 5) -> DataFrame:
     return findings.groupBy("repo_id", "check").agg(F.count("*").alias("hits")).join(named, ["repo_id", "check"])
 
 
+def _json_names(*paths: str) -> Column:
+    """Names in the objects at these paths of a JSON text."""
+    none = F.array().cast("array<string>")
+    return F.concat(*(F.coalesce(F.json_object_keys(F.get_json_object("content", p)), none) for p in paths))
+
+
+def named_deps(path: Column) -> Column:
+    """Array of the dependencies that a manifest names, by its path: package.json, requirements.txt, pyproject.toml, composer.json, go.mod, project files; lower case but for npm, null for other files."""
+    low = lambda a: F.transform(a, F.lower)
+    found = lambda p: F.regexp_extract_all("content", F.lit(p), 1)
+    pip = F.transform(F.filter(F.split("content", "\r?\n"), lambda x: ~F.ltrim(x).startswith("#") & (F.trim(x) != "")), lambda x: F.regexp_extract(F.trim(x), r"^([^=<>!~;\[\s]*)", 1))
+    toml = F.concat(found(r"""(?m)^\s*["']?([A-Za-z0-9_.-]+)["']?\s*=\s*["']"""), found(r"""["']([A-Za-z0-9_.-]+)\s*[><=~]"""))
+    return (
+        F.when(path.rlike(r"(^|/)package\.json$"), _json_names("$.dependencies", "$.devDependencies")).when(path.rlike(r"(^|/)composer\.json$"), low(_json_names("$.require", "$['require-dev']")))
+        .when(path.rlike(r"(^|/)requirements\.txt$"), low(pip)).when(path.rlike(r"(^|/)pyproject\.toml$"), low(toml)).when(path.rlike(r"(^|/)go\.mod$"), low(found(r"(?m)^\s*(?:require\s+)?([a-z0-9.-]+\.[a-z]+/\S+)\s+v")))
+        .when(path.rlike(r"\.csproj$"), low(found(r'<PackageReference\s+Include="([^"]+)"')))
+    )
+
+
 def manifest_deps(files: DataFrame) -> DataFrame:
-    """Distinct repo_id, dep that manifests name: package.json, requirements.txt, go.mod, project files; lower case but for npm."""
-    node = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
-    npm = F.concat(F.coalesce(F.map_keys(node["dependencies"]), F.array()), F.coalesce(F.map_keys(node["devDependencies"]), F.array()))
-    pip = F.transform(F.filter(F.split("content", "\r?\n"), lambda x: ~F.ltrim(x).startswith("#") & (F.trim(x) != "")), lambda x: F.lower(F.regexp_extract(F.trim(x), r"^([^=<>!~;\[\s]*)", 1)))
-    go = F.transform(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:require\s+)?([a-z0-9.-]+\.[a-z]+/\S+)\s+v"), 1), F.lower)
-    net = F.transform(F.regexp_extract_all("content", F.lit(r'<PackageReference\s+Include="([^"]+)"'), 1), F.lower)
-    got = F.when(F.col("path").rlike(r"(^|/)package\.json$"), npm).when(F.col("path").rlike(r"(^|/)requirements\.txt$"), pip).when(F.col("path").rlike(r"(^|/)go\.mod$"), go).when(F.col("path").rlike(r"\.csproj$"), net)
-    return files.select("repo_id", F.explode(got).alias("dep")).where("dep != ''").distinct()
+    """Distinct repo_id, dep that manifests name, at any depth."""
+    return files.select("repo_id", F.explode(named_deps(F.col("path"))).alias("dep")).where("dep != ''").distinct()
 
 
 def dependency_presence(deps: DataFrame, names: list[str]) -> DataFrame:

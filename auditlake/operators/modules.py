@@ -1,7 +1,7 @@
 """Checks of the application modules over files: repository flags, file and line findings, handler segments.
 
-Each file is read once for the names that its checks need, as booleans; only
-lines that match leave the projection.  Flags are one aggregate with partial
+Each file is read once for the booleans and the matching lines that its checks
+need; only these leave the projection.  Flags are one aggregate with partial
 results; findings that depend on a flag join it after they are found, so that
 neither contents nor lines are shuffled.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from auditlake.functions import text as t
-from auditlake.operators.module_rules import CHECKS, FLAGS, LIMIT, MANIFEST, MODULES, PATTERNS, Check
+from auditlake.operators.module_rules import AI_KEY_TITLES, CHECKS, CLIENT_CODE, CLIENT_FILE, CLIENT_PATH, FLAGS, LIMIT, MANIFEST, MODULES, NO_ANCHOR, PATTERNS, PAY_KEY, PAY_KEY_CLIENT, PAY_KEY_TEST, Check
+from auditlake.sources.shared import durable
 
 
 def _any(parts: list[Column]) -> Column:
@@ -44,16 +45,42 @@ def marked(files: DataFrame) -> DataFrame:
     return out
 
 
+def _flag_columns() -> dict[str, Column]:
+    """Per file, on marked(): what makes each flag of its repository true."""
+    got = {n: F.col(f"{'on' if own else 'in'}_{m}") & _has(F.col("bare" if bare else "content"), p) for n, (m, p, bare, own) in FLAGS.items()}
+    got |= {f"uses_{n}": F.col(f"on_{n}") for n, m in MODULES.items() if not m.uses}
+    got["uses_PRIV"] = got["priv_pii"]
+    got["uses_AI"] = (F.col("in_AI") | (F.col("path") == "package.json")) & _has(F.col("content"), "AI_SDK")
+    got["uses_PAY"] = F.col("on_PAY") | (F.col("path").rlike(MANIFEST) & _has(F.col("content"), "PAY_DEP"))
+    return got
+
+
 def module_flags(files: DataFrame) -> DataFrame:
     """One row a repository: the flags, and uses_M, whether module M applies."""
-    x = marked(files)
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    got = {n: some(F.col(f"{'on' if own else 'in'}_{m}") & _has(F.col("bare" if bare else "content"), p)) for n, (m, p, bare, own) in FLAGS.items()}
-    got |= {f"uses_{n}": some(F.col(f"on_{n}")) for n, m in MODULES.items() if not m.uses}
-    got["uses_PRIV"] = got["priv_pii"]
-    got["uses_AI"] = some((F.col("in_AI") | (F.col("path") == "package.json")) & _has(F.col("content"), "AI_SDK"))
-    got["uses_PAY"] = some(F.col("on_PAY") | (F.col("path").rlike(MANIFEST) & _has(F.col("content"), "PAY_DEP")))
-    return x.groupBy("repo_id").agg(*(c.alias(n) for n, c in got.items()))
+    return marked(files).groupBy("repo_id").agg(*(some(c).alias(n) for n, c in _flag_columns().items()))
+
+
+#: Files at which a repository's findings stand: code with the module's surface (for AI, and as said of PRIV, any that names its data).
+def _anchors() -> dict[str, Column]:
+    return {m: F.col("on_PRIV") & _has(F.col("bare"), "PII") if m == "PRIV" else F.col(f"on_{m}") for m in MODULES if any(c.module == m and c.level == "repo" for c in CHECKS)}
+
+
+def looked_at(files: DataFrame) -> DataFrame:
+    """One row a file: repo_id, path, client, its part of each flag, a_M (whether module M's findings may stand at it), and hits.
+
+    This is the one pass over contents; what it gives is small, written to the
+    shared folder, and both flags and findings are made of it.
+    """
+    x = marked(files).withColumn("client", F.col("path").rlike(CLIENT_PATH) | F.col("content").rlike(CLIENT_CODE) | F.col("path").rlike(CLIENT_FILE))
+    anchors = {f"a_{m}": c for m, c in _anchors().items()}
+    return durable(x.select("repo_id", "path", "client", *(c.alias(n) for n, c in (_flag_columns() | anchors).items()), _hits().alias("hits")))
+
+
+def flags_of(seen: DataFrame) -> DataFrame:
+    """module_flags() of looked_at() files, with a_M, the first path at which module M's findings may stand."""
+    some = lambda n: F.coalesce(F.bool_or(n), F.lit(False)).alias(n)
+    return seen.groupBy("repo_id").agg(*map(some, _flag_columns()), *(F.min(F.when(F.col(f"a_{m}"), F.col("path"))).alias(f"a_{m}") for m in _anchors()))
 
 
 def payment_providers(files: DataFrame) -> DataFrame:
@@ -66,25 +93,92 @@ def _flagged(name: str) -> Column:
     return ~F.col(name[1:]) if name.startswith("!") else F.col(name)
 
 
-def repo_checks(flags: DataFrame) -> DataFrame:
-    """repo_id, check, severity of what a repository has and lacks."""
+def repo_checks(flags: DataFrame, anchors: bool = False) -> DataFrame:
+    """repo_id, check, severity of what a repository has and lacks, and with ``anchors`` (flags of flags_of()) the path at which it stands."""
     hit = lambda c: F.col(f"uses_{c.module}") & _any([_all([_flagged(n) for n in w]) for w in c.when])
-    found = F.filter(F.array(*(F.when(hit(c), F.struct(F.lit(c.id).alias("check"), F.lit(c.severity).alias("severity"))) for c in CHECKS if c.level == "repo")), lambda x: x.isNotNull())
+    at = lambda c: [F.coalesce(F.col(f"a_{c.module}"), F.lit(NO_ANCHOR[c.module])).alias("anchor")] if anchors else []
+    found = F.filter(F.array(*(F.when(hit(c), F.struct(F.lit(c.id).alias("check"), F.lit(c.severity).alias("severity"), *at(c))) for c in CHECKS if c.level == "repo")), lambda x: x.isNotNull())
     return flags.select("repo_id", F.explode(found).alias("f")).select("repo_id", "f.*")
 
 
-def _holds(check: Check, when: tuple[str, ...], here: Column, both: Column | None) -> Column:
-    parts = [F.col(f"on_{check.module}")]
+def _holds(check: Check, when: tuple[str, ...], here: Column, both: Column | None, whole: dict[bool, Column] | None = None) -> Column:
+    """Whether a place meets what a check asks of it; flags of the repository are joined later."""
+    parts = []
     for name in when:
-        bare, scope, word = name.removeprefix("!"), "", ""
-        scope, _, word = bare.rpartition(":")
+        scope, _, word = name.removeprefix("!").rpartition(":")
         if scope == "repo":
-            continue  # joined later
-        is_ = F.col(f"f_{check.module}_{word}") if scope == "file" else _has(both if scope == "two" else here, word)
+            continue
+        is_ = _has(whole[MODULES[check.module].bare], word) if scope == "file" else _has(both if scope == "two" else here, word)
         parts.append(~is_ if name.startswith("!") else is_)
     return _all(parts)
 
 
+def _hits() -> Column:
+    """Array of (check's number, line_no, line) of a marked() file, flags of the repository aside.
+
+    A line check is tried on lines only where the file has the module's surface,
+    what else the check asks of the file, and a match anywhere of each pattern
+    that the line itself must have.  Lines are split once, and each is seen with
+    the next one by a shifted copy of the array: time is linear in the text.
+    """
+    whole = {False: F.col("content"), True: F.col("bare")}
+    none = F.lit(None).cast("string")
+
+    def first(name: str) -> Column:
+        found = F.filter(F.transform(F.split("content", "\r?\n", -1), lambda v, i: F.when(_has(v, name), i + 1)), lambda v: v.isNotNull())
+        return F.get(found, F.lit(0)).cast("int")
+
+    def of_file(i: int, c: Check) -> Column:
+        ok = F.col(f"on_{c.module}") & _any([_holds(c, w, F.col("content"), None) for w in c.when])
+        return F.when(ok, F.struct(F.lit(i).alias("n"), (first(c.at) if c.at else F.lit(None).cast("int")).alias("line_no"), none.alias("line")))
+
+    def may(c: Check, w: tuple[str, ...]) -> Column:
+        text, parts = whole[MODULES[c.module].bare], [F.lit(True)]
+        for name in w:
+            scope, _, word = name.removeprefix("!").rpartition(":")
+            if scope == "file":
+                parts.append(~_has(text, word) if name.startswith("!") else _has(text, word))
+            elif not scope and not name.startswith("!"):
+                parts.append(text.rlike(f"(?m){PATTERNS[word]}"))
+        return _all(parts)
+
+    def of_lines(bare: bool) -> Column:
+        own = [(i, c) for i, c in enumerate(CHECKS) if c.level == "line" and MODULES[c.module].bare == bare]
+        ways = [(i, c, w) for i, c in own for w in c.when]
+        bit = {(i, w): 1 << k for k, (i, _, w) in enumerate(ways)}
+        bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.col(f"on_{c.module}") & may(c, w), F.lit(bit[i, w]).cast("long")).otherwise(F.lit(0).cast("long")) for i, c, w in ways))
+        local = {w: tuple(n for n in w if not n.removeprefix("!").startswith(("file:", "repo:"))) for _, _, w in ways}
+
+        def tried(lines: Column, bits: Column) -> Column:
+            two = F.zip_with(lines, F.slice(lines, 2, F.size(lines)), lambda a, b: F.struct(a.alias("line"), F.concat(a, F.lit(" "), F.coalesce(b, F.lit(""))).alias("two")))
+
+            def at(v: Column, i: Column) -> Column:
+                open_ = lambda n, c, w: (bits.bitwiseAND(F.lit(bit[n, w]).cast("long")) != 0) & _holds(c, local[w], v["line"], v["two"])
+                met = F.filter(F.array(*(F.when(_any([open_(n, c, w) for w in c.when]), F.lit(n)) for n, c in own)), lambda x: x.isNotNull())
+                return F.transform(met, lambda n: F.struct(n.alias("n"), (i + 1).alias("line_no"), v["line"].alias("line")))
+
+            return F.flatten(F.filter(F.transform(two, at), lambda x: F.size(x) > 0))
+
+        # the text's lines and bits are bound once, or each line would split the text again
+        bound = F.transform(F.array(F.struct(F.split(whole[bare], "\r?\n", -1).alias("lines"), bits.alias("bits"))), lambda b: F.when(b["bits"] != 0, tried(b["lines"], b["bits"])))
+        return F.coalesce(F.get(bound, F.lit(0)), F.array().cast("array<struct<n:int,line_no:int,line:string>>"))
+
+    files = F.filter(F.array(*(of_file(i, c) for i, c in enumerate(CHECKS) if c.level == "file")), lambda v: v.isNotNull())
+    return F.concat(files, of_lines(False), of_lines(True))
+
+
+def hits_of(seen: DataFrame, flags: DataFrame) -> DataFrame:
+    """repo_id, path, line_no, check, severity, line, own_title of the hits of looked_at() files whose module applies and whose flags hold."""
+    table = seen.sparkSession.createDataFrame([(i, c.id, c.severity) for i, c in enumerate(CHECKS)], "n int, check string, severity string")
+    out = seen.select("repo_id", "path", "client", F.explode("hits").alias("h")).select("repo_id", "path", "client", "h.*").join(F.broadcast(table), "n")  # as many rows as checks
+    live = F.col("line").rlike(PATTERNS["KEY_LIVE"])
+    env = ~F.col("line").rlike(PATTERNS["KEY_TEST"])
+    pay = F.when(F.col("client") & (live | env), PAY_KEY_CLIENT).when(live | env, PAY_KEY).otherwise(PAY_KEY_TEST)
+    keys = F.filter(F.array(*(F.when(F.col("line").rlike(p), title) for p, title in AI_KEY_TITLES.items())), lambda x: x.isNotNull())
+    titles = F.when(F.col("check") == "PAY-1", F.array(pay)).when(F.col("check") == "AI-3", keys).otherwise(F.array(F.lit(None).cast("string")))
+    return _kept(out, flags).select("repo_id", "path", "line_no", "check", "severity", "line", F.explode(titles).alias("own_title"))
+
+
 def _kept(found: DataFrame, flags: DataFrame) -> DataFrame:
     """Findings whose module applies and whose flags hold."""
     ok = F.lit(True)
@@ -96,41 +190,12 @@ def _kept(found: DataFrame, flags: DataFrame) -> DataFrame:
 
 def file_checks(files: DataFrame, flags: DataFrame) -> DataFrame:
     """repo_id, path, line_no (null if no line is named), check, severity."""
-    x = marked(files)
-    lines = F.split("content", "\r?\n", -1)
-
-    def first(name: str) -> Column:
-        at = F.get(F.filter(F.transform(lines, lambda v, i: F.when(_has(v, name), i + 1)), lambda v: v.isNotNull()), F.lit(0))
-        return at.cast("int")
-
-    def hit(c: Check) -> Column:
-        ok = _any([_holds(c, w, F.col("content"), None) for w in c.when])
-        return F.when(ok, F.struct(F.lit(c.id).alias("check"), F.lit(c.severity).alias("severity"), (first(c.at) if c.at else F.lit(None).cast("int")).alias("line_no")))
-
-    found = F.filter(F.array(*(hit(c) for c in CHECKS if c.level == "file")), lambda v: v.isNotNull())
-    out = x.select("repo_id", "path", F.explode(found).alias("f")).select("repo_id", "path", "f.*")
-    return _kept(out, flags).select("repo_id", "path", "line_no", "check", "severity")
+    return hits_of(looked_at(files), flags).where(F.col("line").isNull()).select("repo_id", "path", "line_no", "check", "severity")
 
 
 def line_checks(files: DataFrame, flags: DataFrame) -> DataFrame:
     """repo_id, path, line_no, check, severity, excerpt (masked)."""
-    x = marked(files)
-    checks = [c for c in CHECKS if c.level == "line"]
-    wanted = sorted({(c.module, n.rpartition(":")[2]) for c in checks for w in c.when for n in w if "file:" in n})
-    for m, name in wanted:
-        x = x.withColumn(f"f_{m}_{name}", _has(F.col("bare" if MODULES[m].bare else "content"), name))
-    parts = []
-    for bare in (False, True):
-        own = [c for c in checks if MODULES[c.module].bare == bare]
-        mods = sorted({c.module for c in own})
-        lines = F.split("bare" if bare else "content", "\r?\n", -1)
-        numbered = F.transform(lines, lambda v, i: F.struct((i + 1).alias("line_no"), v.alias("line"), F.concat(v, F.lit(" "), F.coalesce(F.get(lines, i + 1), F.lit(""))).alias("two")))
-        y = x.where(_any([F.col(f"on_{m}") for m in mods])).select("repo_id", "path", *(f"on_{m}" for m in mods), *(f"f_{m}_{n}" for m, n in wanted if m in mods), F.explode(numbered).alias("l"))
-        y = y.select("*", "l.line_no", "l.line", "l.two")
-        hit = lambda c: F.when(_any([_holds(c, w, F.col("line"), F.col("two")) for w in c.when]), F.struct(F.lit(c.id).alias("check"), F.lit(c.severity).alias("severity")))
-        found = F.filter(F.array(*map(hit, own)), lambda v: v.isNotNull())
-        parts.append(y.select("repo_id", "path", "line_no", "line", F.explode(found).alias("f")).select("repo_id", "path", "line_no", "line", "f.*"))
-    out = _kept(parts[0].unionByName(parts[1]), flags)
+    out = hits_of(looked_at(files), flags).where(F.col("line").isNotNull()).drop("own_title").distinct()
     return out.select("repo_id", "path", "line_no", "check", "severity", t.mask_secrets(F.substring(F.regexp_replace("line", r"^\s+|\s+$", ""), 1, 160)).alias("excerpt"))
 
 
@@ -147,11 +212,13 @@ CRITICAL, CREATES, IS_POST = r"(?i)\b(order|booking|reservation|transfer|checkou
 BODY, OPEN_BODY, BEFORE, BEHIND = 12_000, 3_000, 200, 40
 _SCRIPT = r"(?i)\.(ts|tsx|js|jsx|mjs|cjs)$"
 _SKIP = MODULES["WEB"].skip
-_SEGMENT = ArrayType(StructType([StructField("line_no", IntegerType()), StructField("body", StringType()), StructField("near", StringType())]))
+_SEGMENT = ArrayType(StructType([StructField("line_no", IntegerType()), StructField("body", StringType()), StructField("near", StringType()), StructField("change_line", IntegerType())]))
+# What a write is called on, and names that say nothing of it.
+MUTATED, UNNAMED = r"(?i)(\w+)\.(create|createMany|update|updateMany|upsert|delete|deleteMany|save|insert|insertMany|remove|destroy|findOneAndUpdate|findByIdAndUpdate)\s*\(", ["prisma", "db", "this", "await"]
 
 
-def segments(code: str) -> list[tuple[int, str, str]]:
-    """(line, body with its braces, text around its start) of each handler, outermost ones only."""
+def segments(code: str) -> list[tuple[int, str, str, int]]:
+    """(line, body with its braces, text around its start, line of its first read-modify-write or else its own) of each handler, outermost ones only."""
     out, at, anchor = [], 0, re.compile(ANCHOR)
     while m := anchor.search(code, at):
         begin = m.end() - 1
@@ -163,37 +230,39 @@ def segments(code: str) -> list[tuple[int, str, str]]:
                 break
         body = code[begin : end if end is not None else begin + OPEN_BODY]
         first = code.find(body)
-        out.append((code.count("\n", 0, m.start()) + 1, body, code[max(0, first - BEFORE) : first + BEHIND]))
+        line, change = code.count("\n", 0, m.start()) + 1, re.search(READ_MODIFY, body)
+        out.append((line, body, code[max(0, first - BEFORE) : first + BEHIND], code.count("\n", 0, first + change.start()) + 1 if change else line))
         at = begin + len(body)
     return out
 
 
 @F.pandas_udf(_SEGMENT)
 def _segments(code: pd.Series) -> pd.Series:
-    return code.map(lambda c: [{"line_no": n, "body": b, "near": x} for n, b, x in segments(c or "")])
+    return code.map(lambda c: [dict(zip(("line_no", "body", "near", "change_line"), s)) for s in segments(c or "")])
 
 
 def handler_segments(files: DataFrame) -> DataFrame:
-    """repo_id, path, line_no, body, near of the handlers in scripts with a web surface; braces are matched in Python, as patterns cannot."""
+    """repo_id, path, line_no, body, near, change_line of the handlers in scripts with a web surface; braces are matched in Python, as patterns cannot."""
     x = files.where(F.col("path").rlike(_SCRIPT) & ~F.col("path").rlike(_SKIP) & (F.length("content") <= LIMIT))
     x = x.select("repo_id", "path", t.strip_comments(F.col("content"), hashes=False).alias("code")).where(F.col("code").rlike(PATTERNS["FLOW_SURFACE"]))
     return x.select("repo_id", "path", F.explode(_segments("code")).alias("s")).select("repo_id", "path", "s.*")
 
 
 def handler_stats(segs: DataFrame) -> DataFrame:
-    """repo_id, path, line_no, mutations, and whether the body has a transaction, an atomic change, a read-modify-write, a key against repeats."""
+    """repo_id, path, line_no, change_line, mutations, targets (what is written to, in order, or ?), and whether the body has a transaction, an atomic change, a read-modify-write, a key against repeats."""
     b = F.col("body")
+    targets = F.array_except(F.array_distinct(F.transform(F.regexp_extract_all(b, F.lit(MUTATED), 1), F.lower)), F.array(*map(F.lit, UNNAMED)))
     return segs.select(
-        "repo_id", "path", "line_no", F.regexp_count(b, F.lit(MUTATION)).alias("mutations"), b.rlike(TRANSACTION).alias("in_transaction"), b.rlike(ATOMIC).alias("is_atomic"), (b.rlike(READ_MODIFY) & b.rlike(SAVED)).alias("rewrites"),
+        "repo_id", "path", "line_no", "change_line", F.when(F.size(targets) > 0, F.array_join(targets, ", ")).otherwise("?").alias("targets"), F.regexp_count(b, F.lit(MUTATION)).alias("mutations"), b.rlike(TRANSACTION).alias("in_transaction"), b.rlike(ATOMIC).alias("is_atomic"), (b.rlike(READ_MODIFY) & b.rlike(SAVED)).alias("rewrites"),
         b.rlike(IDEMPOTENT).alias("is_idempotent"), (b.rlike(CREATES) & b.rlike(CRITICAL) & F.col("near").rlike(IS_POST)).alias("posts_critical"),
     )
 
 
-def flow_checks(stats: DataFrame) -> DataFrame:
-    """repo_id, path, line_no, check, severity of handlers."""
+def flow_checks(stats: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """repo_id, path, line_no, check, severity of handlers, and the columns named in ``keep``."""
     found = [
         F.when((F.col("mutations") >= 2) & ~F.col("in_transaction"), F.struct(F.lit("FLOW-1").alias("check"), F.lit("P1").alias("severity"))),
         F.when(F.col("rewrites") & ~F.col("in_transaction") & ~F.col("is_atomic"), F.struct(F.lit("FLOW-2").alias("check"), F.lit("P1").alias("severity"))),
         F.when(F.col("posts_critical") & ~F.col("is_idempotent"), F.struct(F.lit("FLOW-3").alias("check"), F.lit("P2").alias("severity"))),
     ]
-    return stats.select("repo_id", "path", "line_no", F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())).alias("f")).select("repo_id", "path", "line_no", "f.*")
+    return stats.select("repo_id", "path", "line_no", *keep, F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())).alias("f")).select("repo_id", "path", "line_no", *keep, "f.*")

@@ -49,9 +49,9 @@ def open_admin(responses: DataFrame) -> DataFrame:
 
 
 def rate_limit_absent(log: DataFrame, seconds: int = 600, least: int = 5) -> DataFrame:
-    """window_start, user_id, served of bursts with ``least`` answers of status 200 to 499 and no 429."""
-    burst = log.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "user_id").agg(F.count_if(F.col("status").between(200, 499)).alias("served"), F.bool_or(F.col("status") == 429).alias("held"))
-    return burst.where(f"served >= {least} AND NOT held").select(F.col("w.start").alias("window_start"), "user_id", "served")
+    """window_start, url, served of bursts against one URL with ``least`` answers of status 200 to 499 and no 429."""
+    burst = log.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "url").agg(F.count_if(F.col("status").between(200, 499)).alias("served"), F.bool_or(F.col("status") == 429).alias("held"))
+    return burst.where(f"served >= {least} AND NOT held").select(F.col("w.start").alias("window_start"), "url", "served")
 
 
 def tls_findings(seen: DataFrame, now: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import days_until, round1
+from auditlake.sources import documents
 
 # What a finding costs its layer.
 LAYER_COST = {"P0": 6.0, "P1": 2.5, "P2": 1.0}
@@ -36,10 +37,19 @@ def runtime_freshness(containers: DataFrame, now: Column) -> DataFrame:
     return containers.select("name", F.explode(F.filter(F.array(bad, old), lambda x: x.isNotNull())).alias("f")).select("name", "f.*")
 
 
+# What the target of a mount is called where it holds data.
+DATA_LIKE = "(?i)uploads|data|storage|files|media|shared|bucket|documents|assets"
+
+
 def volume_mismatch(mounts: DataFrame) -> DataFrame:
-    """repo_id, key, services, pairs of data-like mounts (repo_id, service, source, target) whose name several services map differently."""
-    m = mounts.withColumn("key", F.lower(F.regexp_extract("target", r"([^/]+)/?$", 1))).where(F.col("key").rlike("upload|data|media|storage|file"))
-    by = m.groupBy("repo_id", "key").agg(F.countDistinct("service").alias("services"), F.countDistinct(F.concat_ws("->", "source", "target")).alias("pairs"))
+    """repo_id, key, services, pairs of data-like mounts (repo_id, service, source, target) whose name several services map differently.
+
+    The whole target is tried, the key is its last part; a null source is an
+    anonymous volume, and one of the ways to map.
+    """
+    m = mounts.where(F.col("target").rlike(DATA_LIKE)).withColumn("key", F.lower(F.regexp_extract("target", r"([^/]*)/*$", 1)))
+    pair = F.struct(F.coalesce("source", F.lit("<anon>")), "target")
+    by = m.groupBy("repo_id", "key").agg(F.countDistinct("service").alias("services"), F.countDistinct(pair).alias("pairs"))
     return by.where("services >= 2 AND pairs >= 2")
 
 
@@ -58,27 +68,45 @@ def parity_layers(findings: DataFrame) -> DataFrame:
     return out.withColumn("status", layer_status(F.col("score")))
 
 
-def k8s_checks(manifests: DataFrame) -> DataFrame:
-    """repo_id, path, check, severity, container of manifests (repo_id, path, doc as JSON text).
+# Kinds that hold containers, names of secrets; of each check id, severity, title and category.
+WORKLOADS = ["Pod", "Deployment", "StatefulSet", "DaemonSet", "ReplicaSet", "Job", "CronJob"]
+SECRET_NAME = "(?i)(password|passwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key)"
+K8S = {
+    "K8S-1": ("K8S-privileged", "P0", "Privileged container: {of}", "Privileged Container"),
+    "K8S-2": ("K8S-root", "P1", "Container root çalışabilir: {of}", "Root Container"),
+    "K8S-3": ("K8S-image-tag", "P2", "Belirsiz image etiketi (latest/tagsız): {what}", "Image Policy"),
+    "K8S-4": ("K8S-plain-secret", "P1", "Manifest'te düz secret env: {what}", "Exposed Secret"),
+    "K8S-5": ("K8S-ingress-no-tls", "P2", "Ingress TLS tanımsız (düz HTTP)", "Ingress Misconfig"),
+}
+
+
+def k8s_checks(texts: DataFrame) -> DataFrame:
+    """repo_id, path, check, id, severity, title, category of manifests (repo_id, path, doc as JSON text, any number in one).
 
-    Privileged (K8S-1), may run as root (K8S-2), untagged or latest image
-    (K8S-3), secret in plain environment (K8S-4), ingress without TLS (K8S-5).
-    Text that is no JSON object with kind and apiVersion gives nothing.
+    Privileged (K8S-1), may run as root (K8S-2), image without a tag or of tag
+    latest (K8S-3), a secret in plain environment, one for each (K8S-4), ingress
+    without TLS (K8S-5).  Text that is no JSON gives nothing.
     """
-    env = "array<struct<name:string,value:string>>"
-    context = "struct<privileged:boolean,runAsNonRoot:boolean,runAsUser:bigint>"
-    pod = f"struct<securityContext:{context},containers:array<struct<name:string,image:string,env:{env},securityContext:{context}>>>"
-    spec = pod[:-1] + f",tls:array<string>,template:struct<spec:{pod}>,jobTemplate:struct<spec:struct<template:struct<spec:{pod}>>>>"
-    d = manifests.select("repo_id", "path", F.from_json("doc", f"kind string, apiVersion string, spec {spec}").alias("d")).where("d.kind IS NOT NULL AND d.apiVersion IS NOT NULL")
-    own = F.struct(F.col("d.spec.securityContext").alias("securityContext"), F.col("d.spec.containers").alias("containers"))
-    pods = F.when(F.size("d.spec.containers") > 0, own).when(F.col("d.spec.template").isNotNull(), F.col("d.spec.template.spec")).otherwise(F.col("d.spec.jobTemplate.spec.template.spec"))
-    work = d.where(F.col("d.kind").isin("Pod", "Deployment", "StatefulSet", "DaemonSet", "Job", "CronJob", "ReplicaSet"))
-    c = work.select("repo_id", "path", pods.alias("p")).select("repo_id", "path", F.col("p.securityContext").alias("s"), F.explode("p.containers").alias("c"))
-    secret = F.exists("c.env", lambda e: e["name"].rlike("(?i)(secret|password|token|api_?key)") & (F.length(e["value"]) > 0))
-    tag = F.regexp_extract("c.image", r":([^:/@]+)$", 1)
-    rooted = (F.col("c.securityContext.runAsUser") == 0) | ~(F.coalesce("s.runAsNonRoot", F.lit(False)) | F.coalesce("c.securityContext.runAsNonRoot", F.lit(False)))
-    hits = [("K8S-1", "P0", F.col("c.securityContext.privileged")), ("K8S-2", "P1", rooted), ("K8S-3", "P2", F.col("c.image").isNotNull() & ~F.contains("c.image", F.lit("@")) & tag.isin("", "latest")), ("K8S-4", "P1", secret)]
-    found = F.filter(F.array(*(F.when(ok, F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"))) for n, s, ok in hits)), lambda x: x.isNotNull())
-    out = c.select("repo_id", "path", F.explode(found).alias("f"), F.col("c.name").alias("container")).select("repo_id", "path", "f.*", "container")
-    bare = d.where("d.kind = 'Ingress' AND coalesce(size(d.spec.tls), 0) <= 0").select("repo_id", "path", F.lit("K8S-5").alias("check"), F.lit("P2").alias("severity"), F.lit("").alias("container"))
-    return out.unionByName(bare)
+    d = documents.manifests(texts.select("repo_id", "path", "doc"))
+    v, c = F.col("v"), F.col("c")
+    part = lambda p: F.try_variant_get(v, p, "array<variant>")
+    boxes = F.coalesce(part("$.spec.containers"), part("$.spec.template.spec.containers"), part("$.spec.jobTemplate.spec.template.spec.containers"))
+    pod = F.when(documents.at(v, "$.spec.template.spec").isNotNull(), documents.is_true(v, "$.spec.template.spec.securityContext.runAsNonRoot")).otherwise(documents.is_true(v, "$.spec.securityContext.runAsNonRoot"))
+    held = d.where(F.col("kind").isin(WORKLOADS)).select("repo_id", "path", "name", pod.alias("pod"), F.explode(boxes).alias("c"))
+    image = F.coalesce(F.try_variant_get(c, "$.image", "string"), F.lit(""))
+    env = F.filter(F.coalesce(F.try_variant_get(c, "$.env", "array<variant>"), F.array().cast("array<variant>")), lambda e: F.coalesce(F.try_variant_get(e, "$.name", "string").rlike(SECRET_NAME) & (F.length(documents.text_at(e, "$.value")) > 0), F.lit(False)))
+    rooted = F.coalesce(documents.at(c, "$.securityContext.runAsUser") == "0", F.lit(False)) | ~(F.col("pod") | documents.is_true(c, "$.securityContext.runAsNonRoot"))
+    hit = lambda ok, n, what: F.when(ok, F.array(F.struct(F.lit(n).alias("check"), what.alias("what")))).otherwise(F.array().cast("array<struct<check:string,what:string>>"))
+    found = F.concat(
+        hit(documents.is_true(c, "$.securityContext.privileged"), "K8S-1", F.lit("")), hit(rooted, "K8S-2", F.lit("")), hit((image != "") & (~F.contains(image, F.lit(":")) | image.endswith(":latest")), "K8S-3", image),
+        F.transform(env, lambda e: F.struct(F.lit("K8S-4").alias("check"), F.try_variant_get(e, "$.name", "string").alias("what"))),
+    )
+    of = F.concat("name", F.lit("/"), F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit("container")))
+    out = held.select("repo_id", "path", of.alias("of"), F.explode(found).alias("f")).select("repo_id", "path", "of", "f.check", "f.what")
+    tls = documents.at(v, "$.spec.tls")
+    bare = d.where(F.col("kind") == "Ingress").where(tls.isNull() | tls.isin("null", "false", '""', "0")).select("repo_id", "path", F.col("name").alias("of"), F.lit("K8S-5").alias("check"), F.lit("").alias("what"))
+    table = texts.sparkSession.createDataFrame([(n, *k) for n, k in K8S.items()], "check string, head string, severity string, title string, category string")
+    out = out.unionByName(bare).join(F.broadcast(table), "check")  # five rows
+    id_ = F.concat("head", F.lit(":"), "of", F.when(F.col("check") == "K8S-4", F.concat(F.lit("/"), "what")).otherwise(""))
+    title = F.replace(F.replace("title", F.lit("{of}"), F.col("of")), F.lit("{what}"), F.col("what"))
+    return out.select("repo_id", "path", "check", id_.alias("id"), "severity", title.alias("title"), "category")

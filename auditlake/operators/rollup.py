@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,22 +70,49 @@ def delta_summary(changes: DataFrame) -> DataFrame:
     return changes.groupBy("repo_id", "change", "severity").agg(F.count("*").alias("n"))
 
 
+def delta_of_runs(runs: DataFrame, changes: DataFrame, before: str, now: str) -> DataFrame:
+    """repo_id, and of two runs of a history (repo_id, run, overall_score, parity_score): scores before and after, how they moved, and counts of changes.
+
+    ``moved`` is the signed change to one decimal, null where a score is
+    missing; ``trend`` is up, down, same or unknown.  A repository without a run
+    before is a first run, whose findings are all new.
+    """
+    side = lambda run, tag: runs.where(F.col("run") == run).select("repo_id", F.col("overall_score").alias(f"overall_{tag}"), F.col("parity_score").alias(f"parity_{tag}"))
+    moved = changes.groupBy("repo_id").agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("fixed", "introduced", "persisting")), *(F.count_if((F.col("change") == "persisting") & (F.col("severity") == s)).alias(f"still_{s.lower()}") for s in PENALTY))
+    out = side(now, "after").join(side(before, "before").withColumn("known", F.lit(True)), "repo_id", "left").join(moved, "repo_id", "left")
+    counts = ["fixed", "introduced", "persisting", *(f"still_{s.lower()}" for s in PENALTY)]
+    change = lambda k: F.round(F.col(f"{k}_after") - F.col(f"{k}_before"), 1)
+    trend = lambda k: F.when(change(k).isNull(), "unknown").when(change(k) > 0, "up").when(change(k) < 0, "down").otherwise("same")
+    scores = [c for k in ("overall", "parity") for c in (F.col(f"{k}_before"), F.col(f"{k}_after"), change(k).alias(f"{k}_moved"), trend(k).alias(f"{k}_trend"))]
+    return out.fillna(0, counts).select("repo_id", F.col("known").isNull().alias("is_first"), *scores, *counts)
+
+
+def checklists_all(parts: list[DataFrame]) -> DataFrame:
+    """repo_id, checklist, control, status of all lists, and of each list the score of those of its controls that are known."""
+    rows = reduce(lambda a, b: a.unionByName(b), (p.select("repo_id", "checklist", "control", "status") for p in parts))
+    return rows.join(checklist_score(rows, ["repo_id", "checklist"]), ["repo_id", "checklist"])
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """repo_id, total, p0..p3, max_cvss (0 without any)."""
     counts = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in PENALTY]
     return findings.groupBy("repo_id").agg(F.count("*").alias("total"), *counts, F.max(F.coalesce("cvss", F.lit(0.0))).alias("max_cvss"))
 
 
-def asvs_checklist(referenced: DataFrame, controls: list[str]) -> DataFrame:
+# Controls of the application standard that are followed.
+ASVS = ["2.1", "3.3", "3.4", "4.2", "5.3", "6.2", "6.3", "6.4"]
+
+
+def asvs_checklist(referenced: DataFrame, controls: list[str] = ASVS) -> DataFrame:
     """repo_id, control, status for findings (repo_id, reference): fail if a code is the control or below it, else unknown."""
-    codes = referenced.select("repo_id", F.regexp_extract("reference", r"ASVS\s+(\d+(?:\.\d+)*)", 1).alias("code")).where("code != ''").distinct()
+    codes = referenced.select("repo_id", F.regexp_extract("reference", r"(?i)ASVS\s*(\d+(?:\.\d+)*)", 1).alias("code")).where("code != ''").distinct()
     hit = codes.select("repo_id", F.explode(F.filter(F.lit(controls), lambda c: (F.col("code") == c) | F.startswith(F.col("code"), F.concat(c, F.lit("."))))).alias("control")).distinct()
     grid = referenced.select("repo_id").distinct().select("repo_id", F.explode(F.lit(controls)).alias("control"))
     return grid.join(hit.withColumn("bad", F.lit(True)), ["repo_id", "control"], "left").select("repo_id", "control", F.when(F.col("bad"), "fail").otherwise("unknown").alias("status"))
 
 
-def checklist_score(items: DataFrame) -> DataFrame:
-    """repo_id, score: pass and half of partial over what was assessed, in percent; null if nothing was."""
+def checklist_score(items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """repo_id (or ``by``), score: pass and half of partial over what was assessed, in percent; null if nothing was."""
     done = F.count_if(F.col("status") != "unknown")
     got = F.count_if(F.col("status") == "pass") + 0.5 * F.count_if(F.col("status") == "partial")
-    return items.groupBy("repo_id").agg(F.when(done > 0, F.floor(got / done * 100 + 0.5).cast("long")).alias("score"))
+    return items.groupBy(*(by or ["repo_id"])).agg(F.when(done > 0, F.floor(got / done * 100 + 0.5).cast("long")).alias("score"))

@@ -7,6 +7,8 @@ Caps and dedup are windows by file and by fingerprint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,34 @@ def matches(of: DataFrame, rules: list[Rule]) -> DataFrame:
     return of.select("repo_id", "path", "line_no", "line", F.explode(found).alias("rule"))
 
 
+def file_matches(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """As matches() of the lines of files, but a rule is tried on lines only if its gates pass and the whole text has a match.
+
+    Patterns hold for a line by itself and have no lookarounds; so what matches in
+    a line matches in the text if ^ and $ stand for any line's ends.  A file is
+    tried once a rule, most files have few rules left or none, and only these go
+    on as lines, with the rules as bits of a number.
+    """
+    if len(rules) > 62:
+        raise ValueError("at most 62 rules at once")
+
+    def open_(i: int, rule: Rule) -> Column:
+        ok = F.col("path").rlike(rule.include) if rule.include else F.lit(True)
+        ok = ok & ~F.col("path").rlike(rule.exclude) if rule.exclude else ok
+        return F.when(ok & F.col("content").rlike(f"(?m){rule.pattern}"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    bits = reduce(lambda a, b: a.bitwiseOR(b), (open_(i, x) for i, x in enumerate(rules)))
+    kept = files.select("repo_id", "path", "content", bits.alias("bits")).where("bits != 0")
+    held = kept.select("repo_id", "path", "bits", F.posexplode(F.split("content", "\r?\n", -1)).alias("pos", "line"))
+
+    def hit(i: int, rule: Rule) -> Column:
+        ok = (F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & F.col("line").rlike(rule.pattern)
+        return F.when(ok & rule.validate(F.col("line")) if rule.validate else ok, F.lit(i))
+
+    found = F.filter(F.array(*(hit(i, x) for i, x in enumerate(rules))), lambda x: x.isNotNull())
+    return held.select("repo_id", "path", (F.col("pos") + 1).alias("line_no"), "line", F.explode(found).alias("rule"))
+
+
 def described(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     """hits with rule_id, module, check, severity, confidence, title and cap of their rule."""
     spark = hits.sparkSession
@@ -64,12 +94,12 @@ def dedup_fingerprint(findings: DataFrame) -> DataFrame:
 
 
 def rule_scan(of: DataFrame, rules: list[Rule] = r.SAST, width: int = 200, masks: int = 2, cap: int | None = None) -> DataFrame:
-    """Findings of a rule set over lines: repo_id, path, line_no, id, rule_id, module, check, severity, confidence, title, excerpt, fingerprint.
+    """Findings of a rule set over lines, or over files (repo_id, path, content), which is faster: repo_id, path, line_no, id, rule_id, module, check, severity, confidence, title, excerpt, fingerprint.
 
     The cap counts hits before dedup; excerpts are the trimmed line, cut, then
     masked (``masks`` times, as masking once more can shorten further).
     """
-    hits = described(matches(of, rules), rules)
+    hits = described(file_matches(of, rules) if "content" in of.columns else matches(of, rules), rules)
     hits = capped(hits, F.col("cap") if cap is None else F.lit(cap))
     excerpt = F.substring(F.regexp_replace("line", r"^\s+|\s+$", ""), 1, width)
     for _ in range(masks):
@@ -79,8 +109,13 @@ def rule_scan(of: DataFrame, rules: list[Rule] = r.SAST, width: int = 200, masks
     return dedup_fingerprint(out.withColumn("fingerprint", t.fingerprint(F.col("module"), F.col("check"), F.col("title"), F.array(signature))))
 
 
-def cloud_scan(of: DataFrame) -> DataFrame:
-    return rule_scan(of, r.CLOUD, width=160, masks=1)
+def iac_files(files: DataFrame) -> DataFrame:
+    """Infrastructure files outside build, vendor and provider folders."""
+    return files.where(F.col("path").rlike(r.IAC_FILE) & ~F.col("path").rlike(r.IAC_SKIP))
+
+
+def cloud_scan(files: DataFrame) -> DataFrame:
+    return rule_scan(iac_files(files), r.CLOUD, width=160, masks=1)
 
 
 def card_data_scan(of: DataFrame, limit: int = 50) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,35 +71,39 @@ _COLUMNS = ["repo_id", "path", "line_no", "rule_id", "module", "check", "severit
 _COLUMNS_SQL = 'repo_id, path, line_no, rule_id, module, "check", severity, confidence, excerpt, fingerprint'
 
 
+def _code(spark: S, sf: str) -> D:
+    return scan.code_files(corpus.code_corpus(spark, sf))
+
+
 def _lines(spark: S, sf: str) -> D:
-    return scan.lines(scan.code_files(corpus.code_corpus(spark, sf)))
+    return scan.lines(_code(spark, sf))
 
 
 @query("rule_scan", f"{_CODE_SCANNED}, {_rules_sql(_PLAIN, 200, 2)} SELECT {_COLUMNS_SQL} FROM first WHERE nth = 1")
 def rule_scan(spark: S, sf: str) -> D:
-    return scan.rule_scan(_lines(spark, sf), _PLAIN).select(*_COLUMNS)
+    return scan.rule_scan(_code(spark, sf), _PLAIN).select(*_COLUMNS)
 
 
 @query("rule_scan_capped", f"{_CODE_SCANNED}, {_rules_sql(_PLAIN, 200, 2, '1')} SELECT {_COLUMNS_SQL} FROM first WHERE nth = 1")
 def rule_scan_capped(spark: S, sf: str) -> D:
-    return scan.rule_scan(_lines(spark, sf), _PLAIN, cap=1).select(*_COLUMNS)
+    return scan.rule_scan(_code(spark, sf), _PLAIN, cap=1).select(*_COLUMNS)
 
 
 @query("rule_scan_all")
 def rule_scan_all(spark: S, sf: str) -> D:
     """With the two rules that have validators."""
-    return scan.rule_scan(_lines(spark, sf), r.SAST).select(*_COLUMNS)
+    return scan.rule_scan(_code(spark, sf), r.SAST).select(*_COLUMNS)
 
 
 @query("rule_match_counts", f"{_CODE_SCANNED}, {_rules_sql(_PLAIN, 200, 0)} SELECT repo_id, rule_id, count(*) AS hits, count(DISTINCT path) AS files FROM hit GROUP BY ALL")
 def rule_match_counts(spark: S, sf: str) -> D:
-    hits = scan.described(scan.matches(_lines(spark, sf), _PLAIN), _PLAIN)
+    hits = scan.described(scan.file_matches(_code(spark, sf), _PLAIN), _PLAIN)
     return hits.groupBy("repo_id", "rule_id").agg(F.count("*").alias("hits"), F.countDistinct("path").alias("files"))
 
 
 @query("cloud_scan", f"{_CODE}, {_rules_sql(r.CLOUD, 160, 1)} SELECT {_COLUMNS_SQL} FROM first WHERE nth = 1")
 def cloud_scan(spark: S, sf: str) -> D:
-    return scan.cloud_scan(scan.lines(corpus.code_corpus(spark, sf))).select(*_COLUMNS)
+    return scan.cloud_scan(corpus.code_corpus(spark, sf)).select(*_COLUMNS)
 
 
 @query("code_file_filter", f"{_CODE} SELECT repo_id, count(*) AS files FROM code WHERE regexp_matches(path, {_lit(r.CODE_FILE)}) AND NOT regexp_matches(path, {_lit(r.NOT_SCANNED)}) GROUP BY repo_id")
@@ -293,10 +299,10 @@ def open_admin(spark: S, sf: str) -> D:
     return observed.open_admin(corpus.responses(spark, sf))
 
 
-@query("rate_limit_absent", "WITH l AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, user_id, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 13 = 0 THEN 429 ELSE 200 END AS status FROM events) SELECT w AS window_start, user_id, count(*) FILTER (WHERE status BETWEEN 200 AND 499) AS served FROM l GROUP BY ALL HAVING count(*) FILTER (WHERE status BETWEEN 200 AND 499) >= 2 AND NOT bool_or(status = 429)")
+@query("rate_limit_absent", "WITH l AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, concat('/u/', user_id) AS url, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 13 = 0 THEN 429 ELSE 200 END AS status FROM events) SELECT w AS window_start, url, count(*) FILTER (WHERE status BETWEEN 200 AND 499) AS served FROM l GROUP BY ALL HAVING count(*) FILTER (WHERE status BETWEEN 200 AND 499) >= 2 AND NOT bool_or(status = 429)")
 def rate_limit_absent(spark: S, sf: str) -> D:
     e = spark.read.parquet(f"{sf}/events.parquet")
-    log = e.select("ts", "user_id", F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 13 == 0, 429).otherwise(200).alias("status"))
+    log = e.select("ts", F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("url"), F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 13 == 0, 429).otherwise(200).alias("status"))
     return observed.rate_limit_absent(log, 21_600, 2)
 
 
@@ -328,7 +334,7 @@ def open_ports(spark: S, sf: str) -> D:
     return observed.open_ports(x.select(F.concat(F.lit("h"), F.col("l_suppkey").cast("string")).alias("host"), port.alias("port")))
 
 
-@query("targets_of_pages", r"SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^@/]*@)?([^:/?#]+)', 1)) AS host, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS base FROM pages")
+@query("targets_of_pages", r"SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]+)', 1)) AS host, regexp_replace(url, '/+$', '') AS base FROM pages")
 def targets_of_pages(spark: S, sf: str) -> D:
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", t.to_host(F.col("url")).alias("host"), t.base_url(F.col("url")).alias("base"))
 
@@ -350,13 +356,32 @@ def stream_scan(spark: S, sf: str) -> D:
     return streams.drained(streams.stream_scan(scan.lines(corpus.code_of(parts)), r.CLOUD))
 
 
-@query("stream_rate_limit", "WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, user_id, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 13 = 0 THEN 429 ELSE 200 END AS status, max(ts) OVER () AS last FROM events), b AS (SELECT w, user_id, any_value(last) AS last, count(*) FILTER (WHERE status BETWEEN 200 AND 499) AS served, bool_or(status = 429) AS held FROM e GROUP BY w, user_id) SELECT w AS window_start, user_id, served FROM b WHERE w + INTERVAL 6 HOUR <= last - INTERVAL 1 DAY AND served >= 2 AND NOT held")
+@query("stream_rate_limit", "WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, concat('/u/', user_id) AS url, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 13 = 0 THEN 429 ELSE 200 END AS status, max(ts) OVER () AS last FROM events), b AS (SELECT w, url, any_value(last) AS last, count(*) FILTER (WHERE status BETWEEN 200 AND 499) AS served, bool_or(status = 429) AS held FROM e GROUP BY w, url) SELECT w AS window_start, url, served FROM b WHERE w + INTERVAL 6 HOUR <= last - INTERVAL 1 DAY AND served >= 2 AND NOT held")
 def stream_rate_limit(spark: S, sf: str) -> D:
     status = F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 13 == 0, 429).otherwise(200)
-    log = streams.arriving(spark, f"{sf}/events.parquet").select("ts", "user_id", status.alias("status"))
+    log = streams.arriving(spark, f"{sf}/events.parquet").select("ts", F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("url"), status.alias("status"))
     return streams.drained(streams.stream_rate_limit(log, 21_600, 2))
 
 
+@query("stream_scan_capped", f"{_CODE_SCANNED}, {_rules_sql(_PLAIN, 200, 2, '1')} SELECT {_COLUMNS_SQL} FROM first WHERE nth = 1")
+def stream_scan_capped(spark: S, sf: str) -> D:
+    """Files as they arrive, with caps and dedup as in a batch."""
+    top = streams.own_folder(spark)
+    files = scan.code_files(corpus.code_of(streams.arriving(spark, f"{sf}/part.parquet"))).withColumn("version", F.lit(1))
+    streams.scan_arriving(files, [replace(x, cap=1) for x in _PLAIN], top)
+    return streams.scanned(spark, top).select(*_COLUMNS)
+
+
+@query("stream_delta_runs", f"WITH {corpus.findings_sql()}, r AS (SELECT DISTINCT repo_id, n AS run, fingerprint FROM finding, (SELECT unnest([1, 2, 3]) AS n) WHERE seen != n), p AS (SELECT a.*, b.fingerprint IS NOT NULL AS old FROM r a LEFT JOIN r b ON b.repo_id = a.repo_id AND b.fingerprint = a.fingerprint AND b.run = a.run - 1) SELECT repo_id, run, fingerprint, CASE WHEN old THEN 'persisting' ELSE 'introduced' END AS change FROM p UNION ALL SELECT a.repo_id, a.run + 1, a.fingerprint, 'fixed' FROM r a ANTI JOIN r b ON b.repo_id = a.repo_id AND b.fingerprint = a.fingerprint AND b.run = a.run + 1 WHERE a.run < 3")
+def stream_delta_runs(spark: S, sf: str) -> D:
+    """Three runs of each repository, each against the one before it."""
+    top = streams.own_folder(spark)
+    found = corpus.findings_of(streams.arriving(spark, f"{sf}/lineitem.parquet"))
+    runs = found.select("repo_id", "fingerprint", "seen", F.explode(F.lit([1, 2, 3])).alias("run")).where("seen != run").select("repo_id", F.col("run").cast("long").alias("run"), "fingerprint")
+    streams.delta_arriving(runs, top)
+    return streams.changes(spark, top)
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: S, sf: str) -> D:
     """Within a span longer than the events' own, so that a key comes once."""

@@ -53,9 +53,13 @@ FINDING_IDS = ["B6-eval:a", "B3-weak-hash:b", "K8S-root:c", "C2-header:d", "B1-a
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, id, module, severity, fingerprint, seen: a finding a line item; keys repeat, and so do fingerprints."""
+    return findings_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"))
+
+
+def findings_of(x: DataFrame) -> DataFrame:
+    """The findings of given line items."""
     from auditlake.operators.rules import MODULES
 
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     pick = lambda words, c: F.get(F.array(*map(F.lit, words)), (c % len(words)).cast("int"))
     return x.select(
         F.concat(F.lit("r"), (F.col("l_suppkey") % 25).cast("string")).alias("repo_id"), pick(FINDING_IDS, F.col("l_partkey")).alias("id"), pick(MODULES, F.col("l_partkey") + F.col("l_suppkey")).alias("module"),
@@ -132,10 +136,10 @@ app AS (SELECT concat(p_brand, '/', p_partkey % 60) AS repo_id,
 #: Files of which repositories are made: what stands before and behind the key in the path, and the content.
 ESTATE = [
     ("package.json", "", '{"dependencies": {"prisma": "5", "pino": "8", "@sentry/node": "7"}, "scripts": {"deploy": "prisma db push"}}'), ("package.json", "", '{"dependencies": {"typeorm": "0.3", "node-vault": "1"}, "scripts": {"save": "pg_dump app"}}'),
-    ("package.json", "", '{"devDependencies": {"left-pad": "1"}}'), ("package.json", "", '{"dependencies": {"drizzle-orm": "1", "klaro": "2"}}'), ("prisma/schema.prisma", "", "model User {\n  email String\n}"), ("prisma/schema.prisma", "", "model Item {\n  deletedAt DateTime\n}"),
-    ("prisma/migrations/m", "/migration.sql", "CREATE TABLE a (i INT);\nDROP TABLE b;\nALTER TABLE a DROP COLUMN c;"), ("prisma/migrations/m", "/migration.sql", "CREATE TABLE a (i INT);"), ("requirements.txt", "", "Django==4.2\nsentry-sdk"), ("manage.py", "", "import sys"),
-    ("shop/migrations/0", ".py", "migrations.RenameField('a', 'b')\nmigrations.RemoveField('c')"), ("shop/migrations/1", ".py", "migrations.RenameModel('a')"), ("shop/models.py", "", "class Person(models.Model):\n    email = EmailField()"), ("composer.json", "", '{"require": {"laravel/framework": "10"}}'), ("database/migrations/c", ".php", "Schema::dropIfExists('t');"),
-    ("app", ".csproj", '<PackageReference Include="Microsoft.EntityFrameworkCore" />'), ("Migrations/M", ".cs", "migrationBuilder.DropColumn(\n  name: x)"), ("go.mod", "", "module x\nrequire gorm.io/gorm v1"), ("migrations/g", ".up.sql", "TRUNCATE t;"), ("migrations/g", ".down.sql", "DROP TABLE t;"),
+    ("package.json", "", '{"devDependencies": {"left-pad": "1", "x-backup": "2"}}'), ("package.json", "", '{"dependencies": {"drizzle-orm": "1", "klaro": "2"}}'), ("prisma/schema.prisma", "", "model User {\n  email String\n}"), ("prisma/schema.prisma", "", "model Item {\n  deletedAt DateTime\n}\nshadowDatabaseUrl = 1"),
+    ("prisma/migrations/m", "/migration.sql", "CREATE TABLE a (i INT);\nDROP TABLE b;\nALTER TABLE a DROP COLUMN c;"), ("prisma/migrations/m", "/migration.sql", "CREATE TABLE a (i INT);"), ("requirements.txt", "", "Django==4.2\nsentry-sdk\n# hvac\nHVAC[fast]>=1"), ("pyproject.toml", "", "[tool.x]\nddtrace = '1'\nlist = [\n  'loguru>=1',\n]"), ("manage.py", "", "import sys"),
+    ("shop/migrations/0", ".py", "migrations.RenameField('a', 'b')\nmigrations.RemoveField('c')"), ("shop/migrations/1", ".py", "migrations.RenameModel('a')"), ("shop/models.py", "", "class Person(models.Model):\n    email = EmailField()"), ("composer.json", "", '{"require": {"laravel/framework": "10"}, "require-dev": {"Sentry/sentry-laravel": "4"}}'), ("database/migrations/c", ".php", "Schema::dropIfExists('t');"),
+    ("app", ".csproj", '<PackageReference Include="Microsoft.EntityFrameworkCore" /><PackageReference Include="Serilog.AspNetCore" />'), ("Migrations/M", ".cs", "migrationBuilder.DropColumn(\n  name: x)"), ("go.mod", "", "module x\nrequire gorm.io/gorm v1\nrequire (\n  go.opentelemetry.io/otel v1.2.0\n)"), ("migrations/g", ".up.sql", "TRUNCATE t;"), ("migrations/g", ".down.sql", "DROP TABLE t;"),
     ("Dockerfile", "", "FROM node:20"), ("docker-compose.yml", "", "services: {}"), ("wrangler.toml", "", "main = 'x'"), (".github/workflows/w", ".yml", "run: npm test"), (".github/workflows/d", ".yml", "run: deploy"), ("scripts/backup", ".sh", "tar"), ("scripts/restore", ".sh", "untar"), ("src/card", ".ts", "cvv: string\ncardNumber: string"), ("src/pan", ".ts", "card_number = 1"), ("src/f", ".ts", "x"),
 ]
 

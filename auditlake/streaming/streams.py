@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators import scan
 from auditlake.operators.rules import Rule
+from auditlake.sources.shared import durable, forget, shared_folder
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new folder for one stream's state and results."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives once all that is there has been read, as a table in the session's shared folder."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local-cluster") or not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = folder or tempfile.mkdtemp()  # one local process
-    top = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = own_folder(spark)
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/out")
@@ -32,6 +34,80 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
+def in_batches(stream: DataFrame, top: str, body: Callable[[DataFrame, int], None]) -> None:
+    """Run body(batch, number) over all that is there; a run that broke off goes on at the batch where it did.
+
+    ``body`` must be one that can be run again for the same number without other
+    results, as a batch whose commit was lost comes a second time.
+    """
+    query = stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def scan_arriving(files: DataFrame, rules: list[Rule], top: str) -> None:
+    """Findings of a stream of files (repo_id, path, version, content), caps and dedup as in a batch, written below ``top``.
+
+    A batch overwrites its own folder, so that running it again changes nothing.
+    What was seen is written too: a new version of a file takes the findings of
+    the one before it away, also if it has none itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = batch.select("repo_id", "path", "version")
+        known.write.mode("overwrite").parquet(f"{top}/seen/batch={number}")
+        w = Window.partitionBy("repo_id", "path").orderBy(F.desc("version"))
+        last = batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n") if batch.select("repo_id", "path").distinct().count() < known.count() else batch
+        found = scan.rule_scan(last.select("repo_id", "path", "content"), rules)
+        found.join(known.groupBy("repo_id", "path").agg(F.max("version").alias("version")), ["repo_id", "path"]).write.mode("overwrite").parquet(f"{top}/found/batch={number}")
+
+    in_batches(files, top, write)
+
+
+def scanned(spark: SparkSession, top: str) -> DataFrame:
+    """Findings of the last version of each file that scan_arriving() has seen."""
+    last = spark.read.parquet(f"{top}/seen").groupBy("repo_id", "path").agg(F.max("version").alias("version"))
+    return spark.read.parquet(f"{top}/found").drop("batch").distinct().join(last, ["repo_id", "path", "version"], "left_semi")
+
+
+def delta_arriving(runs: DataFrame, top: str) -> None:
+    """Changes of a stream of runs (repo_id, run, fingerprint; a null fingerprint says that the run was, whatever it found), written below ``top``.
+
+    A run is compared with the run of its repository before it: in the same
+    batch, or else the last one of an earlier batch.  What it has and the other
+    lacks is introduced (all of a first run), what both have is persisting, what
+    only the other has is fixed.  A run must come whole in one batch, and one
+    that is older than the last is left out.  The last run of each repository is
+    a table with a version a batch: a batch reads the version before its own and
+    writes its own over, so running it again changes nothing; older ones go.
+    """
+    spark, shape = runs.sparkSession, "repo_id string, run long, fingerprint string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        old = spark.read.schema(shape).parquet(f"{top}/last/version={number - 1}") if number else spark.createDataFrame([], shape)
+        heads = old.groupBy("repo_id").agg(F.max("run").alias("till"))
+        new = batch.select("repo_id", F.col("run").cast("long").alias("run"), "fingerprint").distinct().join(heads, "repo_id", "left").where("till IS NULL OR run > till").drop("till")
+        rows = durable(old.join(new.select("repo_id").distinct(), "repo_id", "left_semi").withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False))))
+        order = Window.partitionBy("repo_id").orderBy("run")  # runs of a repository in one batch, not their findings
+        chain = rows.select("repo_id", "run", "old").distinct().select("repo_id", "run", "old", F.lag("run").over(order).alias("before"), F.lead("run").over(order).alias("next"))
+        held = rows.where("fingerprint IS NOT NULL").drop("old").join(chain, ["repo_id", "run"])
+        had = held.select("repo_id", F.col("run").alias("before"), "fingerprint", F.lit(True).alias("had"))
+        has = held.select("repo_id", F.col("run").alias("next"), "fingerprint")
+        now = held.where("NOT old").join(had, ["repo_id", "before", "fingerprint"], "left").select("repo_id", "run", "fingerprint", F.when(F.col("had"), "persisting").otherwise("introduced").alias("change"))
+        gone = held.where("next IS NOT NULL").join(has, ["repo_id", "next", "fingerprint"], "left_anti").select("repo_id", F.col("next").alias("run"), "fingerprint", F.lit("fixed").alias("change"))
+        now.unionByName(gone).write.mode("overwrite").parquet(f"{top}/changes/batch={number}")
+        kept = old.join(new.select("repo_id").distinct(), "repo_id", "left_anti").unionByName(rows.drop("old").join(chain.where("next IS NULL").select("repo_id", "run"), ["repo_id", "run"], "left_semi"))
+        kept.write.mode("overwrite").parquet(f"{top}/last/version={number}")
+        if number > 1:
+            forget(spark, f"{top}/last/version={number - 2}")
+
+    in_batches(runs, top, write)
+
+
+def changes(spark: SparkSession, top: str) -> DataFrame:
+    """repo_id, run, fingerprint, change of all runs that delta_arriving() has seen."""
+    return spark.read.parquet(f"{top}/changes").drop("batch")
+
+
 def stream_scan(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """Hits of a rule set on a stream of lines: stateless, so every row is judged as it arrives (caps are left to the sink)."""
     return scan.described(scan.matches(lines, rules), rules).select("repo_id", "path", "line_no", "rule_id", "severity")
@@ -49,10 +125,10 @@ def stream_dedup(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
 
 
 def stream_rate_limit(log: DataFrame, seconds: int = 600, least: int = 5, late: str = "1 day") -> DataFrame:
-    """window_start, user_id, served of bursts with ``least`` answers of status 200 to 499 and no 429, given out once the watermark has passed."""
+    """window_start, url, served of bursts against one URL with ``least`` answers of status 200 to 499 and no 429, given out once the watermark has passed."""
     seen = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    burst = seen.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "user_id").agg(F.count_if(F.col("status").between(200, 499)).alias("served"), F.bool_or(F.col("status") == 429).alias("held"))
-    return burst.where(f"served >= {least} AND NOT held").select(F.col("w.start").alias("window_start"), "user_id", "served")
+    burst = seen.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "url").agg(F.count_if(F.col("status").between(200, 499)).alias("served"), F.bool_or(F.col("status") == 429).alias("held"))
+    return burst.where(f"served >= {least} AND NOT held").select(F.col("w.start").alias("window_start"), "url", "served")
 
 
 def stream_delta(now: DataFrame, before: DataFrame) -> DataFrame:

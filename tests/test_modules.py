@@ -34,7 +34,7 @@ def test_checks_of_modules(spark):
 def test_handlers(spark):
     code = dict((p, c) for _, p, c in FILES)["src/flow.js"]
     got = modules.segments(code)
-    assert [n for n, _, _ in got] == [1, 6] and got[0][1].count("{") == got[0][1].count("}") == 5 and got[1][1] == "{ return 1; }"
+    assert [n for n, *_ in got] == [1, 6] and got[0][1].count("{") == got[0][1].count("}") == 5 and got[1][1] == "{ return 1; }"
     assert modules.segments("app.get('/x', () => { never closed")[0][1].startswith("{ never")
     found = {(x["check"], x["line_no"]) for x in modules.flow_checks(modules.handler_stats(modules.handler_segments(_files(spark)))).collect() if x["path"] == "src/flow.js"}
     assert found == {("FLOW-1", 1), ("FLOW-3", 1)}
