@@ -234,6 +234,9 @@ def _mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, kept:
     ship(spark)
     with open(vocabulary, encoding="utf-8") as f:
         told = spark.sparkContext.broadcast(f.read())  # the vocabulary file, whose size is fixed
+    names = [x.split(" ")[0] for x in shape.split(", ")]
+    if clash := {k.lower() for k in kept} & set(names):
+        raise ValueError(f"a column to keep is called {sorted(clash)[0]}, as one that is made")
     rows = columns(docs, *kept, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +246,15 @@ def _mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, kept:
                 b = whole.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made(coder, b.column(b.num_columns - 1))], [*b.schema.names[:-1], *names])
 
-    names = [x.split(" ")[0] for x in shape.split(", ")]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{head}, {shape}")
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns in ``keep``, n_tokens and ids (array of int) of every whole text; null is an empty text, which has no ids."""
+    """id_col, the columns in ``keep``, n_tokens and ids (array of int) of every whole text; null is an empty text, which has no ids.
+
+    ValueError if ``keep`` names a column n_tokens or ids; other columns are not read.
+    """
 
     def made(coder: Coder, texts: pa.Array) -> list[pa.Array]:
         got = [np.array([i for part in coder.encode(x.as_py() or "") for w in part for i in w.split(",")], np.int32) for x in texts]
@@ -274,7 +279,10 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """id_col, the columns in ``keep``, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 
     A null text counts as empty: no tokens, both digests of nothing.  A special
-    token's string in a text is that token.  Repeated ids are rows like any other.
+    token's string in a text is that token.  Repeated ids are rows like any other,
+    and an empty table gives an empty result.  ValueError if ``keep`` names a
+    column that is made.  A task holds a text and its ids; the transducer itself
+    holds its lookahead, but a text without any blank is one piece to it.
     """
 
     def made(coder: Coder, texts: pa.Array) -> list[pa.Array]:

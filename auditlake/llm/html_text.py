@@ -40,26 +40,59 @@ _NAME = re.compile(r"[a-z]+")
 HASHES, PATH, WORD, HIDDEN, FIGURES = 4096, 16, 8, 16, 4
 
 
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
+class Page(HTMLParser):
+    """A page's leaf blocks, each with the node of its tag path: time and memory are linear in the page, however deep its tags are.
+
+    ``nodes`` lists (parent, own names) of every tag in the order they open, the
+    first being no tag at all; ``blocks`` lists (node, text, share in links).
+    """
+
+    def __init__(self, html: str | None) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[tuple[str, ...], str, float]] = []
+        self.nodes: list[tuple[int, tuple[str, ...]]] = [(0, ())]
+        self.blocks: list[tuple[int, str, float]] = []
+        self.open: list[tuple[str, int]] = []  # tag, node
+        self.places: dict[str, list[int]] = {"": [], "scope": [], "block": []}  # of each open tag, of those that end a search
         self.text: list[str] = []
         self.skip = self.linked = 0
+        self.feed(html or "")
+        self.close()
+        self._end()
+
+    def names(self, node: int) -> tuple[str, ...]:
+        """All names on the path to a node, from the outermost on."""
+        out: list[str] = []
+        while node:
+            node, own = self.nodes[node]
+            out[:0] = own
+        return tuple(out)
 
     def _end(self) -> None:
         words = "".join(self.text).split()
         if words:
             text = " ".join(words)
-            names = tuple(n for _, own in self.open for n in own)
-            self.blocks.append((names, text, min(1.0, self.linked / len(text))))
+            self.blocks.append((self.open[-1][1] if self.open else 0, text, min(1.0, self.linked / len(text))))
         self.text, self.linked = [], 0
 
+    def _last(self, *tags: str) -> int:
+        """The innermost open place of any of these, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _push(self, tag: str, own: tuple[str, ...]) -> None:
+        self.nodes.append((self.open[-1][1] if self.open else 0, own))
+        for kind, here in ((f"<{tag}", True), ("scope", tag in _SCOPE), ("block", tag in _BLOCK)):
+            if here:
+                self.places.setdefault(kind, []).append(len(self.open))
+        self.open.append((tag, len(self.nodes) - 1))
+        self.skip += tag in _SKIP
+
     def _pop(self, to: int) -> None:
-        for tag, _ in self.open[to:]:
+        while len(self.open) > to:
+            tag, _ = self.open.pop()
+            for kind, here in ((f"<{tag}", True), ("scope", tag in _SCOPE), ("block", tag in _BLOCK)):
+                if here:
+                    self.places[kind].pop()
             self.skip -= tag in _SKIP
-        del self.open[to:]
 
     def _end_head(self) -> None:
         for i, (tag, _) in enumerate(self.open[:3]):
@@ -77,45 +110,35 @@ class _Reader(HTMLParser):
             return
         if tag in _BLOCK:
             self._end()
-            for i in range(len(self.open) - 1, -1, -1):  # an open paragraph ends where a block begins
-                if self.open[i][0] == "p" or self.open[i][0] in _CLOSES.get(tag, ()):
-                    self._pop(i)
-                    break
-                if self.open[i][0] in _SCOPE:
-                    break
+            at = self._last("<p", *(f"<{t}" for t in _CLOSES.get(tag, ())))  # an open paragraph ends where a block begins
+            if at > self._last("scope"):
+                self._pop(at)
         own = [f"<{tag}"]
         for key, value in attrs:
             if value and key in ("class", "id", "role"):
                 own += [f".{x}" for x in _NAME.findall(value.lower())]
-        self.open.append((tag, tuple(own)))
-        self.skip += tag in _SKIP
+        self._push(tag, tuple(own))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
             self._end()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._pop(i)
-                break
-            if tag not in _BLOCK and self.open[i][0] in _BLOCK:
-                break
+        at = self._last(f"<{tag}")
+        if at >= 0 and (tag in _BLOCK or at > self._last("block")):
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and data.strip():
             self._end_head()
         if not self.skip:
             self.text.append(data)
-            if any(t == "a" for t, _ in self.open):
+            if self.places.get("<a"):
                 self.linked += len(data)
 
 
 def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """Leaf blocks in page order: names of the tag path, text with single blanks, share of it in links."""
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    reader._end()
-    return reader.blocks
+    """Leaf blocks in page order: names of the tag path, text with single blanks, share of it in links.  For training: paths are written out."""
+    page = Page(html)
+    return [(page.names(node), text, linked) for node, text, linked in page.blocks]
 
 
 _SEEN: dict[str, int] = {}
@@ -130,32 +153,51 @@ def _hash(name: str) -> int:
 
 
 class Bags:
-    """Hashed names and words of a list of pages' blocks, ready for sums by block, and the figures."""
+    """Hashed names and words of a list of pages' blocks, ready for sums by block, and the figures.
+
+    Pages are lists of blocks() with their paths written out, or Page objects,
+    whose nodes are summed along the tree once.
+    """
 
-    def __init__(self, pages: list[list[tuple[tuple[str, ...], str, float]]]) -> None:
+    def __init__(self, pages: list[Page] | list[list[tuple[tuple[str, ...], str, float]]]) -> None:
         path, word, self.n_path, self.n_word, figures = [], [], [], [], []
+        self.parent: list[int] = []  # of nodes of all pages, one behind the other
+        self.node: list[int] = []  # of blocks
         for page in pages:
-            for k, (names, text, linked) in enumerate(page):
+            own, first = (page.blocks if isinstance(page, Page) else page), len(self.parent)
+            if isinstance(page, Page):
+                for up, names in page.nodes:
+                    self.parent.append(first + up)
+                    path += [_hash(n) for n in names]
+                    self.n_path.append(len(names))
+            for k, (where, text, linked) in enumerate(own):
                 words = text.lower().split(" ")
-                path += [_hash(n) for n in names]
+                if isinstance(page, Page):
+                    self.node.append(first + where)
+                else:
+                    path += [_hash(n) for n in where]
+                    self.n_path.append(len(where))
                 word += [_hash(w) for w in words]
-                self.n_path.append(len(names))
                 self.n_word.append(len(words))
-                figures.append((np.log1p(len(text)) / 5, linked, k / len(page), min(len(words), 50) / 50))
+                figures.append((np.log1p(len(text)) / 5, linked, k / len(own), min(len(words), 50) / 50))
         self.path, self.word = np.array(path, np.int64), np.array(word, np.int64)
         self.figures = np.array(figures, np.float32).reshape(-1, FIGURES)
         self.at_path, self.at_word = np.repeat(np.arange(len(self.n_path)), self.n_path), np.repeat(np.arange(len(self.n_word)), self.n_word)
         self.share = 1 / np.maximum(1, np.array(self.n_word, np.float32))
-        self.lengths = [len(p) for p in pages]
+        self.lengths = [len(p.blocks) if isinstance(p, Page) else len(p) for p in pages]
 
     def vectors(self, net: dict[str, np.ndarray]) -> np.ndarray:
-        n = len(self.figures)
-        p, w = np.zeros((n, PATH), np.float32), np.zeros((n, WORD), np.float32)
+        p, w = np.zeros((len(self.n_path), PATH), np.float32), np.zeros((len(self.figures), WORD), np.float32)
         for out, table, ids, sizes in ((p, net["path"], self.path, self.n_path), (w, net["word"], self.word, self.n_word)):
             size = np.array(sizes, np.int64)
             some = np.flatnonzero(size)
             if len(some):
                 out[some] = np.add.reduceat(table[ids], (np.cumsum(size) - size)[some])
+        if self.parent:
+            for k, up in enumerate(self.parent):  # parents come first
+                if up != k:
+                    p[k] += p[up]
+            p = p[self.node]
         return np.concatenate([p, w * self.share[:, None], self.figures], 1)
 
     def padded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +212,7 @@ class Bags:
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(-np.minimum(np.maximum(x, -30), 30)))
 
 
 def one_way(x: np.ndarray, there: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -178,16 +220,21 @@ def one_way(x: np.ndarray, there: np.ndarray, w: np.ndarray, u: np.ndarray, b: n
     steps, pages, _ = x.shape
     h = c = np.zeros((pages, HIDDEN), np.float32)
     fed, out = x @ w + b, np.empty((steps, pages, HIDDEN), np.float32)
+    whole = bool(there.all())  # a page by itself has all of its steps
     for t in range(steps):
         z = fed[t] + h @ u
-        i, f, o = (_squash(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+        s = _squash(z[:, : 3 * HIDDEN])
+        i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
         g = np.tanh(z[:, 3 * HIDDEN :])
         c1 = f * c + i * g
         tc = np.tanh(c1)
         m = there[t]
         if keep is not None:
             keep.append((h, c, i, f, o, g, tc, m))
-        h, c = m * (o * tc) + (1 - m) * h, m * c1 + (1 - m) * c
+        if whole:
+            h, c = o * tc, c1
+        else:
+            h, c = m * (o * tc) + (1 - m) * h, m * c1 + (1 - m) * c
         out[t] = h
     return out
 
@@ -211,18 +258,18 @@ def load() -> dict[str, np.ndarray]:
 
 def extract(pages: list[str | None], net: dict[str, np.ndarray]) -> list[str]:
     """Main text of each page: its blocks that the labeller takes, joined by a line feed."""
-    cut = [blocks(p) for p in pages]
+    cut = [Page(p) for p in pages]
     out = [""] * len(pages)
-    order = sorted(range(len(pages)), key=lambda i: len(cut[i]))
+    order = sorted(range(len(pages)), key=lambda i: len(cut[i].blocks))
     while order:  # pages of like length together, about 4096 steps at once
         n = 1
-        while n < len(order) and n < 64 and (n + 1) * len(cut[order[n]]) <= 4096:
+        while n < len(order) and n < 64 and (n + 1) * len(cut[order[n]].blocks) <= 4096:
             n += 1
         own, order = order[:n], order[n:]
         p, at = scores(Bags([cut[i] for i in own]), net), 0
         for i in own:
-            out[i] = "\n".join(b[1] for b, y in zip(cut[i], p[at : at + len(cut[i])]) if y > 0.5)
-            at += len(cut[i])
+            out[i] = "\n".join(b[1] for b, y in zip(cut[i].blocks, p[at : at + len(cut[i].blocks)]) if y > 0.5)
+            at += len(cut[i].blocks)
     return out
 
 
@@ -230,7 +277,8 @@ def html_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
     """The columns in ``keep``, text and n_chars of every row; null html is empty, and so is a page without main text.
 
     Rows that repeat a page have one result each; an empty table gives an empty
-    one.  A page of any length is read as a whole, in one task.  ``keep`` may not
+    one.  A page of any length and any depth of tags is read as a whole, in one
+    task, in time and memory linear in its length.  ``keep`` may not
     hold a column called text or n_chars; other columns are not read.
     """
     if {"text", "n_chars"} & set(keep):

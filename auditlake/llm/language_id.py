@@ -65,19 +65,22 @@ def ranked(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, profile: int = PROFILE, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Profiles by language.  ``sample`` texts a language at most are counted, chosen by a hash of the id; counts are summed by Spark."""
+    """Profiles by language.  ``sample`` texts a language at most are counted, chosen by a hash of id and text; counts are summed by Spark.
+
+    Rows that repeat both are one text, so that they don't widen the sample.
+    """
     spark = labelled.sparkSession
     ship(spark)
     rows = columns(labelled, id_col, text_col, lang_col).toDF("id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     # two steps, so that a language that has most rows is not ranked in one task
-    rows = rows.withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    rows = rows.withColumn("h", F.xxhash64(F.col("id").cast("string"), "text"))
     light = rows.select("lang", "h").groupBy("lang").agg(F.count("*").alias("n"))
     size = light.withColumn("most", F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n")))
     near = rows.join(F.broadcast(size.select("lang", "most")), "lang").where((F.col("most") >= 1) | (F.col("h").cast("double") < F.lit(-(2.0**63)) + F.col("most") * 2.0**64))
     from pyspark.sql import Window
 
     pick = near.select("lang", "id", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample).select("lang", "id", "h")
-    chosen = near.join(F.broadcast(pick.distinct()), ["lang", "id", "h"]).select("lang", "text")
+    chosen = near.join(F.broadcast(pick.select("lang", "h").distinct()), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,8 +130,12 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """id_col, the columns in ``keep``, lang_pred, score for every row, from the whole text alone.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was
-    learned.  Repeated and null ids are rows like any other.
+    learned.  Repeated and null ids are rows like any other, an empty table gives
+    an empty result, and a text of any length is counted as a whole in one task.
+    ValueError if ``keep`` names a column lang_pred or score.
     """
+    if clash := {k.lower() for k in (id_col, *keep)} & {"lang_pred", "score"}:
+        raise ValueError(f"a column to keep is called {sorted(clash)[0]}, as one that is made")
     spark = docs.sparkSession
     ship(spark)
     told = spark.sparkContext.broadcast((model.names, model.keys, model.place, model.size))  # languages x profile numbers
