@@ -22,16 +22,24 @@ _LAST = (1 << 63) - 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter or far from every profile go."""
-    text = free("text__", docs)
-    found = language_id.language_id(docs.withColumn(text, F.col("text")), language_id.fit(docs), text_col=text, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in one of the learned languages; those without a letter or far from every profile go.
+
+    A row goes along as one value, so that its columns may have any names.
+    """
+    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    found = language_id.language_id(rows, language_id.fit(docs), keep=("row",))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; documents of which nothing is left go."""
-    out = line_dedup.line_dedup(docs, words=LINE_WORDS)
-    return out.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without later repeated runs of lines; documents of which nothing is left go.
+
+    Columns of documents that have a name that the operator makes go by another meanwhile.
+    """
+    other = {c: free(f"{c}__", docs) for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    out = line_dedup.line_dedup(docs.withColumnsRenamed(other), words=LINE_WORDS)
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).drop("n_lines", "n_removed").withColumnsRenamed({b: a for a, b in other.items()})
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
