@@ -58,7 +58,7 @@ def _scattered(docs: DataFrame, key: Column, size: Column, shard: Column | None,
         each = -(-buckets // shards)
         bucket, buckets = F.col("home") * each + F.pmod("h", F.lit(each)), each * shards
     rows = rows.withColumn("bucket", bucket.cast("int"))
-    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "h")
+    dealt = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "h")  # a bucket a partition
     held = dealt.groupBy("bucket").agg(F.collect_list(F.struct("record", "size", "home")).alias("held"))
     mixed = held.select("bucket", F.posexplode(F.shuffle("held", seed)).alias("at", "r"))
     return stored(mixed.select("bucket", F.col("at").cast("long").alias("at"), "r.record", "r.size", "r.home"))
