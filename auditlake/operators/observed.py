@@ -18,7 +18,7 @@ HEADERS = [("strict-transport-security", "P1"), ("content-security-policy", "P1"
 ADMIN_PATHS = ["/admin", "/administrator", "/wp-admin", "/manager/html", "/.git/"]
 LOGIN, ADMIN, SESSION = "password|şifre|sign in|giriş yap|login", "dashboard|admin|yönetim|console|manager", r"(?i)(sess|sid|token|auth|jwt)"
 WEAK_PROTOCOLS = ["TLSv1", "TLSv1.1", "SSLv3", "SSLv2"]
-PORTS = [(22, "SSH", "P2"), (3389, "RDP", "P1"), (3306, "MySQL", "P1"), (5432, "PostgreSQL", "P1"), (6379, "Redis", "P0"), (27017, "MongoDB", "P0"), (9200, "Elasticsearch", "P0"), (5984, "CouchDB", "P1"), (11211, "Memcached", "P1"), (2375, "Docker API", "P0")]
+PORTS = [(22, "SSH", "P2"), (3389, "RDP", "P1"), (3306, "MySQL", "P1"), (5432, "PostgreSQL", "P1"), (6379, "Redis", "P0"), (27017, "MongoDB", "P0"), (9200, "Elasticsearch", "P0"), (5984, "CouchDB", "P1"), (11211, "Memcached", "P1"), (2375, "Docker API (TLS yok)", "P0")]
 
 
 def exposed_files(responses: DataFrame) -> DataFrame:

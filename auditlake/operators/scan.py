@@ -118,14 +118,14 @@ def cloud_scan(files: DataFrame) -> DataFrame:
     return rule_scan(iac_files(files), r.CLOUD, width=160, masks=1)
 
 
-def card_data_scan(of: DataFrame, limit: int = 50) -> DataFrame:
-    """repo_id, path, line_no, kind of lines that name a card's code or number; whole lines until ``limit`` hits of a repository are reached."""
+def card_data_scan(of: DataFrame, limit: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """repo_id, path, line_no, kind (and the columns in ``keep``) of lines that name a card's code or number; whole lines until ``limit`` hits of a repository are reached."""
     kept = of.where(F.col("path").rlike(r.CODE_OR_SCHEMA) & ~F.col("path").rlike(r.CARD_SKIP))
     kinds = F.filter(F.array(F.when(F.col("line").rlike(r.CVV), "cvv"), F.when(F.col("line").rlike(r.PAN), "pan")), lambda x: x.isNotNull())
-    held = kept.select("repo_id", "path", "line_no", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    held = kept.select("repo_id", "path", "line_no", *keep, kinds.alias("kinds")).where(F.size("kinds") > 0)
     before = Window.partitionBy("repo_id").orderBy("path", "line_no").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("n", F.coalesce(F.sum(F.size("kinds")).over(before), F.lit(0))).where(F.col("n") < limit)
-    return held.select("repo_id", "path", "line_no", F.explode("kinds").alias("kind"))
+    return held.select("repo_id", "path", "line_no", *keep, F.explode("kinds").alias("kind"))
 
 
 def local_webhooks(of: DataFrame) -> DataFrame:
