@@ -12,6 +12,9 @@ their ancestors and joined by path.  DataFrame functions only.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +75,14 @@ TITLES = [
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
+#: Whole texts of long licences, in the folder licenses (public documents, verbatim).
+WHOLE = [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]
+
+
+def whole_text(name: str) -> str:
+    return pkgutil.get_data(__package__, f"licenses/{name}.txt").decode("utf-8")
+
+
 #: Identifiers of which there is a line "SPDX-License-Identifier: ..." (fixed values).
 SPDX = "MIT Apache-2.0 GPL-2.0 GPL-3.0 LGPL-3.0 AGPL-3.0 MPL-2.0 BSD-2-Clause BSD-3-Clause ISC CC0-1.0 CC-BY-4.0 CC-BY-NC-4.0 Unlicense".split()
 #: Short notices by licence (fixed values; more than one wording each), and the above.
@@ -90,6 +101,7 @@ TEMPLATES = [
     *TEXTS,
     *TITLES,
     *((x, f"SPDX-License-Identifier: {x}") for x in SPDX),
+    *((x, whole_text(name)) for x, name in WHOLE),
 ]
 #: What a line must hold to be a header.
 SPEAKS = "licen[cs]e|copyright|rights reserved|spdx"
@@ -102,15 +114,15 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
 
-def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, all_words: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
     """path, license, via ('header', 'file' or 'inherited'), score, and the columns in ``keep``, for every row; license, via and score are null if there is none.
 
     The best template wins, ties to the first licence by name; so does the best
     unit of a file.  Rows with a null path or text have no licence of their own
     (a null path inherits none); rows that repeat a path are one file, whose
-    units are all scored, and each has its row.  Texts are taken whole; an empty
-    table gives an empty result.  Without ``all_words``, words that no template has
-    weigh as if no file had them, as OP5_SQL has it.
+    units are all scored, and each has its row.  Texts are taken whole, and every
+    word weighs by the number of files that hold it; an empty table gives an empty
+    result.
     """
     spark = files.sparkSession
     kept = [f"keep_{i}" for i in range(len(keep))]
@@ -119,8 +131,6 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     where = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("")
     listed = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(templates)], "template int, license string, notice string")
     told = listed.select("template", "license", F.explode(_words(F.col("notice"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
-    vocabulary = sorted({w for _, t in templates for w in _simple(t)})
-
     is_file = name.rlike(FILES)
     speaking = rows.where(F.col("path").isNotNull() & (F.lower("text").rlike(SPEAKS) | is_file)).withColumn("is_file", is_file)
     at = F.split("text", "\n", -1)
@@ -133,20 +143,17 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     words = units.select("key", F.explode(_words(F.col("unit"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
 
     # in how many files a word of a template or a unit stands, over all rows and whole texts
-    near = F.array(*map(F.lit, vocabulary))
-    stands = _words(F.coalesce("text", F.lit("")))
-    held = rows.select(F.explode(F.array_distinct(stands) if all_words else F.array_intersect(stands, near)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    if all_words:
-        held = held.join(words.select("word").unionByName(told.select("word")).distinct(), "word", "left_semi")
+    held = rows.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    held = held.join(words.select("word").unionByName(told.select("word")).distinct(), "word", "left_semi")
     total = rows.count()
     held = durable(held)
     weight = lambda df: F.log((1.0 + total) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0
 
-    told = told.join(held if all_words else F.broadcast(held), "word", "left").withColumn("w", F.col("tf") * weight(F.col("df")))  # the templates' words
+    told = told.join(held, "word", "left").withColumn("w", F.col("tf") * weight(F.col("df")))  # the templates' words
     length = told.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     told = told.join(length, "template").select("template", "license", "word", (F.col("w") / F.col("norm")).alias("y"))
 
-    words = words.join(held if all_words else F.broadcast(held), "word", "left").withColumn("x", F.col("tf") * weight(F.col("df")))
+    words = words.join(held, "word", "left").withColumn("x", F.col("tf") * weight(F.col("df")))
     norm = words.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = words.join(F.broadcast(told), "word").groupBy("key", "template", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     found = dot.join(norm, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
@@ -172,8 +179,6 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
 
 
 def _simple(text: str) -> list[str]:
-    import re
-
     return re.findall(WORD, text.lower())
 
 
@@ -183,7 +188,7 @@ PATH_SQL = "concat('d', CAST(floor(doc_id / 10000) AS INT), '/', CASE WHEN doc_i
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(PATH_SQL).alias("path"), "text")
-    return license_scan(docs, all_words=False, keep=("doc_id",)).select("doc_id", "path", "license", "via", "score")
+    return license_scan(docs, keep=("doc_id",)).select("doc_id", "path", "license", "via", "score")
 
 
 _LISTED = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(TEMPLATES))
@@ -193,7 +198,7 @@ listed(template, license, notice) AS (VALUES {_LISTED}),
 tw AS (SELECT template, license, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS word FROM listed),
 tf AS (SELECT template, license, word, count(*) AS tf FROM tw GROUP BY ALL),
 dw AS (SELECT DISTINCT path, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM doc),
-df AS (SELECT word, count(*) AS df FROM dw WHERE word IN (SELECT word FROM tf) GROUP BY word),
+df AS (SELECT word, count(*) AS df FROM dw GROUP BY word),
 idf AS (SELECT word, ln((1.0 + (SELECT count(*) FROM doc)) / (1.0 + df)) + 1.0 AS w FROM df),
 rare AS (SELECT ln(1.0 + (SELECT count(*) FROM doc)) + 1.0 AS w),
 tx AS (SELECT template, license, word, tf * coalesce(i.w, (SELECT w FROM rare)) AS x FROM tf LEFT JOIN idf i USING (word)),

@@ -362,6 +362,16 @@ def test_license_scan_of_real_notices_and_repeats(spark):
     assert [got[i][0] for i in range(13)] == want and got[1][1] == got[3][1] == got[7][1] == "inherited"
 
 
+def test_license_scan_of_whole_licences(spark):
+    known = dict(license_scan.WHOLE)
+    rows = [(f"{x}/LICENSE", "Project of ours\n\n" + license_scan.whole_text(name)) for x, name in known.items()]
+    rows += [(f"{x}/src/a.c", "int main() {}") for x in known] + [("prose/LICENSE.txt", "the cat and the dog of the house " * 400), ("half/COPYING", license_scan.whole_text("GPL-3")[:20000])]
+    got = {x["path"]: (x["license"], x["via"], x["score"]) for x in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for x in known:
+        assert got[f"{x}/LICENSE"][0] == got[f"{x}/src/a.c"][0] == x and got[f"{x}/src/a.c"][1] == "inherited"
+    assert got["prose/LICENSE.txt"][0] is None and got["half/COPYING"][0] == "GPL-3.0"
+
+
 def test_license_scan_counts_every_word(spark):
     rows = [("a/x.txt", "Released as is under the MIT License."), ("b/y.txt", "All rights reserved and with that.")] + [(f"c/{i}.txt", "as is and with that") for i in range(300)]
     d = spark.createDataFrame(rows, "path string, text string")
