@@ -137,9 +137,11 @@ def high_entropy_secret(line: Column) -> Column:
 
 def strip_comments(x: Column, hashes: bool = True) -> Column:
     """Block comments become a blank; // (not behind a colon) and, if ``hashes``, # behind white space go to the end of the line."""
-    x = F.regexp_replace(x, r"/\*[\s\S]*?\*/", " ")
-    x = F.regexp_replace(x, r"(^|[^:])//[^\n]*", "$1")
-    return F.regexp_replace(x, r"(^|\s)#[^\n]*", "$1") if hashes else x
+    # each step is tried only where the text holds what it begins with
+    steps = [("/*", r"/\*[\s\S]*?\*/", " "), ("//", r"(^|[^:])//[^\n]*", "$1"), *([("#", r"(^|\s)#[^\n]*", "$1")] if hashes else [])]
+    for sign, pattern, to in steps:
+        x = _where(x, lambda v, s=sign: F.contains(v, F.lit(s)), lambda v, p=pattern, to=to: F.regexp_replace(v, p, to))
+    return x
 
 
 def normalize_ws(x: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from auditlake.functions import text as t
+from auditlake.functions.patterns import has
 from auditlake.operators.module_rules import AI_KEY_TITLES, CHECKS, CLIENT_CODE, CLIENT_FILE, CLIENT_PATH, FLAGS, LIMIT, MANIFEST, MODULES, NO_ANCHOR, PATTERNS, PAY_KEY, PAY_KEY_CLIENT, PAY_KEY_TEST, Check
 from auditlake.sources.shared import durable
 
@@ -29,29 +30,41 @@ def _all(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
-def _has(x: Column, name: str) -> Column:
-    return x.rlike(PATTERNS[name])
+def _has(x: Column, name: str, low: Column | None = None) -> Column:
+    """Whether a text has a pattern; whole texts come with themselves in lower case, so that strings are looked for first."""
+    return x.rlike(PATTERNS[name]) if low is None else has(x, low, PATTERNS[name])
+
+
+#: Columns of whole texts, with and without comments, and of these in lower case.
+def _texts(bare: bool) -> tuple[Column, Column]:
+    return (F.col("bare"), F.col("low_bare")) if bare else (F.col("content"), F.col("low"))
+
+
+def _whole(name: str, bare: bool = False) -> Column:
+    text, low = _texts(bare)
+    return _has(text, name, low)
 
 
 def marked(files: DataFrame) -> DataFrame:
     """files with bare (content without comments) and, by module, in_M (a candidate) and on_M (code with the module's surface)."""
     out = files.where(F.length("content") <= LIMIT).withColumn("bare", t.strip_comments(F.col("content")))
+    out = out.withColumn("low", F.lower("content")).withColumn("low_bare", F.lower("bare"))
     for name, m in MODULES.items():
         path = F.col("path")
         code = path.rlike(m.code) & ~path.rlike(m.skip)
         wide = (path.rlike(m.code) | path.rlike(m.more)) & ~path.rlike(m.skip) if m.more else code
-        surface = _any([_has(F.col("content"), s) for s in m.surface]) if m.surface else F.lit(True)
+        surface = _any([_whole(s) for s in m.surface]) if m.surface else F.lit(True)
         out = out.withColumn(f"in_{name}", wide).withColumn(f"on_{name}", code & surface)
     return out
 
 
 def _flag_columns() -> dict[str, Column]:
     """Per file, on marked(): what makes each flag of its repository true."""
-    got = {n: F.col(f"{'on' if own else 'in'}_{m}") & _has(F.col("bare" if bare else "content"), p) for n, (m, p, bare, own) in FLAGS.items()}
+    got = {n: F.col(f"{'on' if own else 'in'}_{m}") & _whole(p, bare) for n, (m, p, bare, own) in FLAGS.items()}
     got |= {f"uses_{n}": F.col(f"on_{n}") for n, m in MODULES.items() if not m.uses}
     got["uses_PRIV"] = got["priv_pii"]
-    got["uses_AI"] = (F.col("in_AI") | (F.col("path") == "package.json")) & _has(F.col("content"), "AI_SDK")
-    got["uses_PAY"] = F.col("on_PAY") | (F.col("path").rlike(MANIFEST) & _has(F.col("content"), "PAY_DEP"))
+    got["uses_AI"] = (F.col("in_AI") | (F.col("path") == "package.json")) & _whole("AI_SDK")
+    got["uses_PAY"] = F.col("on_PAY") | (F.col("path").rlike(MANIFEST) & _whole("PAY_DEP"))
     return got
 
 
@@ -63,7 +76,7 @@ def module_flags(files: DataFrame) -> DataFrame:
 
 #: Files at which a repository's findings stand: code with the module's surface (for AI, and as said of PRIV, any that names its data).
 def _anchors() -> dict[str, Column]:
-    return {m: F.col("on_PRIV") & _has(F.col("bare"), "PII") if m == "PRIV" else F.col(f"on_{m}") for m in MODULES if any(c.module == m and c.level == "repo" for c in CHECKS)}
+    return {m: F.col("on_PRIV") & _whole("PII", True) if m == "PRIV" else F.col(f"on_{m}") for m in MODULES if any(c.module == m and c.level == "repo" for c in CHECKS)}
 
 
 def looked_at(files: DataFrame) -> DataFrame:
@@ -101,14 +114,14 @@ def repo_checks(flags: DataFrame, anchors: bool = False) -> DataFrame:
     return flags.select("repo_id", F.explode(found).alias("f")).select("repo_id", "f.*")
 
 
-def _holds(check: Check, when: tuple[str, ...], here: Column, both: Column | None, whole: dict[bool, Column] | None = None) -> Column:
-    """Whether a place meets what a check asks of it; flags of the repository are joined later."""
+def _holds(when: tuple[str, ...], here: Column | None) -> Column:
+    """Whether a line (with the next one, and both in lower case), or a whole file (``here`` is null), meets what a check asks of it; flags of the repository are joined later."""
     parts = []
     for name in when:
         scope, _, word = name.removeprefix("!").rpartition(":")
         if scope == "repo":
             continue
-        is_ = _has(whole[MODULES[check.module].bare], word) if scope == "file" else _has(both if scope == "two" else here, word)
+        is_ = _whole(word) if here is None else _has(here["two"], word, here["low_two"]) if scope == "two" else _has(here["line"], word, here["low"])
         parts.append(~is_ if name.startswith("!") else is_)
     return _all(parts)
 
@@ -121,7 +134,6 @@ def _hits() -> Column:
     that the line itself must have.  Lines are split once, and each is seen with
     the next one by a shifted copy of the array: time is linear in the text.
     """
-    whole = {False: F.col("content"), True: F.col("bare")}
     none = F.lit(None).cast("string")
 
     def first(name: str) -> Column:
@@ -129,17 +141,17 @@ def _hits() -> Column:
         return F.get(found, F.lit(0)).cast("int")
 
     def of_file(i: int, c: Check) -> Column:
-        ok = F.col(f"on_{c.module}") & _any([_holds(c, w, F.col("content"), None) for w in c.when])
+        ok = F.col(f"on_{c.module}") & _any([_holds(w, None) for w in c.when])
         return F.when(ok, F.struct(F.lit(i).alias("n"), (first(c.at) if c.at else F.lit(None).cast("int")).alias("line_no"), none.alias("line")))
 
     def may(c: Check, w: tuple[str, ...]) -> Column:
-        text, parts = whole[MODULES[c.module].bare], [F.lit(True)]
+        bare, parts = MODULES[c.module].bare, [F.lit(True)]
         for name in w:
             scope, _, word = name.removeprefix("!").rpartition(":")
             if scope == "file":
-                parts.append(~_has(text, word) if name.startswith("!") else _has(text, word))
+                parts.append(~_whole(word, bare) if name.startswith("!") else _whole(word, bare))
             elif not scope and not name.startswith("!"):
-                parts.append(text.rlike(f"(?m){PATTERNS[word]}"))
+                parts.append(has(*_texts(bare), PATTERNS[word], "(?m)"))
         return _all(parts)
 
     def of_lines(bare: bool) -> Column:
@@ -151,16 +163,17 @@ def _hits() -> Column:
 
         def tried(lines: Column, bits: Column) -> Column:
             two = F.zip_with(lines, F.slice(lines, 2, F.size(lines)), lambda a, b: F.struct(a.alias("line"), F.concat(a, F.lit(" "), F.coalesce(b, F.lit(""))).alias("two")))
+            two = F.transform(two, lambda v: F.struct(v["line"].alias("line"), v["two"].alias("two"), F.lower(v["line"]).alias("low"), F.lower(v["two"]).alias("low_two")))
 
             def at(v: Column, i: Column) -> Column:
-                open_ = lambda n, c, w: (bits.bitwiseAND(F.lit(bit[n, w]).cast("long")) != 0) & _holds(c, local[w], v["line"], v["two"])
+                open_ = lambda n, c, w: (bits.bitwiseAND(F.lit(bit[n, w]).cast("long")) != 0) & _holds(local[w], v)
                 met = F.filter(F.array(*(F.when(_any([open_(n, c, w) for w in c.when]), F.lit(n)) for n, c in own)), lambda x: x.isNotNull())
                 return F.transform(met, lambda n: F.struct(n.alias("n"), (i + 1).alias("line_no"), v["line"].alias("line")))
 
             return F.flatten(F.filter(F.transform(two, at), lambda x: F.size(x) > 0))
 
         # the text's lines and bits are bound once, or each line would split the text again
-        bound = F.transform(F.array(F.struct(F.split(whole[bare], "\r?\n", -1).alias("lines"), bits.alias("bits"))), lambda b: F.when(b["bits"] != 0, tried(b["lines"], b["bits"])))
+        bound = F.transform(F.array(F.struct(F.split(_texts(bare)[0], "\r?\n", -1).alias("lines"), bits.alias("bits"))), lambda b: F.when(b["bits"] != 0, tried(b["lines"], b["bits"])))
         return F.coalesce(F.get(bound, F.lit(0)), F.array().cast("array<struct<n:int,line_no:int,line:string>>"))
 
     files = F.filter(F.array(*(of_file(i, c) for i, c in enumerate(CHECKS) if c.level == "file")), lambda v: v.isNotNull())

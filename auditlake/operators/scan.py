@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as t
+from auditlake.functions.patterns import has
 from auditlake.operators import rules as r
 from auditlake.operators.rules import Rule
 
@@ -46,12 +47,13 @@ def matches(of: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def file_matches(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """As matches() of the lines of files, but a rule is tried on lines only if its gates pass and the whole text has a match.
+    """As matches() of the lines of files, but a rule is tried on lines only if its gates pass, the whole text holds a string that
+    its matches need, and has a match.
 
     Patterns hold for a line by itself and have no lookarounds; so what matches in
-    a line matches in the text if ^ and $ stand for any line's ends.  A file is
-    tried once a rule, most files have few rules left or none, and only these go
-    on as lines, with the rules as bits of a number.
+    a line matches in the text if ^ and $ stand for any line's ends.  Most files
+    have few rules left or none, and only these go on as lines, with the rules as
+    bits of a number.
     """
     if len(rules) > 62:
         raise ValueError("at most 62 rules at once")
@@ -59,14 +61,15 @@ def file_matches(files: DataFrame, rules: list[Rule]) -> DataFrame:
     def open_(i: int, rule: Rule) -> Column:
         ok = F.col("path").rlike(rule.include) if rule.include else F.lit(True)
         ok = ok & ~F.col("path").rlike(rule.exclude) if rule.exclude else ok
-        return F.when(ok & F.col("content").rlike(f"(?m){rule.pattern}"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.when(ok & has(F.col("content"), F.col("low"), rule.pattern, "(?m)"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
 
     bits = reduce(lambda a, b: a.bitwiseOR(b), (open_(i, x) for i, x in enumerate(rules)))
-    kept = files.select("repo_id", "path", "content", bits.alias("bits")).where("bits != 0")
-    held = kept.select("repo_id", "path", "bits", F.posexplode(F.split("content", "\r?\n", -1)).alias("pos", "line"))
+    # no filter on the bits: it would be pushed below them, and all rules tried twice; an array that is null gives no rows
+    kept = files.select("repo_id", "path", "content", F.lower("content").alias("low")).select("repo_id", "path", "content", bits.alias("bits"))
+    held = kept.select("repo_id", "path", "bits", F.posexplode(F.when(F.col("bits") != 0, F.split("content", "\r?\n", -1))).alias("pos", "line")).withColumn("low", F.lower("line"))
 
     def hit(i: int, rule: Rule) -> Column:
-        ok = (F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & F.col("line").rlike(rule.pattern)
+        ok = (F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & has(F.col("line"), F.col("low"), rule.pattern)
         return F.when(ok & rule.validate(F.col("line")) if rule.validate else ok, F.lit(i))
 
     found = F.filter(F.array(*(hit(i, x) for i, x in enumerate(rules))), lambda x: x.isNotNull())
