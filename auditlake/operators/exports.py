@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,56 @@ from auditlake.operators.rules import RISK_BY_SEVERITY
 SECURITY = {"P0": 9.0, "P1": 7.0, "P2": 4.0, "P3": 1.0}
 
 
+def risk_text(cvss: Column, severity: Column, exploitability: Column) -> Column:
+    """CVSS score, or the severity without one, and how exploitable it is, if that is known."""
+    score = F.coalesce(F.concat(F.lit("CVSS "), F.format_string("%.1f", cvss)), severity)
+    return F.concat(F.when(cvss.isNull(), severity).otherwise(score), F.coalesce(F.concat(F.lit(" / exploitability "), exploitability), F.lit("")))
+
+
 def playbook(findings: DataFrame) -> DataFrame:
     """repo_id, id, severity, risk of P0 and P1 findings: the score, or the severity, with how exploitable it is."""
-    risk = F.concat(F.coalesce(F.concat(F.lit("CVSS "), F.format_number("cvss", 1)), F.col("severity")), F.lit(", "), F.coalesce("exploitability", F.lit("unknown")))
+    risk = risk_text(F.col("cvss"), F.col("severity"), F.col("exploitability"))
     return findings.where(F.col("severity").isin("P0", "P1")).select("repo_id", "id", "severity", risk.alias("risk"))
 
 
+def prompt_select(findings: DataFrame, modules: list[str] | None = None, severities: tuple[str, ...] = ("P0", "P1"), fingerprints: DataFrame | None = None) -> DataFrame:
+    """findings of these modules (all, if not given), severities and (repo_id, fingerprint) rows (all, if not given)."""
+    out = findings.where(F.col("severity").isin(*severities))
+    out = out.where(F.col("module").isin(*modules)) if modules else out
+    return out.join(fingerprints.select("repo_id", "fingerprint").distinct(), ["repo_id", "fingerprint"], "left_semi") if fingerprints is not None else out
+
+
+# The lines of a prompt, as (name that must be there or "", text).
+PROMPT = [
+    ("", "```text"), ("", "Görev: Aşağıdaki güvenlik bulgusunu düzelt."), ("", "Bulgu: {title}"), ("", "Şiddet/Risk: {severity} · {risk} · güven: {confidence}"), ("", "Kategori/Kontrol: {category} ({check})"), ("standards", "Standart: {standards}"), ("impact", "Etki: {impact}"),
+    ("", "Etkilenen konum(lar):"), ("", "{places}"), ("", "Adımlar:"), ("", "  1) Yukarıdaki konum(lar)ı aç ve sorunu doğrula."), ("recommendation", "  2) Şu yaklaşımı uygula: {recommendation}"), ("", "  3) Aynı sınıftaki diğer örnekleri de tara (grep ile yaygınlaştır)."),
+    ("", "Test/Kabul:"), ("", "  - İlgili birim/entegrasyon testini ekle/güncelle; regresyon olmamalı."), ("", "  - Yeniden çalıştır: bu bulgu (`{id}`) \"düzeltilen\"e geçmeli (öncesi/sonrası delta)."), ("", "```"),
+]
+
+
+def prompts(findings: DataFrame) -> DataFrame:
+    """repo_id, id, fingerprint, severity, title, risk, category, check, locations, confidence, text: a finding as a task to hand over.
+
+    Findings are of run_scan(); cvss, exploitability, impact, recommendation and
+    references are taken where there are such columns, and lines that need one
+    that is missing or null are left out.  Impact and recommendation are masked.
+    """
+    none = F.lit(None).cast("string")
+    has = lambda c, to=none: F.col(c) if c in findings.columns else to
+    place = F.concat("source", F.coalesce(F.concat(F.lit(":"), F.nullif("location", F.lit(""))), F.lit("")))
+    standards = F.nullif(F.array_join(has("references", F.array().cast("array<string>")), ", "), F.lit(""))
+    known = findings.select("*", risk_text(has("cvss", F.lit(None).cast("double")), F.col("severity"), has("exploitability")).alias("risk__"), place.alias("place__"), standards.alias("standards__"))
+    words = {"risk": F.col("risk__"), "places": F.concat(F.lit("  - "), F.coalesce("place__", F.lit("(rapora bakın)"))), "standards": F.col("standards__"), "impact": mask_secrets(has("impact")), "recommendation": mask_secrets(has("recommendation"))}
+
+    def line(need: str, form: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", form)
+        text = F.concat(*(F.coalesce(words.get(x, F.col(x) if i % 2 else None), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+        return F.when(words[need].isNotNull(), text) if need else text
+
+    text = F.array_join(F.array_compact(F.array(*(line(*x) for x in PROMPT))), "\n")
+    return known.select("repo_id", "id", "fingerprint", "severity", "title", F.col("risk__").alias("risk"), "category", "check", F.array_compact(F.array("place__")).alias("locations"), "confidence", text.alias("text"))
+
+
 def history_runs(findings: DataFrame, changes: DataFrame, scores: DataFrame, run: str, generated_at: Column) -> DataFrame:
     """history_rows() with run, generated_at, overall_score and parity_score (scores has repo_id and these two; null without)."""
     counts = ["total", "p0", "p1", "p2", "p3", "fixed", "introduced", "persisting"]

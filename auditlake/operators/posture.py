@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import round1
-from auditlake.operators.rollup import posture_status
+from auditlake.operators.rollup import overall_score, posture_status, summary
 
 # Weight of each layer, and the least score of each rank.
 WEIGHTS = {"A": 10, "B": 18, "D": 10, "PAY": 12, "ACCESS": 14, "AUTH": 11, "API": 9, "PRIV": 10, "WEB": 9, "FLOW": 11, "EMAIL": 7, "UPLOAD": 12, "CLOUD": 12, "K8S": 8, "FE": 7, "AI": 7, "C": 10}
@@ -61,3 +61,10 @@ def parity_layer_findings(layers: DataFrame, findings: DataFrame) -> DataFrame:
     """repo_id, layer and the findings' other columns: findings whose id a layer lists (repo_id, layer, finding_ids)."""
     listed = layers.select("repo_id", "layer", F.explode(F.array_distinct("finding_ids")).alias("id"))
     return listed.join(findings, ["repo_id", "id"])
+
+
+def summary_scores(findings: DataFrame, board: DataFrame, layers: DataFrame) -> DataFrame:
+    """summary() with overall_score of a scoreboard and parity_score of parity layers, null where a repository has none; repositories of any of the three."""
+    parity = overall_parity(layers).withColumnRenamed("overall", "parity_score")
+    out = summary(findings).join(overall_score(board), "repo_id", "full").join(parity, "repo_id", "full")
+    return out.fillna(0, ["total", "p0", "p1", "p2", "p3", "max_cvss"])

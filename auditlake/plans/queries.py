@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as t
-from auditlake.operators import enrich, observed, rollup, scan
+from auditlake.operators import enrich, exports, observed, rollup, scan
 from auditlake.operators import rules as r
 from auditlake.sources import corpus
 from auditlake.sources.corpus import CODE_SQL, quoted
@@ -269,10 +269,10 @@ def fingerprint_dedup(spark: S, sf: str) -> D:
     return scan.dedup_fingerprint(f).select("repo_id", "fingerprint", "severity")
 
 
-@query("prompt_select", f"{_FOUND} SELECT repo_id, id, severity, count(*) AS n FROM finding WHERE module IN ('B', 'PAY') AND severity IN ('P0', 'P1') GROUP BY ALL")
+@query("prompt_select", f"{_FOUND} SELECT repo_id, id, severity, count(*) AS n FROM finding WHERE module IN ('B', 'PAY') AND severity IN ('P0', 'P1') AND fingerprint < '8' GROUP BY ALL")
 def prompt_select(spark: S, sf: str) -> D:
-    f = corpus.findings(spark, sf).where(F.col("module").isin("B", "PAY") & F.col("severity").isin("P0", "P1"))
-    return f.groupBy("repo_id", "id", "severity").agg(F.count("*").alias("n"))
+    f = corpus.findings(spark, sf)
+    return exports.prompt_select(f, ["B", "PAY"], fingerprints=f.where("fingerprint < '8'")).groupBy("repo_id", "id", "severity").agg(F.count("*").alias("n"))
 
 
 # --- observations

@@ -192,7 +192,7 @@ def checklist_score(spark: S, sf: str) -> D:
 _FOUND = f"WITH {corpus.findings_sql()}"
 
 
-@query("playbook", f"{_FOUND}, e AS (SELECT *, ({_RISK_CASE(0)})::DOUBLE AS cvss, {_RISK_CASE(1)} AS ex FROM finding WHERE severity IN ('P0', 'P1')) SELECT repo_id, id, severity, printf('CVSS %.1f, %s', cvss, ex) AS risk, count(*) AS n FROM e GROUP BY ALL")
+@query("playbook", f"{_FOUND}, e AS (SELECT *, ({_RISK_CASE(0)})::DOUBLE AS cvss, {_RISK_CASE(1)} AS ex FROM finding WHERE severity IN ('P0', 'P1')) SELECT repo_id, id, severity, printf('CVSS %.1f / exploitability %s', cvss, ex) AS risk, count(*) AS n FROM e GROUP BY ALL")
 def playbook(spark: S, sf: str) -> D:
     out = exports.playbook(enrich.risk_enrich(corpus.findings(spark, sf)))
     return out.groupBy("repo_id", "id", "severity", "risk").agg(F.count("*").alias("n"))

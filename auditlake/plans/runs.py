@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import sql as sql_functions
-from auditlake.operators import enrich, exports, findings, rollup
+from auditlake.operators import enrich, exports, findings, posture, rollup
 from auditlake.operators.module_rules import AI_KEY_TITLES, CHECKS, CLIENT_CODE, CLIENT_FILE, CLIENT_PATH, MODULES, NO_ANCHOR, PAY_KEY, PAY_KEY_CLIENT, PAY_KEY_TEST, RECORDS
 from auditlake.plans.modules import _SEEN, _has, _when
 from auditlake.plans.queries import _RISK_CASE, _lit, _mask_sql, query
@@ -102,6 +104,36 @@ def run_scan_delta(spark: S, sf: str) -> D:
     return enrich.delta(before, findings.run_scan(files, _SOME)).select("repo_id", "id", "fingerprint", "change")
 
 
+def _prompt_sql() -> str:
+    words = {"places": "concat('  - ', place)"}
+    cell = lambda x: words.get(x, '"check"' if x == "check" else x)
+    lines = []
+    for need, form in exports.PROMPT:
+        if not need:
+            parts = re.split(r"\{(\w+)\}", form)
+            lines.append("concat(" + ", ".join(cell(x) if i % 2 else _lit(x) for i, x in enumerate(parts)) + ")")
+    return f"array_to_string([{', '.join(lines)}], chr(10))"
+
+
+@query(
+    "prompts",
+    f"""{_run_sql(_SOME)}, risky AS (SELECT *, ({_RISK_CASE(0)})::DOUBLE AS cvss, {_RISK_CASE(1)} AS ex, concat(source, CASE WHEN location IS NOT NULL THEN concat(':', location) ELSE '' END) AS place FROM run WHERE severity IN ('P0', 'P1') AND module IN ('ACCESS', 'PAY')),
+handed AS (SELECT *, printf('CVSS %.1f / exploitability %s', cvss, ex) AS risk FROM risky)
+SELECT repo_id, id, fingerprint, severity, title, risk, category, "check", [place] AS locations, confidence, {_prompt_sql()} AS text FROM handed""",
+)
+def prompts(spark: S, sf: str) -> D:
+    """Grave findings of two modules as tasks to hand over."""
+    found = exports.prompt_select(enrich.risk_enrich(_run(spark, sf, _SOME)), ["ACCESS", "PAY"])
+    return exports.prompts(found)
+
+
+@query("summary_scores", f"WITH {corpus.findings_sql()}, mod AS (SELECT repo_id, module, floor(greatest(0, 10 - sum(CASE severity WHEN 'P0' THEN 5 WHEN 'P1' THEN 2.5 WHEN 'P2' THEN 1 ELSE 0.25 END)) * 10 + 0.5)::BIGINT AS tenths FROM finding GROUP BY ALL), score AS (SELECT repo_id, (floor(sum(tenths) / count(*) + 0.5) / 10)::DOUBLE AS overall_score FROM mod GROUP BY repo_id), total AS (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE severity = 'P0') AS p0 FROM finding GROUP BY repo_id), parity AS (SELECT concat('r', c_custkey % 40) AS repo_id, (floor(sum(c_nationkey % 10 * 10) / count(*) + 0.5) / 10)::DOUBLE AS parity_score FROM customer WHERE c_nationkey % 10 != 9 GROUP BY ALL) SELECT coalesce(total.repo_id, parity.repo_id) AS repo_id, coalesce(total, 0) AS total, coalesce(p0, 0) AS p0, overall_score, parity_score FROM total LEFT JOIN score USING (repo_id) FULL JOIN parity ON parity.repo_id = total.repo_id")
+def summary_scores(spark: S, sf: str) -> D:
+    f = corpus.findings(spark, sf).withColumn("cvss", F.lit(1.0))
+    layers = spark.read.parquet(f"{sf}/customer.parquet").where("c_nationkey % 10 != 9").select(F.expr("concat('r', c_custkey % 40) AS repo_id"), (F.col("c_nationkey") % 10).cast("double").alias("score"))
+    return posture.summary_scores(f, rollup.scoreboard(f), layers).select("repo_id", "total", "p0", "overall_score", "parity_score")
+
+
 # --- order, history
 _FOUND = f"WITH {corpus.findings_sql()}"
 

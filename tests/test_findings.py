@@ -290,3 +290,17 @@ def test_scan_of_arriving_files(spark, tmp_path):
     streams.scan_arriving(stream(), r.SAST, top)
     assert {(x["path"], x["line_no"], x["rule_id"]) for x in streams.scanned(spark, top).collect()} == got and streams.scanned(spark, top).count() == 4
     shutil.rmtree(top)
+
+
+def test_prompts(spark):
+    files = files_of(spark, ("r", "src/b.js", ROUTES))
+    found = enrich.risk_enrich(findings.run_scan(files, ["ACCESS"])).withColumn("impact", F.lit("token=abcdefgh12345678")).withColumn("references", F.array(F.lit("CWE-915")))
+    picked = exports.prompt_select(found, ["ACCESS"], ("P1",), found.where("check = 'ACC-3'"))
+    (x,) = exports.prompts(picked).collect()
+    lines = x["text"].split("\n")
+    assert x["risk"] == "CVSS 7.0 / exploitability medium" and x["locations"] == ["src/b.js:2"] and lines[0] == "```text" and lines[-1] == "```"
+    assert "  - src/b.js:2" in lines and "Standart: CWE-915" in lines and f"`{x['id']}`" in x["text"] and "abcdefgh12345678" not in x["text"]
+    assert not [v for v in lines if v.startswith("  2)")]
+    plain = findings.run_scan(files, ["ACCESS"]).where("check = 'ACC-4'")
+    assert exports.prompts(plain).first()["risk"] == "P1"
+    assert exports.prompt_select(plain, severities=("P3",)).count() == 0
