@@ -60,7 +60,7 @@ def rule_findings(files: DataFrame, rules: list[r.Rule], kind: str = "file", wid
     line = F.col("line_no").cast("string")
     return make_findings(
         hits.select(
-            "repo_id", F.concat_ws(":", "rule_id", "path", line).alias("id"), "title", "severity", "module", "check", F.col("check").alias("category"), "confidence", F.lit(kind).alias("type"), F.col("path").alias("source"), line.alias("location"),
+            "repo_id", F.concat_ws(":", "rule_id", "path", line).alias("id"), "title", "severity", "module", "check", "category", "confidence", F.lit(kind).alias("type"), F.col("path").alias("source"), line.alias("location"),
             F.substring(F.regexp_replace("line", r"^\s+|\s+$", ""), 1, width).alias("excerpt"),
         )
     )

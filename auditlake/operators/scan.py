@@ -77,10 +77,10 @@ def file_matches(files: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def described(hits: DataFrame, rules: list[Rule]) -> DataFrame:
-    """hits with rule_id, module, check, severity, confidence, title and cap of their rule."""
+    """hits with rule_id, module, check, severity, confidence, title, category and cap of their rule."""
     spark = hits.sparkSession
-    shape = "rule int, rule_id string, module string, check string, severity string, confidence string, title string, cap int"
-    table = spark.createDataFrame([(i, x.id, x.module, x.check, x.severity, x.confidence, x.title, x.cap) for i, x in enumerate(rules)], shape)
+    shape = "rule int, rule_id string, module string, check string, severity string, confidence string, title string, category string, cap int"
+    table = spark.createDataFrame([(i, x.id, x.module, x.check, x.severity, x.confidence, x.title, x.category, x.cap) for i, x in enumerate(rules)], shape)
     return hits.join(F.broadcast(table), "rule")  # as many rows as rules
 
 
@@ -97,7 +97,7 @@ def dedup_fingerprint(findings: DataFrame) -> DataFrame:
 
 
 def rule_scan(of: DataFrame, rules: list[Rule] = r.SAST, width: int = 200, masks: int = 2, cap: int | None = None) -> DataFrame:
-    """Findings of a rule set over lines, or over files (repo_id, path, content), which is faster: repo_id, path, line_no, id, rule_id, module, check, severity, confidence, title, excerpt, fingerprint.
+    """Findings of a rule set over lines, or over files (repo_id, path, content), which is faster: repo_id, path, line_no, id, rule_id, module, check, severity, confidence, title, category, excerpt, fingerprint.
 
     The cap counts hits before dedup; excerpts are the trimmed line, cut, then
     masked (``masks`` times, as masking once more can shorten further).
@@ -107,7 +107,7 @@ def rule_scan(of: DataFrame, rules: list[Rule] = r.SAST, width: int = 200, masks
     excerpt = F.substring(F.regexp_replace("line", r"^\s+|\s+$", ""), 1, width)
     for _ in range(masks):
         excerpt = t.mask_secrets(excerpt)
-    out = hits.select("repo_id", "path", "line_no", F.concat_ws(":", "rule_id", "path", "line_no").alias("id"), "rule_id", "module", "check", "severity", "confidence", "title", excerpt.alias("excerpt"))
+    out = hits.select("repo_id", "path", "line_no", F.concat_ws(":", "rule_id", "path", "line_no").alias("id"), "rule_id", "module", "check", "severity", "confidence", "title", "category", excerpt.alias("excerpt"))
     signature = F.concat_ws("|", "path", t.normalize_ws(F.col("excerpt")))
     return dedup_fingerprint(out.withColumn("fingerprint", t.fingerprint(F.col("module"), F.col("check"), F.col("title"), F.array(signature))))
 
