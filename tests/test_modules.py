@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as t
 from auditlake.operators import enrich, estate, modules
+from auditlake.sources import corpus
 
 FILES = [
     ("r", "src/pay.js", "app.post('/webhook', (req, res) => { new Stripe(k); });\n// constructEvent would verify"),
@@ -57,3 +58,26 @@ def test_waivers_with_nulls_and_entropy(spark):
     assert got == {"f1": "known", "f2": None}
     x = spark.createDataFrame([("aabb",), ("",), (None,), ("é中😀a",)], "s string")
     assert [(a, b) for a, b in x.select(F.round(t.text_entropy("s"), 6), F.round(t.shannon_entropy(F.col("s")), 6)).collect()] == [(1.0, 1.0), (0.0, 0.0), (None, None), (2.0, 2.0)]
+
+
+def test_parts_are_dealt_over_tasks(spark, tmp_path):
+    """A table in one file is read by one task; what is made of its rows is not."""
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (corpus.app_corpus, corpus.code_corpus, corpus.estate_corpus):
+        of_task = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert len(of_task) == 4 and max(x["count"] for x in of_task) < 6_000
+    assert corpus.parts(spark, str(tmp_path)).select("p_partkey").distinct().count() == 20_000
+
+
+def test_copies_are_looked_at_once(spark):
+    """Files of one text share what is seen in it, and differ by path, repository and module."""
+    text = "const login = 1;\njwt.sign({ id }, secret)\napp.get('/x', async (req, res) => db.query('SELECT * FROM t'))"
+    rows = [("a", "src/x.js", text), ("a", "src/x.js", text), ("b", "src/y.ts", text), ("c", "node_modules/x.js", text), ("d", "x.txt", text), ("e", None, text), ("f", "src/n.js", None)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    assert modules._texts_of(files).count() == 1
+    hits = [(x["repo_id"], x["check"], x["line_no"]) for x in modules.file_checks(files, modules.module_flags(files)).collect()]
+    assert sorted(x for x in hits if x[1] == "AUTH-4") == [("a", "AUTH-4", 2), ("a", "AUTH-4", 2), ("b", "AUTH-4", 2)] and not [x for x in hits if x[0] in "cdef"]
+    lines = {(x["repo_id"], x["check"]) for x in modules.line_checks(files, modules.module_flags(files)).collect()}
+    assert {("a", "API-1"), ("b", "API-1")} <= lines and not [x for x in lines if x[0] in "cdef"]
+    flags = {x["repo_id"]: x["login"] for x in modules.module_flags(files).collect()}
+    assert flags == {"a": True, "b": True, "c": False, "d": False, "e": False}
