@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as t
 from auditlake.operators import enrich, estate, modules
+from auditlake.plans import queries
 from auditlake.sources import corpus
+from auditlake.streaming import streams
 
 FILES = [
     ("r", "src/pay.js", "app.post('/webhook', (req, res) => { new Stripe(k); });\n// constructEvent would verify"),
@@ -81,3 +83,10 @@ def test_copies_are_looked_at_once(spark):
     assert {("a", "API-1"), ("b", "API-1")} <= lines and not [x for x in lines if x[0] in "cdef"]
     flags = {x["repo_id"]: x["login"] for x in modules.module_flags(files).collect()}
     assert flags == {"a": True, "b": True, "c": False, "d": False, "e": False}
+
+
+def test_arriving_parts_are_dealt_over_tasks(spark, tmp_path):
+    """Also as a stream, a table in one file is scanned by several tasks."""
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = streams.drained(queries._parts_arriving(spark, str(tmp_path)).select("p_partkey", F.spark_partition_id().alias("task")))
+    assert got.select("task").distinct().count() == 4 and got.select("p_partkey").distinct().count() == got.count() == 20_000
