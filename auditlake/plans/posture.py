@@ -94,19 +94,21 @@ def previous_run(spark: S, sf: str) -> D:
     return files.previous_run(corpus.findings(spark, sf), "seen", 7).select("repo_id", "seen", "id", "severity", "fingerprint")
 
 
-_READ = "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string,name:string,properties:struct<tags:array<string>>>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,partialFingerprints:struct<auditlake:string>,properties:struct<`security-severity`:string,findingId:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>"
+#: What each of the two queries reads of the documents.
+_RULES = "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>>>"
+_RESULTS = "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,partialFingerprints:struct<auditlake:string>,properties:struct<`security-severity`:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>"
 
 
-def _sarif(spark: S, sf: str) -> D:
+def _sarif(spark: S, sf: str, read: str) -> D:
     """SARIF documents, with places and checks, read back."""
     f = enrich.risk_enrich(corpus.findings(spark, sf)).withColumns({"check": F.split_part("id", F.lit(":"), F.lit(1)), "path": F.concat(F.lit("src/"), F.substring("fingerprint", 1, 2), F.lit(".js")), "line": F.col("seen").cast("int"), "title": F.concat(F.lit("found "), "id")})
-    return exports.export_sarif(f).select("repo_id", F.explode(F.from_json("doc", _READ)["runs"]).alias("run"))
+    return exports.export_sarif(f).select("repo_id", F.explode(F.from_json("doc", read)["runs"]).alias("run"))
 
 
 @query("sarif_results", f"{_FOUND} SELECT repo_id, split_part(id, ':', 1) AS rule_id, CASE WHEN severity IN ('P0', 'P1') THEN 'error' WHEN severity = 'P2' THEN 'warning' ELSE 'note' END AS level, concat('[', severity, '] found ', id) AS message, printf('%.1f', ({_RISK_CASE(0)})::DOUBLE) AS security_severity, concat('src/', left(fingerprint, 2), '.js') AS uri, CASE WHEN seen > 0 THEN seen::INT END AS start_line, fingerprint FROM finding")
 def sarif_results(spark: S, sf: str) -> D:
     """Results of the SARIF export, as its documents give them when they are read again."""
-    x = _sarif(spark, sf).select("repo_id", F.explode("run.results").alias("r"))
+    x = _sarif(spark, sf, _RESULTS).select("repo_id", F.explode("run.results").alias("r"))
     place = F.col("r.locations")[0]["physicalLocation"]
     return x.select("repo_id", F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"), F.col("r.properties.security-severity").alias("security_severity"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"), F.col("r.partialFingerprints.auditlake").alias("fingerprint"))
 
@@ -114,7 +116,7 @@ def sarif_results(spark: S, sf: str) -> D:
 @query("sarif_rules", f"{_FOUND} SELECT DISTINCT repo_id, split_part(id, ':', 1) AS rule_id FROM finding")
 def sarif_rules(spark: S, sf: str) -> D:
     """Rules of the SARIF export's documents, once a repository."""
-    return _sarif(spark, sf).select("repo_id", F.explode("run.tool.driver.rules").alias("r")).select("repo_id", F.col("r.id").alias("rule_id")).distinct()
+    return _sarif(spark, sf, _RULES).select("repo_id", F.explode("run.tool.driver.rules").alias("r")).select("repo_id", F.col("r.id").alias("rule_id")).distinct()
 
 
 @query("report_rows", f"{_FOUND}, e AS (SELECT repo_id, substring(severity, 2, 1)::INT AS rank, id, fingerprint, seen FROM finding) SELECT repo_id, rank, id, 0 AS place, concat('src/', left(fingerprint, 2), ':', seen) AS location, concat('password = \"', left(fingerprint, 2), '***', right(fingerprint, 2), '\"') AS excerpt FROM e WHERE seen > 0 UNION ALL SELECT repo_id, rank, id, 1, 'log', NULL FROM e WHERE seen > 0 UNION ALL SELECT repo_id, rank, id, NULL, NULL, NULL FROM e WHERE seen = 0")

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from auditlake.operators import exports, posture
 from auditlake.sources import files
 
@@ -54,3 +56,15 @@ def test_findings_are_written_by_scan_and_the_last_one_is_read(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "t"))
     last = {(x["repo_id"], x["id"]) for x in files.previous_run(back, "scan_id", 3).collect()}
     assert last == {("r", "c"), ("s", "d")} and files.previous_run(back, "scan_id", 1).count() == 0
+
+
+def test_sarif_deals_findings_by_number_and_makes_documents_in_their_task(spark):
+    """A repository's findings are not gathered to be cut, and there are tasks for them however small they are."""
+    found = spark.range(120_000).select(F.concat(F.lit("r"), (F.col("id") % 1).cast("string")).alias("repo_id"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("check"), F.concat(F.lit("password = x"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("P"), (F.col("id") % 4).cast("string")).alias("severity"), F.sha1(F.col("id").cast("string")).alias("fingerprint"))
+    docs = exports.export_sarif(found)
+    assert docs.rdd.getNumPartitions() == 3
+    got = [json.loads(x["doc"])["runs"][0] for x in docs.collect()]
+    assert len(got) == 12 and sum(len(x["results"]) for x in got) == 120_000
+    for x in got:
+        keys = [(r["properties"]["severity"], r["properties"]["findingId"]) for r in x["results"]]
+        assert keys == sorted(keys) and [r["id"] for r in x["tool"]["driver"]["rules"]] == sorted({r["ruleId"] for r in x["results"]})
