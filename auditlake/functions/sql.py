@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from auditlake.functions import text as t
+from auditlake.functions.patterns import needed
 
 
 def literal(x: str) -> str:
@@ -12,33 +13,45 @@ def literal(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _masked(v: str, pattern: str) -> str:
-    """v with each match of a pattern cut to its ends."""
+def _any(low: str, pattern: str) -> str:
+    """Whether a lower-cased text holds one of the strings that the pattern's matches need."""
+    return "(" + " OR ".join(f"contains({low}, {literal(x)})" for x in needed(pattern)) + ")" if needed(pattern) else "true"
+
+
+def _where(v: str, test: str, to: str) -> str:
+    """``to`` where the test holds; the value is bound once, as w, or nested steps would repeat what is below them."""
+    return f"get(transform(array({v}), w -> CASE WHEN {test} THEN {to} ELSE w END), 0)"
+
+
+def _masked(v: str, pattern: str, gate: str) -> str:
+    """v with each match of a pattern cut to its ends; tried only where the gate holds."""
     whole = literal(f"({pattern})")
     cut = "CASE WHEN length(m) <= 8 THEN '***' ELSE concat(substring(m, 1, 2), '***', right(m, 2)) END"
     joined = f"array_join(zip_with(split(w, {literal(pattern)}, -1), transform(regexp_extract_all(w, {whole}, 1), m -> {cut}), (a, b) -> concat(a, coalesce(b, ''))), '')"
-    # the value is bound once, or nested masks would repeat what is below them
-    return f"get(transform(array({v}), w -> CASE WHEN w RLIKE {literal(pattern)} THEN {joined} ELSE w END), 0)"
+    return _where(v, f"{gate} AND w RLIKE {literal(pattern)}", joined)
 
 
 def _mask_secrets() -> str:
-    x = f"regexp_replace(regexp_replace(x, {literal(t.URL_PASSWORD)}, '$1***$3'), {literal(t.KEY_VALUE)}, '$1$2$3***$4')"
-    for p in (t.JWT, t.AWS_ID, t.PROVIDER_TOKEN, t.LONG_HEX):
-        x = _masked(x, p)
+    x = _where("x", "contains(w, '://')", f"regexp_replace(w, {literal(t.URL_PASSWORD)}, '$1***$3')")
+    near = f"(contains(w, ':') OR contains(w, '=')) AND get(transform(array(lower(w)), l -> {_any('l', t.KEY_NEAR)}), 0) AND w RLIKE {literal(t.KEY_NEAR)}"
+    x = _where(x, near, f"regexp_replace(w, {literal(t.KEY_VALUE)}, '$1$2$3***$4')")
+    for p, gate in ((t.JWT, "contains(w, 'eyJ')"), (t.AWS_ID, "contains(w, 'AKIA')"), (t.PROVIDER_TOKEN, "length(w) >= 15"), (t.LONG_HEX, "length(w) >= 32")):
+        x = _masked(x, p, gate)
     return x
 
 
 #: What a text that looks like a secret matches one of.
 LOOKS = [rf"(?i){t.SECRET_KEY}\s*[:=]\s*[\"']?[^\s\"']{{4,}}", t.JWT, t.AWS_ID, t.PROVIDER_TOKEN, t.LONG_HEX, t.URL_PASSWORD]
+_LOOKED = "get(transform(array(struct(x AS w, lower(x) AS l)), v -> " + " OR ".join(f"({_any('v.l', p)} AND v.w RLIKE {literal(p)})" for p in (t.KEY_FILLED, *LOOKS[1:])) + "), 0)"
 _SHARES = "filter(transform(array_distinct(split(x, '')), c -> (length(x) - length(replace(x, c, ''))) / length(x)), p -> p > 0)"
-_NO_BLOCKS = r"regexp_replace(regexp_replace(x, '/\\*[\\s\\S]*?\\*/', ' '), '(^|[^:])//[^\\n]*', '$1')"
+_NO_BLOCKS = _where(_where("x", "contains(w, '/*')", r"regexp_replace(w, '/\\*[\\s\\S]*?\\*/', ' ')"), "contains(w, '//')", r"regexp_replace(w, '(^|[^:])//[^\\n]*', '$1')")
 
 #: name: (parameters, type, body)
 FUNCTIONS = {
     "mask_secrets": ("x STRING", "STRING", _mask_secrets()),
-    "looks_like_secret": ("x STRING", "BOOLEAN", " OR ".join(f"x RLIKE {literal(p)}" for p in LOOKS)),
+    "looks_like_secret": ("x STRING", "BOOLEAN", _LOOKED),
     "shannon_entropy": ("x STRING", "DOUBLE", f"CASE WHEN length(x) = 0 THEN 0D ELSE aggregate({_SHARES}, 0D, (a, p) -> a - p * log2(p)) END"),
-    "strip_comments": ("x STRING", "STRING", rf"regexp_replace({_NO_BLOCKS}, '(^|\\s)#[^\\n]*', '$1')"),
+    "strip_comments": ("x STRING", "STRING", _where(_NO_BLOCKS, "contains(w, '#')", r"regexp_replace(w, '(^|\\s)#[^\\n]*', '$1')")),
     "strip_comments_js": ("x STRING", "STRING", _NO_BLOCKS),
     "normalize_ws": ("x STRING", "STRING", r"regexp_replace(regexp_replace(x, '\\s+', ' '), '^ | $', '')"),
     "finding_fingerprint": ("module STRING, check_ STRING, title STRING, signatures ARRAY<STRING>", "STRING", "substring(sha1(concat_ws('|', module, check_, title, concat_ws(',', array_sort(signatures)))), 1, 16)"),
