@@ -148,13 +148,15 @@ def _history(spark: S, sf: str) -> tuple[D, D]:
     """Two runs of a history, the second written twice, and the changes between them."""
     x = corpus.findings(spark, sf)
     runs = {"1": x.where("seen != 0"), "2": x.where("seen != 1")}
-    changes = enrich.delta(runs["1"], runs["2"])
+    changes = durable(enrich.delta(runs["1"], runs["2"]).select("repo_id", "severity", "change"))  # asked for with each run, and for what moved
     path = f"{shared_folder(spark)}/history-{spark.sparkContext.applicationId}-{id(x)}"
-    for run in ("1", "2", "2"):
-        f = runs[run]
+    rows = {}
+    for run, f in runs.items():
         overall = rollup.overall_score(rollup.scoreboard(f))
         scores = overall.select("repo_id", "overall_score", F.when(F.col("repo_id") != "r3", F.col("overall_score") / 2).alias("parity_score"))
-        exports.append_history(exports.history_runs(f, changes if run == "2" else changes.limit(0), scores, run, F.lit(f"2024-01-0{run}")), path)
+        rows[run] = durable(exports.history_runs(f, changes if run == "2" else changes.limit(0), scores, run, F.lit(f"2024-01-0{run}")))
+    for run in ("1", "2", "2"):
+        exports.append_history(rows[run], path)
     return spark.read.parquet(path).withColumn("run", F.col("run").cast("string")), changes
 
 
@@ -181,7 +183,7 @@ def delta_of_runs(spark: S, sf: str) -> D:
 
 
 # --- SQL functions
-_TEXTS = "SELECT doc_id, length(mask_secrets(text)) AS masked, sha1(mask_secrets(text)) AS masked_sha1, looks_like_secret(text) AS secret, sha1(strip_comments(text)) AS bare_sha1, extract_cves(text) AS cves, finding_fingerprint(lang, source, 't', array(left(normalize_ws(text), 200))) AS fingerprint FROM {of}"
+_TEXTS = "SELECT doc_id, length(shown) AS masked, sha1(shown) AS masked_sha1, looks_like_secret(text) AS secret, sha1(strip_comments(text)) AS bare_sha1, extract_cves(text) AS cves, finding_fingerprint(lang, source, 't', array(left(normalize_ws(text), 200))) AS fingerprint FROM (SELECT *, mask_secrets(text) AS shown FROM {of})"
 
 
 @query(

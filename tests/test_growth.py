@@ -11,6 +11,11 @@ from auditlake.streaming import streams
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_changes_of_a_history_are_made_once(spark):
+    history, changes = runs._history(spark, SMALL)
+    assert "Join" not in changes._jdf.queryExecution().optimizedPlan().toString() and history.where("run = '1'").count() == history.where("run = '2'").count() > 0
+
+
 def test_patterns_of_secrets_are_tried_behind_their_strings(spark):
     sql_functions.register(spark)
     texts = spark.createDataFrame([("my_password_2 : 'hunter22'",), ("password:abc",), ("PASSWORD = abcd",), ("nothing",), ("sk-" + "a" * 32,), ("A" * 32,), ("https://u:p@h",), ("",), (None,)], "x string")
