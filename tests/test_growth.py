@@ -11,6 +11,19 @@ from auditlake.streaming import streams
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_a_stream_of_runs_stores_its_runs_and_not_their_findings(spark, tmp_path, monkeypatch):
+    rows = [("r", k, f"f{n}") for k in (1, 2, 3) for n in range(100) if n % 3 != k - 1] * 2
+    spark.createDataFrame(rows, "repo_id string, run long, fingerprint string").coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    held, durable = [], streams.durable
+    monkeypatch.setattr(streams, "durable", lambda df: held.append(durable(df)) or held[-1])
+    stream = spark.readStream.schema("repo_id string, run long, fingerprint string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    streams.delta_arriving(stream, f"{tmp_path}/out")
+    assert [x.count() for x in held] == [3]
+    got = sorted(tuple(x) for x in streams.changes(spark, f"{tmp_path}/out").select("run", "change", "fingerprint").collect())
+    has = {k: {f for _, r, f in rows if r == k} for k in (0, 1, 2, 3)}
+    assert got == sorted([(k, "persisting" if f in has[k - 1] else "introduced", f) for k in (1, 2, 3) for f in has[k]] + [(k, "fixed", f) for k in (2, 3) for f in has[k - 1] - has[k]])
+
+
 def test_changes_of_a_history_are_made_once(spark):
     history, changes = runs._history(spark, SMALL)
     assert "Join" not in changes._jdf.queryExecution().optimizedPlan().toString() and history.where("run = '1'").count() == history.where("run = '2'").count() > 0
