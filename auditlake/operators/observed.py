@@ -54,12 +54,12 @@ def rate_limit_absent(log: DataFrame, seconds: int = 600, least: int = 5) -> Dat
     return burst.where(f"served >= {least} AND NOT held").select(F.col("w.start").alias("window_start"), "url", "served")
 
 
-def tls_findings(seen: DataFrame, now: Column) -> DataFrame:
-    """host, finding, severity of handshakes (host, protocol, not_after): weak protocols (P1), certificates expired (P0) or within 14 days (P1)."""
+def tls_findings(seen: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """host, the columns in ``keep``, finding, severity of handshakes (host, protocol, not_after): weak protocols (P1), certificates expired (P0) or within 14 days (P1)."""
     days = days_until(F.col("not_after"), now)
     f = lambda c, n, s: F.when(c, F.struct(F.lit(n).alias("finding"), F.lit(s).alias("severity")))
     found = F.array(f(F.col("protocol").isin(WEAK_PROTOCOLS), "weak-protocol", "P1"), f(days < 0, "expired", "P0"), f(days.between(0, 13), "expiring", "P1"))
-    return seen.select("host", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("host", "f.*")
+    return seen.select("host", *keep, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("host", *keep, "f.*")
 
 
 def open_ports(seen: DataFrame) -> DataFrame:

@@ -183,10 +183,10 @@ def response_findings(responses: DataFrame) -> DataFrame:
 
 def host_findings(handshakes: DataFrame, ports: DataFrame, now: Column) -> DataFrame:
     """Of handshakes (host, protocol, not_after) and open ports (host, port)."""
-    x = handshakes.withColumn("days", t.days_until(F.col("not_after"), now))
-    told = observed.tls_findings(handshakes.distinct(), now).join(x.distinct(), "host").withColumn("repo_id", F.col("host"))
+    # each handshake tells its own findings; joined by host, those of a host would meet each other
+    told = observed.tls_findings(handshakes.select("host", "protocol", "not_after").distinct(), now, ("protocol", "not_after"))
+    told = told.withColumn("days", t.days_until(F.col("not_after"), now)).withColumn("repo_id", F.col("host"))
     kind, days = F.col("finding"), F.abs("days").cast("string")
-    told = told.where(((kind == "weak-protocol") & F.col("protocol").isin(observed.WEAK_PROTOCOLS)) | ((kind == "expired") & (F.col("days") < 0)) | ((kind == "expiring") & F.col("days").between(0, 13))).distinct()
     head = F.when(kind == "weak-protocol", "C2-weak-tls:").when(kind == "expired", "C2-cert-expired:").otherwise("C2-cert-soon:")
     title = F.when(kind == "weak-protocol", _said("Zayıf TLS protokolü: ", F.col("protocol"))).when(kind == "expired", _said("TLS sertifikası SÜRESİ DOLMUŞ (", days, " gün önce)")).otherwise(_said("TLS sertifikası ", days, " gün içinde sona eriyor"))
     words = F.when(kind == "weak-protocol", F.col("protocol")).otherwise(_said("notAfter=", F.date_format("not_after", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")))

@@ -29,6 +29,13 @@ def test_changes_of_a_history_are_made_once(spark):
     assert "Join" not in changes._jdf.queryExecution().optimizedPlan().toString() and history.where("run = '1'").count() == history.where("run = '2'").count() > 0
 
 
+def test_handshakes_of_a_host_do_not_meet_each_other(spark):
+    hands = spark.createDataFrame([("h", "SSLv3", f"2024-01-{d:02}") for d in range(1, 29)], "host string, protocol string, day string").select("host", "protocol", F.col("day").cast("timestamp").alias("not_after"))
+    found = records.host_findings(hands, spark.createDataFrame([("h", 22)], "host string, port int"), F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # of ports with their ten services
+    assert found.where("id LIKE 'C2-weak%'").count() == 28 and found.where("id LIKE 'C2-cert-expired%'").count() == 9 and found.where("id LIKE 'C2-cert-soon%'").count() == 14
+
+
 def test_patterns_of_secrets_are_tried_behind_their_strings(spark):
     sql_functions.register(spark)
     texts = spark.createDataFrame([("my_password_2 : 'hunter22'",), ("password:abc",), ("PASSWORD = abcd",), ("nothing",), ("sk-" + "a" * 32,), ("A" * 32,), ("https://u:p@h",), ("",), (None,)], "x string")
